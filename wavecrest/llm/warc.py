@@ -51,7 +51,7 @@ from pyspark.sql.datasource import (
 )
 from pyspark.sql.types import StructType
 
-from wavecrest.llm._scratch import shared_folder
+from wavecrest.llm._scratch import Scratch, shared_folder
 
 READ_SCHEMA = "record_id string, record_type string, target_uri string, record_date string, refers_to string, payload_digest string, payload_bytes long, content_type string, payload binary"
 #: What a frame must hold to be written.
@@ -381,14 +381,16 @@ def base32_of_hex(hexed: Column) -> Column:
 def as_records(pages: DataFrame, id_col: str = "page_id", uri_col: str = "url", payload_col: str = "html", min_bytes: int = 0) -> DataFrame:
     """Rows ready to be written: of equal payloads of at least min_bytes the largest id is the response.
 
-    Which id is the largest is found on digests alone. One shuffle by digest then
-    carries the payloads; where one payload makes up much of the table, adaptive
-    execution splits its partition, as the other side has one row for each digest.
+    Which id is the largest is found on digests alone, and written for digests of two
+    and more rows. One shuffle by digest then carries the payloads; the other side has
+    one row for each digest and is a plain shuffle too, so where one payload makes up
+    much of the table adaptive execution splits its partition.
     """
     payload = F.encode(F.coalesce(F.col(payload_col).cast("string"), F.lit("")), "UTF-8")
     base = pages.select(F.col(id_col).cast("long").alias("id"), F.col(uri_col).cast("string").alias("target_uri"), payload.alias("payload"))
     base = base.withColumns({"digest": F.sha1("payload"), "payload_bytes": F.octet_length("payload").cast("long")})
-    first = base.where(F.col("payload_bytes") >= min_bytes).groupBy(F.col("digest").alias("first_digest")).agg(F.max("id").alias("first_id"))
+    first = base.where(F.col("payload_bytes") >= min_bytes).groupBy(F.col("digest").alias("first_digest")).agg(F.max("id").alias("first_id"), F.count("*").alias("n")).where("n > 1")
+    first = Scratch(pages.sparkSession, "warc-first").cut(first.drop("n"), "first")
     joined = base.join(first, F.col("digest") == F.col("first_digest"), "left")
     revisit = F.col("first_digest").isNotNull() & ~F.col("id").eqNullSafe(F.col("first_id"))
     urn = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(c.cast("string"), F.lit("")), F.lit(">"))
