@@ -7,6 +7,7 @@ import importlib
 #: query name -> (module, function, name of its SQL or None)
 TABLE = {
     "op1_warc": ("warc", "op1_warc", "OP1_SQL"),
+    "op5_near_duplicates": ("neardup", "op5_near_duplicates", "OP5_SQL"),
     "op6_lines": ("lines", "op6_lines", "OP6_SQL"),
 }
 
