@@ -16,9 +16,9 @@ Method.
    sizes, is at least SURE. Verification compares full sets of 64-bit shingle hashes.
 5. Components of the verified links are found. Buckets that still hold several
    components then compare the rest of their classes across components, again first
-   by registers (no rows are made for pairs within a component or below the
-   estimate), in blocks of at most BLOCK rows. Verified links join the first ones.
-   So no link between components is passed over; pairs inside one need no look.
+   by registers and then by full sets, in blocks of about BLOCK rows. This makes a row
+   for a link only, and joins components as it goes, so a pair inside one needs no
+   look. No link between components is passed over.
 At 0.8 similarity a pair shares none of the 40 bands of 5 with probability 6e-8.
 
 Defined cases: null and empty texts, and those of white space alone, have an empty
@@ -45,8 +45,8 @@ from wavecrest.llm.components import connected_components
 LOG_BASE = 0.08
 #: Exponential values above this are truncated to register 0, those below TOP * e^(-254 * LOG_BASE) to 254.
 TOP = 16.0
-#: Pairs are verified from this estimate on; 0.8 lies six standard errors above it at 200 registers.
-SURE = 0.62
+#: Pairs are verified from this estimate on; 0.8 lies five standard errors above it at 200 registers.
+SURE = 0.66
 BLOCK = 2000
 #: Bits of the filter that tells which texts are needed for verification: 16 MB at most.
 NEED_BITS = 1 << 27
@@ -138,16 +138,45 @@ def _estimate(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Re
         yield pa.RecordBatch.from_arrays([a, b], names=["a", "b"]).filter(pa.array(good))
 
 
-def _across(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """Pairs across components within one (bucket, block pair) at a time; rows come sorted by it."""
+class _Sets:
+    """Shingle sets of packed texts, the last few kept."""
+
+    def __init__(self, width: int, keep: int):
+        self.width, self.keep = width, keep
+        self.words, self.unpack = WordHashes(), zstandard.ZstdDecompressor()
+        self.recent: dict[bytes, np.ndarray] = {}
+
+    def of(self, packed: bytes) -> np.ndarray:
+        if (known := self.recent.get(packed)) is not None:
+            return known
+        if len(self.recent) >= self.keep:
+            self.recent.clear()
+        out = self.recent[packed] = text_set(self.unpack.decompress(packed), self.width, self.words)
+        return out
+
+    def linked(self, a: bytes, b: bytes, percent: int) -> bool:
+        s_a, s_b = self.of(a), self.of(b)
+        shared = len(np.intersect1d(s_a, s_b, assume_unique=True))
+        return 100 * shared >= percent * (len(s_a) + len(s_b) - shared)
+
+
+def _across(batches: Iterator[pa.RecordBatch], width: int, percent: int) -> Iterator[pa.RecordBatch]:
+    """Links across components within one (bucket, block pair) at a time; rows come sorted by it.
+
+    Components that a link joins count as one from then on, so no rows are made for pairs and
+    at most one link for each joined component.
+    """
     held: list[pa.RecordBatch] = []
     last = None
+    sets = _Sets(width, 2 * BLOCK)
 
-    def pairs() -> pa.RecordBatch | None:
+    def links() -> pa.RecordBatch | None:
         table = pa.Table.from_batches(held).combine_chunks()
-        rep, comp, n, side, pivot = (table.column(c).to_numpy() for c in ("rep", "comp", "n", "side", "pivot"))
+        rep, n, side, pivot = (table.column(c).to_numpy() for c in ("rep", "n", "side", "pivot"))
+        packed = table.column("packed").to_pylist()
+        names, comp = np.unique(table.column("comp").to_numpy(), return_inverse=True)
         sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(len(rep), -1)
-        found: list[tuple[np.ndarray, np.ndarray]] = []
+        found: list[tuple[int, int]] = []
         left = np.flatnonzero(side <= 1)
         right = np.flatnonzero(side == 2) if (side == 2).any() else left
         for i in left:
@@ -157,13 +186,15 @@ def _across(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Reco
             if not len(other):
                 continue
             big, own = sketch[other], sketch[i]
-            good = likely((own > big).sum(1), (own < big).sum(1), (own == big).sum(1), np.full(len(other), n[i]), n[other], percent)
-            if good.any():
-                found.append((np.full(int(good.sum()), rep[i]), rep[other[good]]))
+            equal = (own == big).sum(1)
+            good = likely((own > big).sum(1), (own < big).sum(1), equal, np.full(len(other), n[i]), n[other], percent)
+            for j in other[good][np.argsort(-equal[good])]:
+                if comp[i] != comp[j] and sets.linked(packed[i], packed[j], percent):
+                    found.append((rep[i], rep[j]))
+                    comp[comp == comp[j]] = comp[i]
         if not found:
             return None
-        a, b = (np.concatenate(x) for x in zip(*found, strict=True))
-        return pa.RecordBatch.from_pydict({"a": pa.array(np.minimum(a, b)), "b": pa.array(np.maximum(a, b))})
+        return pa.RecordBatch.from_arrays([pa.array(np.array(x, np.int64)) for x in zip(*found, strict=True)], names=["a", "b"])
 
     for batch in batches:
         if not batch.num_rows:
@@ -172,12 +203,12 @@ def _across(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Reco
         cuts = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1), batch.num_rows]
         for start, stop in zip(cuts[:-1], cuts[1:], strict=True):
             if last is not None and tuple(key[start]) != last:
-                if made := pairs():
+                if made := links():
                     yield made
                 held = []
             last = tuple(key[start])
             held.append(batch.slice(start, stop - start))
-    if held and (made := pairs()):
+    if held and (made := links()):
         yield made
 
 
@@ -192,39 +223,26 @@ def _pack(batches: Iterator[pa.RecordBatch], needed) -> Iterator[pa.RecordBatch]
 
 
 def _verify(batches: Iterator[pa.RecordBatch], width: int, percent: int) -> Iterator[pa.RecordBatch]:
-    words, unpack = WordHashes(), zstandard.ZstdDecompressor()
-    recent: dict[int, tuple[bytes, np.ndarray]] = {}
-
-    def of(doc_id: int, packed: bytes) -> np.ndarray:
-        if (known := recent.get(doc_id)) is not None and known[0] == packed:
-            return known[1]
-        if len(recent) >= 32:
-            recent.clear()
-        recent[doc_id] = packed, text_set(unpack.decompress(packed), width, words)
-        return recent[doc_id][1]
-
+    sets = _Sets(width, 64)
     for batch in batches:
-        good = []
-        for a, b, p_a, p_b in zip(*(c.to_pylist() for c in batch.columns[:4]), strict=True):
-            s_a, s_b = of(a, p_a), text_set(unpack.decompress(p_b), width, words)
-            shared = len(np.intersect1d(s_a, s_b, assume_unique=True))
-            good.append(100 * shared >= percent * (len(s_a) + len(s_b) - shared))
+        good = [sets.linked(p_a, p_b, percent) for p_a, p_b in zip(*(c.to_pylist() for c in batch.columns[2:4]), strict=True)]
         yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
 
 
-def _needed(spark: SparkSession, pairs: DataFrame):
-    """A bounded filter of the ids in the pairs, as a broadcast bit array."""
+def packed_texts(ids: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """(id, packed) of at least the documents in ids: a bounded filter of their hashes picks the texts in one scan."""
     rows = (
-        pairs.select(F.explode(F.array("a", "b")).alias("id"))
-        .select((_slot(F.col("id")) + 1).alias("s"))  # Spark counts bits from 1
+        ids.select((_slot(F.col("id")) + 1).alias("s"))  # Spark counts bits from 1
         .groupBy(F.bitmap_bucket_number("s").alias("bucket"))
         .agg(F.bitmap_construct_agg(F.bitmap_bit_position("s")).alias("bits"))
         .toLocalIterator()
     )
-    out = np.zeros(NEED_BITS // 8, np.uint8)
-    for bucket, bits in rows:
-        out[(bucket - 1) * 4096 : bucket * 4096] = np.frombuffer(bytes(bits), np.uint8)
-    return spark.sparkContext.broadcast(out)
+    bits = np.zeros(NEED_BITS // 8, np.uint8)
+    for bucket, part in rows:
+        bits[(bucket - 1) * 4096 : bucket * 4096] = np.frombuffer(bytes(part), np.uint8)
+    needed = docs.sparkSession.sparkContext.broadcast(bits)
+    texts = docs.select("doc_id", "text", _slot(F.col("doc_id")).alias("slot"))
+    return scratch.cut(texts.mapInArrow(lambda b: _pack(b, needed), "id long, packed binary"), "texts")
 
 
 def _slot(column):
@@ -233,9 +251,7 @@ def _slot(column):
 
 def verified(pairs: DataFrame, docs: DataFrame, scratch: Scratch, width: int, percent: int) -> DataFrame:
     """Those of the pairs (a, b) whose full sets reach the similarity. Only texts of paired documents shuffle."""
-    needed = _needed(docs.sparkSession, pairs.select("a", "b"))
-    texts = docs.select("doc_id", "text", _slot(F.col("doc_id")).alias("slot")).mapInArrow(lambda b: _pack(b, needed), "id long, packed binary")
-    texts = scratch.cut(texts, "texts")
+    texts = packed_texts(pairs.select(F.explode(F.array("a", "b")).alias("id")), docs, scratch)
     right = texts.select(F.col("id").alias("b"), F.col("packed").alias("p_b"))
     left = texts.select(F.col("id").alias("a"), F.col("packed").alias("p_a"))
     joined = pairs.join(right, "b").join(left, "a").select("a", "b", "p_a", "p_b")
@@ -269,13 +285,15 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
     # buckets that still hold more than one component
     labelled = scratch.cut(members.join(found, F.col("rep") == F.col("node"), "left").select("key", "rep", "pivot", "size", F.coalesce("component", "rep").alias("comp")), "labelled")
     open_keys = scratch.cut(labelled.where("size > 2").groupBy("key").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 <> c2").select("key"), "open")
-    rest = labelled.join(open_keys, "key").join(reps, "rep")
+    rest = scratch.cut(labelled.join(open_keys, "key"), "rest")
+    packed = packed_texts(rest.select(F.col("rep").alias("id")), texts, scratch).withColumnRenamed("id", "rep")
+    rest = rest.join(reps.join(packed, "rep"), "rep")
     blocks = F.ceil(F.col("size") / BLOCK).cast("long")
     rest = rest.withColumn("own", F.pmod(F.xxhash64("rep"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
-    rest = rest.select("key", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "rep", "pivot", "comp", "n", "sketch", F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2).alias("side"))
-    across = rest.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y").mapInArrow(lambda b: _across(b, percent), "a long, b long").distinct()
-    more_pairs = scratch.cut(across, "across")
-    more = verified(more_pairs, texts, scratch, width, percent)
+    side = F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2)
+    rest = rest.select("key", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "rep", "pivot", "comp", "n", "sketch", "packed", side.alias("side"))
+    across = rest.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y").mapInArrow(lambda b: _across(b, width, percent), "a long, b long").distinct()
+    more = scratch.cut(across, "more")
     if not more.isEmpty():
         found = scratch.cut(connected_components(links.unionByName(more), scratch), "components")
 
