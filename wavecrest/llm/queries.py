@@ -7,6 +7,7 @@ import importlib
 #: query name -> (module, function, name of its SQL or None)
 TABLE = {
     "op1_warc": ("warc", "op1_warc", "OP1_SQL"),
+    "op3_toxicity": ("toxicity", "op3_toxicity", None),
     "op5_near_duplicates": ("neardup", "op5_near_duplicates", "OP5_SQL"),
     "op9_sentence_spans": ("spans", "op9_sentence_spans", None),
     "op10_decontaminate": ("decontaminate", "op10_decontaminate", None),
