@@ -9,6 +9,7 @@ TABLE = {
     "op1_warc": ("warc", "op1_warc", "OP1_SQL"),
     "op3_toxicity": ("toxicity", "op3_toxicity", None),
     "op5_near_duplicates": ("neardup", "op5_near_duplicates", "OP5_SQL"),
+    "op7_top_k": ("topk", "op7_top_k", "OP7_SQL"),
     "op9_sentence_spans": ("spans", "op9_sentence_spans", None),
     "op10_decontaminate": ("decontaminate", "op10_decontaminate", None),
     "op6_lines": ("lines", "op6_lines", "OP6_SQL"),
