@@ -229,8 +229,8 @@ def _verify(batches: Iterator[pa.RecordBatch], width: int, percent: int) -> Iter
         yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
 
 
-def packed_texts(ids: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """(id, packed) of at least the documents in ids: a bounded filter of their hashes picks the texts in one scan."""
+def filter_bits(ids: DataFrame) -> np.ndarray:
+    """A filter of NEED_BITS bits, whatever the input's size, of the hashes of the column id."""
     rows = (
         ids.select((_slot(F.col("id")) + 1).alias("s"))  # Spark counts bits from 1
         .groupBy(F.bitmap_bucket_number("s").alias("bucket"))
@@ -240,7 +240,12 @@ def packed_texts(ids: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame
     bits = np.zeros(NEED_BITS // 8, np.uint8)
     for bucket, part in rows:
         bits[(bucket - 1) * 4096 : bucket * 4096] = np.frombuffer(bytes(part), np.uint8)
-    needed = docs.sparkSession.sparkContext.broadcast(bits)
+    return bits
+
+
+def packed_texts(ids: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """(id, packed) of at least the documents in ids: a bounded filter of their hashes picks the texts in one scan."""
+    needed = docs.sparkSession.sparkContext.broadcast(filter_bits(ids))
     texts = docs.select("doc_id", "text", _slot(F.col("doc_id")).alias("slot"))
     return scratch.cut(texts.mapInArrow(lambda b: _pack(b, needed), "id long, packed binary"), "texts")
 
