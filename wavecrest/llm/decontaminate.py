@@ -37,13 +37,14 @@ from pyspark.sql import functions as F
 from wavecrest.llm._text import as_bytes, mix, slices
 
 EDGE = b"\"'`.,;:!?()[]{}<>*%$&#|/\\~^_=+-"
-NUMBER = re.compile(rb"[+-]?\d[\d.,]*$")
-QUANTITY = re.compile(rb"[+-]?\d[\d.,]*[a-z\xc2\xb0\xc2\xb2\xc2\xb3]{1,4}$")
+NUMBER = re.compile(rb"\d[\d.,]*$")
+QUANTITY = re.compile(rb"\d[\d.,]*[a-z\xc2\xb0\xc2\xb2\xc2\xb3]{1,4}$")
 #: Number words and units of measure.
 NUMBER_WORDS = frozenset(b"zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion dozen".split())
 UNITS = frozenset(b"mm cm dm m km mg g kg t ml cl dl l ms s sec secs min mins h hr hrs second seconds minute minutes hour hours day days week weeks month months year years inch inches foot feet yard yards mile miles ounce ounces pound pounds gallon gallons metre metres meter meters kilometre kilometres kilometer kilometers gram grams kilogram kilograms litre litres liter liters dollar dollars cent cents euro euros percent degrees celsius fahrenheit mph kph watt watts volt volts joule joules newton newtons".split())
 LITERAL, NUM, UNIT, NAME, BOTH = range(5)
 SLOT = np.array([0, 0x51ED270B0A1F39C1, 0x2545F4914F6CDD1D, 0x369DEA0F31A53F85, 0x27BB2EE687B0B0FD], np.uint64)
+#: Shorter items are left out.
 MIN_ITEM = 5
 BLOCK_BYTES = 8 << 20
 FILTER = 1 << 22
@@ -52,51 +53,63 @@ FILTER = 1 << 22
 class Words:
     """Raw words by number: literal hash, kind inside a sentence and at its start, whether it ends one."""
 
-    def __init__(self, limit: int = 200_000):
+    def __init__(self, limit: int = 400_000):
         self.limit = limit
         self.clear()
 
     def clear(self) -> None:
         self.number: dict[bytes, int] = {}
         self.rows: list[tuple] = []
-        self.table = np.empty((0, 5), np.uint64)
+        self.hashes, self.marks = np.empty(0, np.uint64), np.empty((0, 4), np.int8)
 
-    def of(self, text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(literal hash, hash with placeholders, kind) of each word of the text."""
-        words = text.replace(b"\n", b" . ").split()
+    def of(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(literal hash, hash with placeholders, kind) of each word of the texts, end to end, and where each text ends."""
         if len(self.number) > self.limit:
             self.clear()
-        number, rows = self.number, self.rows
+        number, rows, words, ends = self.number, self.rows, [], []
+        for text in texts:
+            words += text.replace(b"\n", b" . ").split()
+            ends.append(len(words))
         for w in set(words).difference(number):
             number[w] = len(rows)
             rows.append(self.kind(w))
-        if len(self.table) < len(rows):
-            self.table = np.concatenate([self.table, np.array(rows[len(self.table) :], np.uint64).reshape(-1, 5)])
-        at = self.table[np.fromiter(map(number.__getitem__, words), np.int64, len(words))]
-        start = np.ones(len(words), np.uint64)
-        start[1:] = at[:-1, 3]
-        kind = np.where(start == 1, at[:, 2], at[:, 1]).astype(np.int64)
-        keep = at[:, 4] == 1
-        literal, kind = at[keep, 0], kind[keep]
-        return literal, np.where(kind == LITERAL, literal, SLOT[kind]), kind
+        if len(self.hashes) < len(rows):
+            new = rows[len(self.hashes) :]
+            self.hashes = np.concatenate([self.hashes, np.fromiter((r[0] for r in new), np.uint64, len(new))])
+            self.marks = np.concatenate([self.marks, np.array([r[1:] for r in new], np.int8)])
+        at = np.fromiter(map(number.__getitem__, words), np.int64, len(words))
+        ends = np.array(ends, np.int64)
+        marks = self.marks[at]
+        start = np.ones(len(words), bool)
+        start[1:] = marks[:-1, 2] == 1
+        start[ends[:-1][ends[:-1] < len(words)]] = True
+        keep = marks[:, 3] == 1
+        literal, kind = self.hashes[at[keep]], np.where(start, marks[:, 1], marks[:, 0])[keep]
+        return literal, np.where(kind == LITERAL, literal, SLOT[kind]), kind, np.concatenate([[0], np.cumsum(keep)])[ends]
 
     @staticmethod
     def kind(word: bytes) -> tuple[int, int, int, int, int]:
         core = word.strip(EDGE)
+        if not core:
+            return 0, LITERAL, LITERAL, int(any(c in b".!?" for c in word)), 0
         low = core.lower()
-        tail = word[len(word.rstrip(EDGE)) :] if core else word
-        ends = int(any(c in b".!?" for c in tail))
-        if NUMBER.match(low) or low in NUMBER_WORDS:
-            inside = first = NUM
-        elif low in UNITS:
+        tail = word[len(word.rstrip(EDGE)) :]
+        ends = int(bool(tail) and any(c in b".!?" for c in tail))
+        inside = first = LITERAL
+        if low in UNITS:
             inside = first = UNIT
-        elif QUANTITY.match(low):
-            inside = first = BOTH
-        else:
+        elif low in NUMBER_WORDS:
+            inside = first = NUM
+        elif 48 <= low[0] <= 57:
+            if NUMBER.match(low):
+                inside = first = NUM
+            elif QUANTITY.match(low):
+                inside = first = BOTH
+        elif core[0] >= 0xC3 or 65 <= core[0] <= 90:
             text = core.decode("utf-8", "replace")
-            inside = NAME if len(text) > 1 and text[0].isupper() and not text.isupper() else LITERAL
-            first = LITERAL
-        return xxhash.xxh3_64_intdigest(low), inside, first, ends, int(bool(core))
+            if len(text) > 1 and text[0].isupper() and not text.isupper():
+                inside = NAME
+        return xxhash.xxh3_64_intdigest(low), inside, first, ends, 1
 
 
 def window_hashes(words: np.ndarray, width: int, seed: int) -> np.ndarray:
@@ -127,7 +140,7 @@ class Index:
         self.width, self.items, self.at = width, {}, {}
         widths = set()
         for number, (item_id, text) in enumerate(items):
-            literal, canon, kind = words.of((text or "").encode())
+            literal, canon, kind, _ = words.of([(text or "").encode()])
             if len(literal) < MIN_ITEM:
                 continue
             self.items[number] = (item_id, literal, kind)
@@ -139,7 +152,25 @@ class Index:
                         self.at.setdefault(h, []).append((number, place, w, typed))
         self.widths = sorted(widths)
         self.filter = np.zeros(FILTER, bool)
-        self.filter[np.fromiter(self.at, np.uint64, len(self.at)) & np.uint64(FILTER - 1)] = True
+        self.known = np.sort(np.fromiter(self.at, np.uint64, len(self.at)))
+        self.filter[self.known & np.uint64(FILTER - 1)] = True
+
+    def judge(self, words: Words, texts: list[bytes], run_words: int) -> dict[int, list[tuple]]:
+        """Matches of those texts that have any, by number. Texts are looked through end to end; few have a known window."""
+        literal, canon, kind, ends = words.of(texts)
+        owner = np.repeat(np.arange(len(texts)), np.diff(np.concatenate([[0], ends])))
+        some: set[int] = set()
+        for w in self.widths:
+            for hashes in _windows(literal, canon, kind, w):
+                maybe = np.flatnonzero(self.filter[hashes & np.uint64(FILTER - 1)])
+                maybe = maybe[self.known[np.minimum(np.searchsorted(self.known, hashes[maybe]), len(self.known) - 1)] == hashes[maybe]]
+                some.update(owner[maybe[owner[maybe] == owner[maybe + w - 1]]].tolist())
+        out = {}
+        for t in sorted(some):
+            part = slice(ends[t - 1] if t else 0, ends[t])
+            if found := self.matches(literal[part], canon[part], kind[part], run_words):
+                out[t] = found
+        return out
 
     def matches(self, literal: np.ndarray, canon: np.ndarray, kind: np.ndarray, run_words: int) -> list[tuple]:
         """(item id, longest run of matched words, words of the item, whether verbatim) of each contaminating item."""
@@ -179,7 +210,8 @@ def _longest(flags: np.ndarray) -> int:
 def _leaks(batches: Iterator[pa.RecordBatch], index, run_words: int) -> Iterator[pa.RecordBatch]:
     words, block = Words(), index.value
     for part in slices(batches, "text"):
-        rows = [(doc_id, *m) for doc_id, text in zip(part.column(0).to_pylist(), as_bytes(part.column(1)), strict=True) for m in block.matches(*words.of(text), run_words)]
+        ids = part.column(0)
+        rows = [(ids[t].as_py(), *m) for t, found in block.judge(words, as_bytes(part.column(1)), run_words).items() for m in found]
         if rows:
             d, i, run, n, plain = zip(*rows, strict=True)
             yield pa.RecordBatch.from_pydict({"doc_id": pa.array(d, pa.int64()), "item_id": pa.array(i, pa.int64()), "matched_words": pa.array(run, pa.int64()), "item_words": pa.array(n, pa.int64()), "found_as": pa.array(["verbatim" if p else "template" for p in plain])})
@@ -189,7 +221,8 @@ def _clean(batches: Iterator[pa.RecordBatch], index, run_words: int) -> Iterator
     words, block = Words(), index.value
     for part in slices(batches, "text"):
         texts = as_bytes(part.column(part.schema.get_field_index("text")))
-        yield part.filter(pa.array([not block.matches(*words.of(t), run_words) for t in texts], pa.bool_()))
+        bad = block.judge(words, texts, run_words)
+        yield part.filter(pa.array([t not in bad for t in range(len(texts))], pa.bool_())) if bad else part
 
 
 def _blocks(items: DataFrame, width: int) -> Iterator:
