@@ -1,17 +1,547 @@
-"""All queries of the series engine, by name."""
+"""All queries of the series engine, by name, each with its DuckDB SQL where there is one."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from wavecrest.functions.banks import fourier_projections, gaussian_windows, random_kernels, statistic_nets
+from wavecrest.functions.columns import long, rounded
+from wavecrest.operators import battery as bat
+from wavecrest.operators import dictionary, embedding, evaluation, families, fourspace, heads, prep
+from wavecrest.plans import sql
+from wavecrest.sources import results, series
+
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+
+def add(name: str, query: Query, oracle: str | None = None) -> None:
+    _QUERIES[name] = query
+    if oracle:
+        _SQL[name] = oracle
 
-def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "label")
 
+def query(name: str, oracle: str | None = None):
+    def register(function: Query) -> Query:
+        add(name, function, oracle)
+        return function
 
-def queries() -> dict:
-    return {}
+    return register
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+# series preparation
+
+
+def _long(source, expression):
+    return lambda spark, sf: long(source(spark, sf).select("series_id", expression(F.col("x")).alias("values")), ["series_id"])
+
+
+_Z = sql.clean("SELECT id AS series_id, t AS col, v AS val FROM z")
+add("prep_znorm", _long(series.vectors, prep.znorm), f"WITH {sql.znormed(sql.S1)} {_Z}")
+add("prep_znorm_ragged", _long(series.user_values, prep.znorm), f"WITH {sql.znormed(sql.S2)} {_Z}")
+add("prep_diff", _long(series.vectors, prep.diff), f"WITH {sql.rows(sql.S1)} " + sql.clean("SELECT id AS series_id, t - 1 AS col, v - lag(v) OVER (PARTITION BY id ORDER BY t) AS val FROM r QUALIFY t > 0"))
+add("prep_diff_padded", _long(series.vectors, prep.diff_padded), f"WITH {sql.rows(sql.S1)} " + sql.clean("SELECT id AS series_id, t AS col, coalesce(lead(v) OVER (PARTITION BY id ORDER BY t) - v, 0) AS val FROM r"))
+add(
+    "prep_hilbert_envelope",
+    lambda spark, sf: long(fourspace.over_series(series.vectors(spark, sf), fourspace.envelope), ["series_id"]),
+    f"WITH {sql.rows(sql.S1)}, f AS (SELECT id, k, sum(v * cos(2*pi()*k*t/64)) AS re, -sum(v * sin(2*pi()*k*t/64)) AS im FROM r CROSS JOIN range(33) g(k) GROUP BY id, k) "
+    + sql.clean("SELECT id AS series_id, t AS col, sqrt(sum(h * (re * cos(2*pi()*k*t/64) - im * sin(2*pi()*k*t/64)))**2 + sum(h * (re * sin(2*pi()*k*t/64) + im * cos(2*pi()*k*t/64)))**2) / 64 AS val FROM (SELECT *, CASE WHEN k IN (0, 32) THEN 1 ELSE 2 END AS h FROM f) CROSS JOIN range(64) x(t) GROUP BY id, t"),
+)
+_HOLES = "CASE WHEN (id * 7 + t) % 97 = 0 THEN 'nan'::DOUBLE WHEN (id * 11 + t) % 89 = 0 THEN 'inf'::DOUBLE ELSE v END"
+
+
+@query("prep_scrub", f"WITH {sql.rows(sql.S1)} " + sql.clean(f"SELECT id AS series_id, t AS col, CASE WHEN isnan(q) THEN 0 WHEN isinf(q) THEN 1e300 ELSE q END AS val FROM (SELECT id, t, {_HOLES} AS q FROM r)"))
+def prep_scrub(spark, sf):
+    """NaN and infinities put into the vectors by a rule, and scrubbed; the largest double is shown as 1e300."""
+    holes = F.transform("x", lambda v, t: F.when((F.col("series_id") * 7 + t) % 97 == 0, float("nan")).when((F.col("series_id") * 11 + t) % 89 == 0, float("inf")).otherwise(v))
+    shown = F.transform(prep.scrub(holes), lambda v: F.least(v, F.lit(1e300)))
+    cells = series.vectors(spark, sf).select("series_id", F.posexplode(shown).alias("col", "val"))
+    return cells.withColumn("val", F.when(F.col("val") < 1e299, rounded(F.col("val"))).otherwise(F.col("val")))
+
+
+@query("prep_scrub_series", f"WITH {sql.rows(sql.S2)} " + sql.clean("SELECT id AS series_id, t AS col, CASE WHEN id % 3 = 0 THEN 0 ELSE (v - avg(v) OVER (PARTITION BY id)) / (stddev_pop(v) OVER (PARTITION BY id) + 1e-8) END AS val FROM r"))
+def prep_scrub_series(spark, sf):
+    """One NaN makes the whole normalised series 0, as scrubbing comes after it."""
+    x = F.when(F.col("series_id") % 3 == 0, F.transform("x", lambda v, i: F.when(i == 0, float("nan")).otherwise(v))).otherwise(F.col("x"))
+    return long(prep.normalised(series.user_values(spark, sf).withColumn("x", x)).select("series_id", F.col("x").alias("values")), ["series_id"])
+
+
+for _name, _source, _text in (("users", series.user_values, sql.S2), ("short", series.customer_orders, sql.S4)):
+    add(
+        f"prep_windows_{_name}",
+        lambda spark, sf, source=_source: prep.windows(source(spark, sf)).select("series_id", "w", "start", F.posexplode("window").alias("col", "val")).withColumn("val", rounded(F.col("val"))),
+        f"WITH {sql.windows(_text)} " + sql.clean("SELECT id AS series_id, w, start, t AS col, v AS val FROM win", "series_id, w, start"),
+    )
+add(
+    "prep_windows_index",
+    lambda spark, sf: prep.windows(series.supplier_prices(spark, sf)).select("series_id", "w", "start"),
+    f"WITH {sql.rows(sql.S3)}, q AS (SELECT DISTINCT id, n FROM r), st AS (SELECT DISTINCT id, unnest(list_concat(range(0, n - 63, 16), [n - 64])) AS start FROM q) SELECT id AS series_id, (row_number() OVER (PARTITION BY id ORDER BY start) - 1)::INT AS w, start::INT AS start FROM st",
+)
+add(
+    "prep_resample_short",
+    lambda spark, sf: long(series.customer_orders(spark, sf).where("size(x) BETWEEN 2 AND 63").select("series_id", prep.resample_short(F.col("x")).alias("values")), ["series_id"]),
+    f"WITH {sql.rows(sql.S4)}, q AS (SELECT DISTINCT id, n FROM r WHERE n BETWEEN 2 AND 63) "
+    + sql.clean("SELECT q.id AS series_id, i AS col, a.v + (c.v - a.v) * (i * (q.n - 1) / 63e0 - a.t) AS val FROM q CROSS JOIN range(64) g(i) JOIN r a ON a.id = q.id AND a.t = least(floor(i * (q.n - 1) / 63e0), q.n - 2) JOIN r c ON c.id = q.id AND c.t = a.t + 1"),
+)
+add(
+    "prep_edge_pad",
+    lambda spark, sf: long(series.customer_orders(spark, sf).where("size(x) < 64").select("series_id", prep.edge_pad(F.col("x")).alias("values")), ["series_id"]),
+    f"WITH {sql.rows(sql.S4)} " + sql.clean("SELECT id AS series_id, i AS col, x[greatest(i - (64 - n), 0) + 1] AS val FROM (SELECT id, x, len(x) AS n FROM s WHERE len(x) < 64) CROSS JOIN range(64) g(i)"),
+)
+
+# window families, pooling, embeddings
+
+
+def window_family(source, names):
+    return lambda spark, sf: long(families.window_features(prep.windows(source(spark, sf)), names), ["series_id", "w"])
+
+
+for _name in families.WIDTHS:
+    add(f"fam_{_name}", window_family(series.vectors, [_name]), sql.family_query(_name, sql.S1))
+    if _name not in ("hydra_compete", "crf_max"):
+        add(f"fam_{_name}_users", window_family(series.user_values, [_name]), sql.family_query(_name, sql.S2))
+
+
+def _pooled(frame: DataFrame) -> DataFrame:
+    return frame.withColumn("val", rounded(F.col("val")))
+
+
+def _features(spark, sf, source, names):
+    return families.window_features(prep.windows(source(spark, sf)), names)
+
+
+add("pool_full_stats", lambda spark, sf: _pooled(embedding.pooled(_features(spark, sf, series.user_values, ["stats"]))), sql.pooled_query("stats", sql.S2))
+for _name in ("ricker_wavelet", "crf_ppv", "ar_residual", "curvature"):
+    _ops = embedding.PRUNED[_name]
+    add(f"pool_pruned_{_name}", lambda spark, sf, n=_name, ops=_ops: _pooled(embedding.pooled(_features(spark, sf, series.user_values, [n]), operations=ops)), sql.pooled_query(_name, sql.S2, _ops))
+
+
+@query("pool_multichannel", sql.pooled_query("turning", sql.S3_CHANNELS, bag="id // 4"))
+def pool_multichannel(spark, sf):
+    """Windows of all four channels of a supplier pooled as one bag."""
+    channels = series.supplier_channels(spark, sf).select(F.col("series_id").alias("bag"), F.explode("channels").alias("x"))
+    cut = prep.windows(channels.withColumn("series_id", F.col("bag")))
+    return _pooled(embedding.pooled(families.window_features(cut, ["turning"])))
+
+
+def _embedding_sql() -> str:
+    parts, at = [], 0
+    for name, width in families.WIDTHS.items():
+        more, inner = sql.family(name)
+        for k, value in enumerate(("val", "0e0", "val")):
+            parts.append(f"SELECT id AS series_id, {k * families.COLUMNS + at} + col AS col, {value} AS val FROM (WITH _d AS (SELECT 1){', ' + more if more else ''} {inner})")
+        at += width
+    return f"WITH {sql.windows(sql.S1)} " + sql.clean(" UNION ALL ".join(parts))
+
+
+add("embed519", lambda spark, sf: long(embedding.embed(series.vectors(spark, sf)).select("series_id", F.col("embedding").alias("values")), ["series_id"]), _embedding_sql())
+add("embed211", lambda spark, sf: long(embedding.embed(series.user_values(spark, sf), "pruned").select("series_id", F.col("embedding").alias("values")), ["series_id"]))
+add("embed519_suppliers", lambda spark, sf: long(embedding.embed(series.supplier_prices(spark, sf)).select("series_id", F.col("embedding").alias("values")), ["series_id"]))
+add("embed519_multichannel", lambda spark, sf: long(embedding.embed(series.supplier_channels(spark, sf), column="channels").select("series_id", F.col("embedding").alias("values")), ["series_id"]))
+
+
+def star(spark: SparkSession, sf: str) -> DataFrame:
+    """(series_id, label, z): the 519 columns scaled by training rows, and 241 battery columns."""
+    embedded = embedding.embed(series.vectors(spark, sf), keep=("label",)).persist()
+    scaler = heads.fit_scaler(embedded.where(~series.is_test(F.col("series_id"))), "embedding")
+    scaled = heads.scaled(embedded, scaler, "embedding", "z", ("series_id", "label"))
+    return bat.with_battery(scaled, "z", output="values", keep=("series_id", "label"), append=True)
+
+
+add("embed760", lambda spark, sf: long(star(spark, sf).select("series_id", "values"), ["series_id"]))
+
+
+def full_features(spark: SparkSession, sf: str) -> DataFrame:
+    """(series_id, label, values): 1,512 dictionary columns and the 760."""
+    source = series.vectors(spark, sf)
+    model = dictionary.fit(source.where(~series.is_test(F.col("series_id"))))
+    words = dictionary.apply(source, model, keep=("series_id", "label")).withColumnRenamed("values", "words")
+    return words.join(star(spark, sf).drop("label"), "series_id").select("series_id", "label", F.concat("words", "values").alias("values"))
+
+
+@query("embed2272")
+def embed2272(spark, sf):
+    return full_features(spark, sf).select("series_id", F.size("values").alias("width"), rounded(F.aggregate("values", F.lit(0.0), lambda a, v: a + v), 4).alias("total"))
+
+
+# battery
+
+
+def _battery_source(spark: SparkSession, sf: str) -> DataFrame:
+    rows = series.vectors(spark, sf)
+    return heads.scaled(rows, heads.fit_scaler(rows), "x", "z")
+
+
+for _name, (_channel, _bank, _) in bat.BLOCKS.items():
+    add(f"bat_{_name}", lambda spark, sf, n=_name: long(bat.with_battery(_battery_source(spark, sf), names=[n]), ["series_id"]), sql.battery_query(_name, _channel, _bank))
+add("bat_rank_channel", lambda spark, sf: long(fourspace.over_series(_battery_source(spark, sf), bat.rank_channel, "z"), ["series_id"]), sql.RANK_CHANNEL)
+
+# four-space
+
+
+def _over(source, function, digits: int = 6):
+    return lambda spark, sf: long(fourspace.over_series(source(spark, sf), function), ["series_id"], digits=digits)
+
+
+def _suppliers_256(spark: SparkSession, sf: str) -> DataFrame:
+    return series.supplier_prices(spark, sf).where("size(x) >= 256").select("series_id", F.slice("x", 1, 256).alias("x"))
+
+
+add("four_temporal", _over(_suppliers_256, lambda x: x @ gaussian_windows(256, 12).T), sql.temporal_query(12))
+add("four_fourier", _over(series.vectors, lambda x: fourspace.fourier(x, fourier_projections(64, 2, 16))), sql.fourier_query(2, 16))
+add("four_statistics", _over(series.vectors, fourspace.statistics), sql.STATISTICS_QUERY)
+add("four_nets", _over(series.vectors, lambda x: fourspace.nets(fourspace.statistics(x), statistic_nets(10))), sql.nets_query(10))
+
+
+def _kernels(transform: str, pooling: str):
+    # a mean position has many exact decimal halves at six digits
+    return _over(series.vectors, lambda x: fourspace.kernel_features(x, *random_kernels(64, 6), [transform], [pooling]), 10 if pooling == "mipv" else 6)
+
+
+for _pool in fourspace.POOLS:
+    add(f"four_kernel_{_pool}", _kernels("identity", _pool), sql.kernel_query(_pool))
+for _transform in ("diff", "hilbert"):
+    add(f"four_kernel_{_transform}", _kernels(_transform, "max"), sql.kernel_query("max", _transform))
+add("four_concat1410", lambda spark, sf: long(fourspace.four_space(_suppliers_256(spark, sf)), ["series_id"]))
+
+
+@query("four_configurations")
+def four_configurations(spark, sf):
+    """Each ablation configuration and the width that its transform has."""
+    rows = [(c.name, c.windows, c.projections, c.nets, c.kernels, ",".join(c.transforms), ",".join(c.poolings), c.width) for c in fourspace.CONFIGURATIONS.values()]
+    return spark.createDataFrame(rows, "config string, windows int, projections int, nets int, kernels int, transforms string, poolings string, width int")
+
+
+# dictionary
+
+add("dict_minirocket_fixed", lambda spark, sf: long(dictionary.ppv_at_zero(series.vectors(spark, sf)), ["series_id"]), sql.rocket_query())
+
+
+@query("dict_minirocket1512")
+def dict_minirocket(spark, sf):
+    source = series.vectors(spark, sf)
+    return long(dictionary.apply(source, dictionary.fit(source.where(~series.is_test(F.col("series_id"))))), ["series_id"])
+
+
+# models
+
+_SPLIT = "SELECT vec_id AS id, embedding::DOUBLE[] AS x, label, vec_id % 5 = 0 AS test FROM embeddings"
+_CELLS = f"s AS ({_SPLIT}), r AS (SELECT id, label, test, unnest(x) AS v, generate_subscripts(x, 1) - 1 AS t FROM s), mo AS (SELECT t, avg(v) AS mean, stddev_pop(v) AS std FROM r WHERE NOT test GROUP BY t)"
+
+
+def _split(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    rows, test = series.vectors(spark, sf), series.is_test(F.col("series_id"))
+    return rows.where(~test), rows.where(test)
+
+
+@query("split_train_test", "SELECT vec_id AS series_id, label, CASE WHEN vec_id % 5 = 0 THEN 'test' ELSE 'train' END AS part FROM embeddings")
+def split_train_test(spark, sf):
+    return series.vectors(spark, sf).select("series_id", "label", F.when(series.is_test(F.col("series_id")), "test").otherwise("train").alias("part"))
+
+
+@query("model_scaler_fit", f"WITH {_CELLS} SELECT t::INT AS col, round(mean, 6) + 0.0 AS mean, round(std, 6) AS std FROM mo")
+def model_scaler_fit(spark, sf):
+    return heads.column_moments(_split(spark, sf)[0]).select("col", rounded(F.col("mean")).alias("mean"), F.round("std", 6).alias("std"))
+
+
+@query("model_scaler_apply", f"WITH {_CELLS} " + sql.clean("SELECT id AS series_id, t AS col, (v - mean) / std AS val FROM r JOIN mo USING (t) WHERE test"))
+def model_scaler_apply(spark, sf):
+    train, test = _split(spark, sf)
+    return long(heads.scaled(test, heads.fit_scaler(train)).withColumnRenamed("z", "values"), ["series_id"])
+
+
+@query("model_label_encode", f"WITH {_CELLS}, c AS (SELECT label, (row_number() OVER (ORDER BY label) - 1)::INT AS code FROM (SELECT DISTINCT label FROM s WHERE NOT test AND label IS NOT NULL)) SELECT id AS series_id, label, coalesce(code, -1)::INT AS code FROM s LEFT JOIN c USING (label)")
+def model_label_encode(spark, sf):
+    train, _ = _split(spark, sf)
+    return heads.encode(series.vectors(spark, sf), heads.label_codes(train)).select("series_id", "label", "code")
+
+
+@query("model_label_unseen", f"WITH {_CELLS}, c AS (SELECT label, (row_number() OVER (ORDER BY label) - 1)::INT AS code FROM (SELECT DISTINCT label FROM s WHERE NOT test AND label < 7)) SELECT id AS series_id, coalesce(code, -1)::INT AS code FROM s LEFT JOIN c USING (label) WHERE test")
+def model_label_unseen(spark, sf):
+    """Labels from 7 on are kept out of training, so their test rows get -1."""
+    train, test = _split(spark, sf)
+    return heads.encode(test, heads.label_codes(train.where("label < 7"))).select("series_id", "code")
+
+
+@query("model_distinct_classes", "SELECT count(DISTINCT label)::BIGINT AS classes FROM embeddings")
+def model_distinct_classes(spark, sf):
+    return series.vectors(spark, sf).agg(F.count_distinct("label").alias("classes"))
+
+
+_RIDGE3 = f"""WITH {_CELLS}, f AS (SELECT id, CASE WHEN any_value(label) = 0 THEN 1e0 ELSE -1e0 END AS y, sum(CASE WHEN t = 0 THEN (v - mean) / std END) AS a, sum(CASE WHEN t = 1 THEN (v - mean) / std END) AS b, sum(CASE WHEN t = 2 THEN (v - mean) / std END) AS c FROM r JOIN mo USING (t) WHERE NOT test AND t < 3 GROUP BY id),
+g AS (SELECT a - avg(a) OVER () AS a, b - avg(b) OVER () AS b, c - avg(c) OVER () AS c, y - avg(y) OVER () AS y FROM f),
+m AS (SELECT sum(a*a) + 1 AS p, sum(a*b) AS q, sum(a*c) AS r, sum(b*b) + 1 AS s, sum(b*c) AS u, sum(c*c) + 1 AS w, sum(a*y) AS x, sum(b*y) AS y, sum(c*y) AS z FROM g),
+d AS (SELECT *, p*(s*w - u*u) - q*(q*w - u*r) + r*(q*u - s*r) AS det FROM m),
+o AS (SELECT unnest(range(3)) AS col, unnest([(x*(s*w - u*u) - q*(y*w - u*z) + r*(y*u - s*z)) / det, (p*(y*w - u*z) - x*(q*w - u*r) + r*(q*z - y*r)) / det, (p*(s*z - y*u) - q*(q*z - y*r) + x*(q*u - s*r)) / det]) AS val FROM d)
+SELECT col::INT AS col, round(val, 6) + 0.0 AS val FROM o"""
+
+
+@query("model_ridge3_fixed_alpha", _RIDGE3)
+def model_ridge3(spark, sf):
+    """Three scaled columns, one class against the rest, alpha 1."""
+    train, _ = _split(spark, sf)
+    scaled = heads.scaled(train, heads.fit_scaler(train), keep=("series_id", "label")).select("series_id", F.slice("z", 1, 3).alias("z"), (F.col("label") == 0).cast("int").alias("code"))
+    model = heads.ridge_at(scaled, 2, 1.0)
+    return spark.createDataFrame([(i, float(v)) for i, v in enumerate(model.weights[:, 0])], "col int, val double").withColumn("val", rounded(F.col("val")))
+
+
+def _coded(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, int]:
+    train, test = _split(spark, sf)
+    codes, scaler = heads.label_codes(train), heads.fit_scaler(train)
+    made = [heads.scaled(heads.encode(part, codes), scaler, keep=("series_id", "code")) for part in (train, test)]
+    return made[0], made[1], codes.count()
+
+
+@query("model_ridge_gcv")
+def model_ridge_gcv(spark, sf):
+    train, _, classes = _coded(spark, sf)
+    model, errors = heads.ridge_cv(train, classes)
+    return spark.createDataFrame([(a, float(e), a == model.alpha) for a, e in errors.items()], "alpha double, error double, chosen boolean").withColumn("error", F.round("error", 6))
+
+
+@query("model_predict")
+def model_predict(spark, sf):
+    train, test, classes = _coded(spark, sf)
+    return heads.predict(test, heads.ridge_cv(train, classes)[0], keep=("series_id", "code"))
+
+
+@query("model_accuracy")
+def model_accuracy(spark, sf):
+    return heads.accuracy(model_predict(spark, sf))
+
+
+@query("model_classify_star")
+def model_classify_star(spark, sf):
+    rows, test = star(spark, sf).persist(), series.is_test(F.col("series_id"))
+    return heads.classify(rows.where(~test), rows.where(test), "values")
+
+
+@query("model_classify_full")
+def model_classify_full(spark, sf):
+    rows, test = full_features(spark, sf).persist(), series.is_test(F.col("series_id"))
+    return heads.classify(rows.where(~test), rows.where(test), "values")
+
+
+@query("model_classify_four_space")
+def model_classify_four_space(spark, sf):
+    rows, test = fourspace.four_space(series.vectors(spark, sf), keep=("series_id", "label")), series.is_test(F.col("series_id"))
+    return heads.classify(rows.where(~test), rows.where(test), "values", alphas=heads.WIDE_ALPHAS)
+
+
+@query("model_logistic")
+def model_logistic(spark, sf):
+    train, test, _ = _coded(spark, sf)
+    from pyspark.ml.functions import array_to_vector
+
+    fitted = heads.logistic_head(train)
+    out = fitted.transform(test.select("series_id", F.col("code").cast("double").alias("code"), array_to_vector("z").alias("v")))
+    return heads.accuracy(out)
+
+
+def _matrices(spark: SparkSession, sf: str) -> tuple[np.ndarray, ...]:
+    """Kernel block and window block of train and test rows, from a sample of at most 512 series each."""
+    rows = series.vectors(spark, sf)
+    made = []
+    for part in (rows.where(~series.is_test(F.col("series_id"))), rows.where(series.is_test(F.col("series_id")))):
+        part = part.orderBy("series_id").limit(512)
+        for block in (dictionary.ppv_at_zero(part), embedding.embed(part, "pruned").select("series_id", F.col("embedding").alias("values"))):
+            made.append(np.array([r["values"] for r in block.orderBy("series_id").collect()]))
+    return tuple(made)
+
+
+@query("eval_unexplained_variance")
+def eval_unexplained_variance(spark, sf):
+    """How much of the window block, and of an equally wide mixture of the kernel block, a ridge from the kernel block leaves."""
+    a, b, a_test, b_test = _matrices(spark, sf)
+    width = b.shape[1]
+    left = [("window_block", heads.unexplained_variance(a, b, a_test, b_test)), ("spanned_control", heads.unexplained_variance(a, heads.spanned_control(a, width), a_test, heads.spanned_control(a_test, width)))]
+    return spark.createDataFrame([(n, round(float(v), 6)) for n, v in left], "block string, unexplained double")
+
+
+@query("eval_entropy_rank")
+def eval_entropy_rank(spark, sf):
+    a, b, _, _ = _matrices(spark, sf)
+    rows = [(n, round(heads.effective_rank(x), 6), round(heads.entropy_rank(x), 6)) for n, x in (("kernel_block", a), ("both_blocks", np.concatenate([a, b], axis=1)))]
+    return spark.createDataFrame(rows, "block string, participation double, entropy double")
+
+
+@query("eval_complementarity")
+def eval_complementarity(spark, sf):
+    """Accuracy of the kernel block alone and with the window block appended."""
+    rows, test = series.vectors(spark, sf), series.is_test(F.col("series_id"))
+    base = dictionary.ppv_at_zero(rows, keep=("series_id", "label")).withColumnRenamed("values", "base")
+    both = base.join(embedding.embed(rows, "pruned"), "series_id").select("series_id", "label", "base", F.concat("base", "embedding").alias("extended")).persist()
+    out = None
+    for name in ("base", "extended"):
+        part = heads.classify(both.where(~test), both.where(test), name).withColumn("features", F.lit(name))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query(
+    "eval_effective_rank",
+    f"WITH {sql.rows(sql.S1)}, c AS (SELECT id, t, v - avg(v) OVER (PARTITION BY t) AS v FROM r), g AS (SELECT a.t AS i, b.t AS j, sum(a.v * b.v) AS g FROM c a JOIN c b USING (id) GROUP BY ALL) SELECT round(sum(CASE WHEN i = j THEN g END)**2 / sum(g * g), 6) AS effective_rank FROM g",
+)
+def eval_effective_rank(spark, sf):
+    return evaluation.effective_rank(series.vectors(spark, sf)).select(F.round("effective_rank", 6).alias("effective_rank"))
+
+
+# results: suppliers as datasets, line states as methods
+
+_R = "r0 AS (SELECT l_suppkey AS dataset, l_returnflag || l_linestatus AS method, sum(round(l_discount * 100)::BIGINT)::BIGINT AS k, count(*) AS n FROM lineitem GROUP BY ALL), res AS (SELECT dataset, method, ((2000 * k + n) // (2 * n)) / 10000e0 AS accuracy FROM r0)"
+_MISSING = f"{_R}, mis AS (SELECT * FROM res WHERE NOT (dataset % 17 = 0 AND method = 'AF'))"
+_TIED = f"{_R}, tie AS (SELECT dataset, method, floor(accuracy * 20) / 20 AS accuracy FROM res)"
+
+
+def frame(spark: SparkSession, sf: str) -> DataFrame:
+    lines = spark.read.parquet(f"{sf}/lineitem.parquet").select(F.col("l_suppkey").alias("dataset"), F.concat("l_returnflag", "l_linestatus").alias("method"), F.round(F.col("l_discount") * 100).cast("long").alias("d"))
+    sums = lines.groupBy("dataset", "method").agg(F.sum("d").alias("k"), F.count("*").alias("n"))
+    return sums.select("dataset", "method", (F.expr("(2000 * k + n) div (2 * n)") / F.lit(10000.0)).alias("accuracy"))
+
+
+def missing(spark: SparkSession, sf: str) -> DataFrame:
+    return frame(spark, sf).where("NOT (dataset % 17 = 0 AND method = 'AF')")
+
+
+def tied(spark: SparkSession, sf: str) -> DataFrame:
+    return frame(spark, sf).withColumn("accuracy", F.floor(F.col("accuracy") * 20) / 20)
+
+
+_PAIR = "p AS (SELECT a.dataset, a.accuracy - b.accuracy AS d FROM {t} a JOIN {t} b USING (dataset) WHERE a.method = 'AF' AND b.method = 'RF')"
+_WTL = "count(*) FILTER (d > 1e-9)::BIGINT AS wins, count(*) FILTER (abs(d) <= 1e-9)::BIGINT AS ties, count(*) FILTER (d < -1e-9)::BIGINT AS losses"
+add("eval_pair_compare", lambda spark, sf: evaluation.pair(missing(spark, sf), "AF", "RF").withColumn("d", rounded(F.col("d"))), f"WITH {_MISSING}, {_PAIR.format(t='mis')} SELECT dataset, round(d, 6) + 0.0 AS d FROM p")
+add(
+    "eval_win_tie_loss",
+    lambda spark, sf: evaluation.win_tie_loss(evaluation.pair(tied(spark, sf), "AF", "RF")).withColumn("mean_difference", rounded(F.col("mean_difference"))),
+    f"WITH {_TIED}, {_PAIR.format(t='tie')} SELECT {_WTL}, round(avg(d), 6) + 0.0 AS mean_difference, count(*)::BIGINT AS n FROM p",
+)
+for _kind, _frame, _base, _table in (("", missing, _MISSING, "mis"), ("_tied", tied, _TIED, "tie")):
+    add(
+        f"eval_wilcoxon{_kind}",
+        lambda spark, sf, f=_frame: evaluation.signed_rank(evaluation.pair(f(spark, sf), "AF", "RF")).select("w_plus", "w_minus", "n", rounded(F.col("z")).alias("z")),
+        f"WITH {_base}, {_PAIR.format(t=_table)}, k AS (SELECT d, rank() OVER (ORDER BY abs(d)) + (count(*) OVER (PARTITION BY abs(d)) - 1) / 2e0 AS r, count(*) OVER (PARTITION BY abs(d)) AS t FROM p WHERE d <> 0), "
+        "q AS (SELECT coalesce(sum(r) FILTER (d > 0), 0)::DOUBLE AS w_plus, coalesce(sum(r) FILTER (d < 0), 0)::DOUBLE AS w_minus, count(*)::BIGINT AS n, coalesce(sum(t * t - 1), 0) AS tied FROM k) "
+        "SELECT w_plus, w_minus, n, CASE WHEN n >= 5 THEN round((least(w_plus, w_minus) - n * (n + 1) / 4e0) / sqrt(n * (n + 1) * (2 * n + 1) / 24e0 - tied / 48e0), 6) END AS z FROM q",
+    )
+
+
+@query("eval_wilcoxon_table")
+def eval_wilcoxon_table(spark, sf):
+    """Two-sided p-values of every method against the first."""
+    held = frame(spark, sf).persist()
+    rows = [evaluation.wilcoxon(held, "AF", m) for m in ("AO", "NF", "NO", "RF", "RO")]
+    return spark.createDataFrame([(r["a"], r["b"], round(r["p"], 6), r["wins"], r["ties"], r["losses"], r["n"]) for r in rows], "a string, b string, p double, wins long, ties long, losses long, n long")
+
+
+_RANKED = "rk AS (SELECT *, rank() OVER (PARTITION BY dataset ORDER BY accuracy DESC) + (count(*) OVER (PARTITION BY dataset, accuracy) - 1) / 2e0 AS rank FROM {t})"
+_COMPLETE = "ful AS (SELECT * FROM {t} WHERE dataset IN (SELECT dataset FROM {t} GROUP BY dataset HAVING count(DISTINCT method) = (SELECT count(DISTINCT method) FROM {t})))"
+add("eval_rank_average", lambda spark, sf: evaluation.ranks(tied(spark, sf)), f"WITH {_TIED}, {_RANKED.format(t='tie')} SELECT dataset, method, accuracy, rank FROM rk")
+add(
+    "eval_rank_ordinal",
+    lambda spark, sf: evaluation.ordinal_ranks(tied(spark, sf)),
+    f"WITH {_TIED} SELECT dataset, method, accuracy, row_number() OVER (PARTITION BY dataset ORDER BY coalesce(accuracy, -1) DESC, method)::INT AS rank FROM tie",
+)
+add("eval_complete_cases", lambda spark, sf: evaluation.complete(missing(spark, sf)), f"WITH {_MISSING}, {_COMPLETE.format(t='mis')} SELECT dataset, method, accuracy FROM ful")
+add(
+    "eval_average_ranks",
+    lambda spark, sf: evaluation.average_ranks(missing(spark, sf)).withColumn("mean_rank", F.round("mean_rank", 6)),
+    f"WITH {_MISSING}, {_COMPLETE.format(t='mis')}, {_RANKED.format(t='ful')} SELECT method, round(avg(rank), 6) AS mean_rank, count(*)::BIGINT AS n FROM rk GROUP BY method",
+)
+add(
+    "eval_mean_accuracy",
+    lambda spark, sf: evaluation.mean_accuracy(tied(spark, sf)).withColumns({"mean_accuracy": F.round("mean_accuracy", 6), "std_accuracy": F.round("std_accuracy", 6)}),
+    f"WITH {_TIED}, m AS (SELECT *, max(accuracy) OVER (PARTITION BY dataset) AS best FROM tie) SELECT method, round(avg(accuracy), 6) AS mean_accuracy, round(stddev_pop(accuracy), 6) AS std_accuracy, count(*)::BIGINT AS n, count(*) FILTER (accuracy = best)::BIGINT AS wins FROM m GROUP BY method",
+)
+add(
+    "eval_mean_complete",
+    lambda spark, sf: evaluation.complete(missing(spark, sf)).groupBy("method").agg(F.round(F.avg("accuracy"), 6).alias("mean_accuracy")),
+    f"WITH {_MISSING}, {_COMPLETE.format(t='mis')} SELECT method, round(avg(accuracy), 6) AS mean_accuracy FROM ful GROUP BY method",
+)
+_FRIEDMAN = f"WITH {_TIED}, {_RANKED.format(t='tie')}, m AS (SELECT method, sum(rank) AS r, count(*) AS n FROM rk GROUP BY method), q AS (SELECT sum(r * r) AS rr, count(*)::DOUBLE AS k, max(n)::DOUBLE AS n FROM m), t AS (SELECT sum(c * c * c - c) AS ties FROM (SELECT count(*) AS c FROM rk GROUP BY dataset, accuracy))"
+add(
+    "eval_friedman",
+    lambda spark, sf: evaluation.friedman(tied(spark, sf)).withColumn("chi2", F.round("chi2", 6)),
+    f"{_FRIEDMAN} SELECT round((12 * rr / (n * k * (k + 1)) - 3 * n * (k + 1)) / (1 - ties / (n * (k * k * k - k))), 6) AS chi2, k::BIGINT AS methods, n::BIGINT AS datasets FROM q, t",
+)
+_CD = f"WITH {_R}, {_RANKED.format(t='res')}, a AS (SELECT method, avg(rank) AS mean_rank, count(*) AS n FROM rk GROUP BY method), cd AS (SELECT {list(evaluation.Q_05)}[count(*) - 1] * sqrt(count(*) * (count(*) + 1) / (6e0 * max(n))) AS cd, count(*) AS methods, max(n) AS datasets FROM a)"
+add("eval_nemenyi_cd", lambda spark, sf: evaluation.critical_difference(frame(spark, sf)).withColumn("cd", F.round("cd", 6)), f"{_CD} SELECT round(cd, 6) AS cd, methods::BIGINT AS methods, datasets::BIGINT AS datasets FROM cd")
+add(
+    "eval_cliques",
+    lambda spark, sf: evaluation.cliques(frame(spark, sf)).withColumns({"first_rank": F.round("first_rank", 6), "last_rank": F.round("last_rank", 6)}),
+    f"{_CD}, g AS (SELECT a.method AS m, a.mean_rank AS lo, b.method AS name, b.mean_rank AS hi FROM a, a b, cd WHERE b.mean_rank >= a.mean_rank AND b.mean_rank - a.mean_rank < cd), c AS (SELECT m, min(lo) AS first_rank, max(hi) AS last_rank, string_agg(name, ',' ORDER BY name) AS members, count(*) AS n FROM g GROUP BY m) "
+    "SELECT round(first_rank, 6) AS first_rank, round(last_rank, 6) AS last_rank, members FROM c x WHERE n > 1 AND NOT EXISTS (SELECT 1 FROM c y WHERE y.first_rank < x.first_rank AND y.last_rank >= x.last_rank)",
+)
+_POINTS = f"WITH {_R}, pt AS (SELECT method, (100 * row_number() OVER (ORDER BY method))::INT AS dims, round(avg(accuracy), 6) AS accuracy FROM res GROUP BY method)"
+
+
+@query("eval_pareto", f"{_POINTS} SELECT method, dims, accuracy FROM pt p WHERE NOT EXISTS (SELECT 1 FROM pt q WHERE q.dims < p.dims AND q.accuracy >= p.accuracy)")
+def eval_pareto(spark, sf):
+    from pyspark.sql import Window
+
+    points = frame(spark, sf).groupBy("method").agg(F.round(F.avg("accuracy"), 6).alias("accuracy"))
+    return evaluation.pareto(points.withColumn("dims", (100 * F.row_number().over(Window.orderBy("method"))).cast("int"))).select("method", "dims", "accuracy")
+
+
+_COMBINED = f"{_R}, cmb AS (SELECT dataset, CASE method WHEN 'AF' THEN 'A' WHEN 'AO' THEN 'A+x' WHEN 'NF' THEN 'A+y' WHEN 'NO' THEN 'B' WHEN 'RF' THEN 'B+x' ELSE 'B+y' END AS method, accuracy FROM res)"
+
+
+@query(
+    "eval_combination_table",
+    f"WITH {_COMBINED}, p AS (SELECT b.method AS base, substr(c.method, 3) AS addition, c.accuracy - b.accuracy AS d FROM cmb b JOIN cmb c ON b.dataset = c.dataset AND c.method LIKE b.method || '+%') SELECT base, addition, round(avg(d), 6) + 0.0 AS gain, {_WTL} FROM p GROUP BY base, addition",
+)
+def eval_combination_table(spark, sf):
+    names = F.create_map(*[F.lit(x) for pair in (("AF", "A"), ("AO", "A+x"), ("NF", "A+y"), ("NO", "B"), ("RF", "B+x"), ("RO", "B+y")) for x in pair])
+    renamed = frame(spark, sf).withColumn("method", names[F.col("method")])
+    return evaluation.combination_table(renamed, ("A", "B"), ("x", "y")).withColumn("gain", rounded(F.col("gain")))
+
+
+_PIVOT = ", ".join(f"max(accuracy) FILTER (method = '{m}') AS {m}" for m in ("AF", "AO", "NF", "NO", "RF", "RO"))
+add("res_pivot", lambda spark, sf: results.to_wide(missing(spark, sf), ("AF", "AO", "NF", "NO", "RF", "RO")), f"WITH {_MISSING} SELECT dataset, {_PIVOT} FROM mis GROUP BY dataset")
+add("res_remaining", lambda spark, sf: results.remaining(frame(spark, sf), missing(spark, sf)), f"WITH {_MISSING} SELECT r.* FROM res r ANTI JOIN mis m ON r.dataset = m.dataset AND r.method = m.method")
+
+
+@query("res_upsert", f"WITH {_MISSING}, new AS (SELECT dataset, method, CASE WHEN dataset % 3 = 0 THEN NULL ELSE accuracy + 1 END AS v FROM res WHERE method IN ('AF', 'NO')) SELECT coalesce(m.dataset, n.dataset) AS dataset, coalesce(m.method, n.method) AS method, coalesce(n.v, m.accuracy) AS accuracy FROM mis m FULL JOIN new n ON m.dataset = n.dataset AND m.method = n.method")
+def res_upsert(spark, sf):
+    new = frame(spark, sf).where("method IN ('AF', 'NO')").withColumn("accuracy", F.when(F.col("dataset") % 3 != 0, F.col("accuracy") + 1))
+    return results.upsert(missing(spark, sf), new)
+
+
+add("res_subset", lambda spark, sf: frame(spark, sf).join(spark.read.parquet(f"{sf}/supplier.parquet").where("s_acctbal > 0").select(F.col("s_suppkey").alias("dataset")), "dataset", "left_semi"), f"WITH {_R} SELECT * FROM res SEMI JOIN (SELECT s_suppkey AS dataset FROM supplier WHERE s_acctbal > 0) USING (dataset)")
+add("res_methods", lambda spark, sf: frame(spark, sf).select("method").distinct().orderBy("method"), f"WITH {_R} SELECT DISTINCT method FROM res")
+add("res_intersection", lambda spark, sf: frame(spark, sf).where("dataset % 2 = 0 AND method <> 'AF'").select("method").intersect(frame(spark, sf).where("accuracy > 0.5").select("method")), f"WITH {_R} SELECT method FROM res WHERE dataset % 2 = 0 AND method <> 'AF' INTERSECT SELECT method FROM res WHERE accuracy > 0.5")
+add("res_except", lambda spark, sf: frame(spark, sf).select("dataset", "method").exceptAll(missing(spark, sf).select("dataset", "method")), f"WITH {_MISSING} SELECT dataset, method FROM res EXCEPT ALL SELECT dataset, method FROM mis")
+add("res_union", lambda spark, sf: frame(spark, sf).where("method = 'AF'").unionByName(frame(spark, sf).where("method LIKE 'R%'")), f"WITH {_R} SELECT * FROM res WHERE method = 'AF' UNION ALL SELECT * FROM res WHERE method LIKE 'R%'")
+add(
+    "res_smallest_datasets",
+    lambda spark, sf: spark.read.parquet(f"{sf}/lineitem.parquet").groupBy(F.col("l_suppkey").alias("dataset")).agg(F.count("*").alias("size")).orderBy("size", "dataset").limit(12),
+    "SELECT l_suppkey AS dataset, count(*)::BIGINT AS size FROM lineitem GROUP BY 1 ORDER BY size, dataset LIMIT 12",
+)
+add(
+    "res_top_gains",
+    lambda spark, sf: evaluation.pair(frame(spark, sf), "AF", "RF").withColumn("d", rounded(F.col("d"))).orderBy(F.desc("d"), "dataset").limit(10),
+    f"WITH {_R}, {_PAIR.format(t='res')} SELECT dataset, round(d, 6) + 0.0 AS d FROM p ORDER BY d DESC, dataset LIMIT 10",
+)
+
+
+def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 760-column embedding of the vectors with a cross-validated ridge on it: a prediction for each test series."""
+    rows, test = star(spark, sf_dir), series.is_test(F.col("series_id"))
+    codes = heads.label_codes(rows.where(~test))
+    coded = heads.encode(rows, codes)
+    scaler = heads.fit_scaler(rows.where(~test), "values")
+    ready = heads.scaled(coded, scaler, "values", "z", ("series_id", "code"), scrub=True).persist()
+    model, _ = heads.ridge_cv(ready.where(~test), codes.count())
+    return heads.predict(ready.where(test), model, keep=("series_id", "code"))
