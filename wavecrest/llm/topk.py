@@ -28,48 +28,57 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 QUERY_BLOCK = 4096
-VECTOR_BLOCK = 8192
+VECTOR_BLOCK = 1024
 #: The lists are read this far, as shares of their length, before bounds are looked at again.
-ROUNDS = (1 / 32, 1 / 16, 1 / 8, 1 / 4, 1 / 2)
+ROUNDS = (1 / 4, 1 / 2, 3 / 4)
 
 
 class SortedLists:
-    """A block of vectors of one length, with the order of each dimension."""
+    """A block of vectors of one length, with the rows of each dimension in both orders.
+
+    Sums are kept as doubles, which hold them exactly while they stay below 2^52, and as
+    integers otherwise.
+    """
 
     def __init__(self, ids: np.ndarray, rows: np.ndarray):
-        self.ids, self.rows = ids, rows
-        self.order = np.argsort(rows, axis=0, kind="stable").T.copy()
-        self.sorted = np.take_along_axis(rows.T, self.order, axis=1)
+        most = float(np.abs(rows.astype(float)).max(initial=0))
+        self.kind = np.float64 if most < 2**20 and most * most * rows.shape[1] < 2**52 else np.int64
+        self.ids, self.rows = ids, rows.astype(self.kind)
+        rising = np.argsort(rows, axis=0, kind="stable").T
+        self.orders = np.stack([rising, rising[:, ::-1]])
+        self.sorted = np.stack([np.take_along_axis(self.rows.T, o, axis=1) for o in self.orders])
 
     def best(self, query_id: int, query: np.ndarray, k: int, floor: int | None) -> tuple[np.ndarray, np.ndarray]:
         """Ids and scores of rows that may be among the k best; floor: a score that k other rows reach already."""
-        n, dims = self.rows.shape
-        own = self.ids == query_id
+        n = len(self.rows)
+        query = query.astype(self.kind)
         used = np.flatnonzero(query)
-        worst = np.where(query > 0, self.sorted[:, 0], self.sorted[:, -1]) * query
-        alive = np.flatnonzero(~own)
-        got, seen = np.zeros(n, np.int64), np.zeros((n, dims), np.int64)
+        way, weight = (query[used] > 0).astype(int), query[used]
+        worst = self.sorted[1 - way, used, 0] * weight
+        alive = np.flatnonzero(self.ids != query_id)
+        got, seen = np.zeros(n, self.kind), np.zeros((n, len(used)), self.kind)
         read = 0
         for share in ROUNDS:
             if len(alive) <= 4 * k or not len(used):
                 break
             upto = min(n, max(read + 1, int(n * share)))
-            last = np.zeros(dims, np.int64)
-            for d in used:
-                part = slice(n - upto, n - read) if query[d] > 0 else slice(read, upto)
-                at = self.order[d, part]
-                got[at] += query[d] * self.sorted[d, part]
-                seen[at, d] = 1
-                last[d] = query[d] * self.sorted[d, n - upto if query[d] > 0 else upto - 1]
+            at = self.orders[way, used, read:upto]
+            added = self.sorted[way, used, read:upto] * weight[:, None]
+            if self.kind is np.float64:
+                got += np.bincount(at.ravel(), added.ravel(), n)
+            else:
+                np.add.at(got, at.ravel(), added.ravel())
+            seen[at, np.arange(len(used))[:, None]] = 1
+            last = added[:, -1]
             read = upto
-            unseen = 1 - seen[alive]
-            low, high = got[alive] + unseen @ worst, got[alive] + unseen @ last
+            unread = np.stack([worst, last], axis=1)
+            low, high = (got[alive, None] + unread.sum(0) - seen[alive] @ unread).T
             bar = np.partition(low, len(low) - k)[len(low) - k] if len(low) >= k else None
             if floor is not None and (bar is None or floor > bar):
                 bar = floor
             if bar is not None:
                 alive = alive[high >= bar]
-        return self.ids[alive], self.rows[alive] @ query
+        return self.ids[alive], (self.rows[alive] @ query).astype(np.int64)
 
 
 def _top(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
