@@ -6,6 +6,10 @@
 4. decontaminate: documents that hold a benchmark item go.
 5. mixing: domain posteriors and the rate at which each remaining document is drawn.
 
+Rows that repeat a doc_id stay or go together in stage 3; rows without one are judged row
+by row. Columns that documents has beyond its own go along untouched, whatever their
+names. An empty table passes through all stages.
+
 SQL cannot express stages 1 and 5 (fitted models) nor the third's components at this
 size, so ORACLE_SQL is None and tests hold the stages against brute force.
 """
@@ -21,22 +25,37 @@ from wavecrest.llm._scratch import Scratch
 ORACLE_SQL = None
 
 
+def _shield(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """docs with all columns but doc_id and text under names that no operator uses, and those names."""
+    names = {c: c if c in ("doc_id", "text") else f"column_{k}__" for k, c in enumerate(docs.columns)}
+    return docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()]), names
+
+
+def _unshield(docs: DataFrame, names: dict[str, str]) -> DataFrame:
+    return docs.select(*[F.col(n).alias(c) for c, n in names.items()])
+
+
 def stage_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return quality.score(docs, labels).where(F.col("posterior__") >= quality.KEEP_FROM).drop("posterior__")
+    safe, names = _shield(docs)
+    kept = quality.score(safe, labels, host=names["source"], path=names["lang"]).where(F.col("posterior__") >= quality.KEEP_FROM)
+    return _unshield(kept, names)
 
 
 def stage_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    kept = lines.dedup_lines(docs)
-    changed = {"text": F.when(F.col("n_dropped") > 0, F.col("kept_text")).otherwise(F.col("text"))}
-    if "n_chars" in docs.columns:
-        changed["n_chars"] = F.when(F.col("n_dropped") > 0, F.length("kept_text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-    return kept.withColumns(changed).select(*docs.columns)
+    safe, names = _shield(docs)
+    out, changed = lines.dedup_lines(safe), F.col("n_dropped") > 0
+    out = out.withColumn("text", F.when(changed, F.col("kept_text")).otherwise(F.col("text")))
+    if "n_chars" in names:
+        n = names["n_chars"]
+        out = out.withColumn(n, F.when(changed, F.length("kept_text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col(n)))
+    return _unshield(out, names)
 
 
 def stage_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    gone = neardup.near_duplicates(docs, width=5, percent=80).where("NOT kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    safe, names = _shield(docs)
+    gone = neardup.near_duplicates(safe, width=5, percent=80).where("NOT kept").select("doc_id").distinct()
+    return _unshield(safe.join(gone, "doc_id", "left_anti"), names)
 
 
 def stage_decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

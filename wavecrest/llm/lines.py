@@ -190,11 +190,15 @@ def _apply(batches: Iterator[pa.RecordBatch], min_chars: int, schema: pa.Schema,
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, bits: int = FILTER_BITS, digest_only: bool = False) -> DataFrame:
-    """docs with n_lines, n_dropped and kept_text (or, digest_only, doc_id and kept_sha256 instead of the texts)."""
+    """docs with n_lines, n_dropped and kept_text (or, digest_only, doc_id and kept_sha256 instead of the texts).
+
+    New columns take the place of columns of the same names.
+    """
     from pyspark.sql.pandas.types import to_arrow_schema
 
     lost = removals(docs, min_chars, min_docs, bits).groupBy(F.col("doc_id").alias("lost_id__")).agg(F.collect_list(F.struct("h1", "h2")).alias("gone__"))
-    columns = ["doc_id", "text"] if digest_only else docs.columns
+    made = {"n_lines", "n_dropped", "kept_sha256" if digest_only else "kept_text"}
+    columns = ["doc_id", "text"] if digest_only else [c for c in docs.columns if c not in made]
     base = docs.select(*[F.col(f"`{c}`").cast("string").alias(c) if c == "text" else F.col(f"`{c}`") for c in columns])
     joined = base.join(lost.hint("shuffle_hash"), F.col("doc_id").cast("long") == F.col("lost_id__"), "left").drop("lost_id__")
     out = StructType([f for f in base.schema if not digest_only or f.name != "text"]).add("n_lines", "long").add("n_dropped", "long").add("kept_sha256" if digest_only else "kept_text", "string")

@@ -155,7 +155,10 @@ def _apply(batches: Iterator[pa.RecordBatch], schema: pa.Schema, digest_only: bo
 
 
 def remove_repeats(docs: DataFrame, least_sentences: int = 2, least_words: int = 15, digest_only: bool = False) -> DataFrame:
-    """docs with n_sentences, n_removed and kept_text (or, digest_only, doc_id and kept_sha256 instead of the texts)."""
+    """docs with n_sentences, n_removed and kept_text (or, digest_only, doc_id and kept_sha256 instead of the texts).
+
+    New columns take the place of columns of the same names.
+    """
     scratch = Scratch(docs.sparkSession, "spans")
     texts = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     spans = texts.mapInArrow(lambda b: _spans(b, least_sentences, least_words), "h long, doc_id long, place long")
@@ -164,7 +167,8 @@ def remove_repeats(docs: DataFrame, least_sentences: int = 2, least_words: int =
     repeated = scratch.cut(repeated.select("h", "keeper"), "repeated")
     lost = spans.join(repeated, "h").where((F.col("doc_id") != F.col("keeper")) | (again == 1))
     lost = lost.groupBy(F.col("doc_id").alias("lost_id__")).agg(F.collect_list("place").alias("places__"))
-    columns = ["doc_id", "text"] if digest_only else docs.columns
+    made = {"n_sentences", "n_removed", "kept_sha256" if digest_only else "kept_text"}
+    columns = ["doc_id", "text"] if digest_only else [c for c in docs.columns if c not in made]
     base = docs.select(*[F.col(f"`{c}`").cast("string").alias(c) if c == "text" else F.col(f"`{c}`") for c in columns])
     joined = base.join(lost.hint("shuffle_hash"), F.col("doc_id").cast("long") == F.col("lost_id__"), "left").drop("lost_id__")
     out = StructType([f for f in base.schema if not digest_only or f.name != "text"]).add("n_sentences", "long").add("n_removed", "long").add("kept_sha256" if digest_only else "kept_text", "string")
