@@ -182,11 +182,19 @@ def test_other_heads(spark):
         assert heads.accuracy(out).first().accuracy > 0.6
 
 
-def test_ranks_of_matrices():
-    x = np.random.RandomState(1).randn(50, 6)
-    s = np.linalg.svd(x - x.mean(0), compute_uv=False) ** 2
-    assert math.isclose(heads.effective_rank(x), s.sum() ** 2 / (s**2).sum()) and math.isclose(heads.effective_rank(x), heads.effective_rank(np.hstack([x, np.zeros((50, 60))])))
-    assert heads.unexplained_variance(x, 2 * x, x, 2 * x, 1e-9) < 1e-6 and heads.spanned_control(x, 11).shape == (50, 11)
+def test_ranks_and_unexplained_variance(spark):
+    x = np.random.RandomState(1).randn(50, 6) @ np.diag([3.0, 2, 1, 1, 0.5, 0.1])
+    b = heads.spanned_control(x, 4) + 0.1 * np.random.RandomState(2).randn(50, 4)
+    df = spark.createDataFrame([(i, list(map(float, r)), list(map(float, t))) for i, (r, t) in enumerate(zip(x, b, strict=True))], "series_id long, a array<double>, b array<double>").repartition(4)
+    s = np.linalg.svd(x - x.mean(0), compute_uv=False)
+    participation, entropy = heads.spectrum_ranks(df.select(F.col("a").alias("x")))
+    share = s / s.sum()
+    assert math.isclose(participation, (s**2).sum() ** 2 / (s**4).sum(), rel_tol=1e-9) and math.isclose(entropy, np.exp(-(share * np.log(share)).sum()), rel_tol=1e-9)
+    train, test = np.arange(50) < 35, np.arange(50) >= 35
+    m, u = x[train].mean(0), b[train].mean(0)
+    w = np.linalg.solve((x[train] - m).T @ (x[train] - m) + np.eye(6), (x[train] - m).T @ (b[train] - u))
+    want = ((b[test] - u - (x[test] - m) @ w) ** 2).sum() / ((b[test] - u) ** 2).sum()
+    assert math.isclose(heads.unexplained_variance(df.where("series_id < 35"), df.where("series_id >= 35")), want, rel_tol=1e-9)
 
 
 # evaluation

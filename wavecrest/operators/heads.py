@@ -262,25 +262,55 @@ def classify(train: DataFrame, test: DataFrame, features: str, label: str = "lab
 # regression between blocks, and gradient-boosted or logistic heads
 
 
-def unexplained_variance(train_a: np.ndarray, train_b: np.ndarray, test_a: np.ndarray, test_b: np.ndarray, alpha: float = 1.0) -> float:
-    """Share of B's test variance (about its training mean) that a ridge from A leaves."""
-    m_a, m_b = train_a.mean(0), train_b.mean(0)
-    c = train_a - m_a
-    w = np.linalg.solve(c.T @ c + alpha * np.eye(c.shape[1]), c.T @ (train_b - m_b))
-    return float(((test_b - m_b - (test_a - m_a) @ w) ** 2).sum() / ((test_b - m_b) ** 2).sum())
+def _block_sums(rows: DataFrame, columns: Sequence[str], function, width: int) -> tuple[int, np.ndarray]:
+    """Rows and the sum over batches of function(matrices of the columns), flattened to `width` numbers."""
 
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, out = 0, np.zeros(width)
+        for batch in batches:
+            if batch.num_rows:
+                n, out = n + batch.num_rows, out + np.asarray(function(*(matrix(c) for c in batch.columns)), float).ravel()
+        if n:
+            yield pa.RecordBatch.from_pydict({"n": pa.array([n]), "sums": vectors(out.reshape(1, -1))})
 
-def effective_rank(x: np.ndarray) -> float:
-    """Participation ratio of the covariance spectrum, by traces instead of a decomposition."""
-    c = x - x.mean(0)
-    g = c @ c.T if len(c) < c.shape[1] else c.T @ c
-    return float(np.trace(g) ** 2 / (g * g).sum())
+    return _reduce(rows.select(*columns).mapInArrow(work, "n long, sums array<double>"), "sums")
 
 
-def entropy_rank(x: np.ndarray) -> float:
-    s = np.linalg.svd(x - x.mean(0), compute_uv=False)
-    p = s[s > 1e-12 * s.max()] / s.sum()
-    return float(np.exp(-(p * np.log(p)).sum()))
+def unexplained_variance(train: DataFrame, test: DataFrame, source: str = "a", target: str = "b", alpha: float = 1.0) -> float:
+    """Share of the target block's test variance (about its training mean) that a ridge from the source block leaves."""
+    first = train.select(F.size(source), F.size(target)).first()
+    if first is None:
+        raise ValueError("there are no rows to fit on")
+    p, q = first
+
+    def joint(a, b):
+        wide = np.concatenate([a, b, np.ones((len(a), 1))], axis=1)
+        return wide.T @ wide
+
+    n, flat = _block_sums(train, (source, target), joint, (p + q + 1) ** 2)
+    full = flat.reshape(p + q + 1, -1)
+    mean = full[:-1, -1] / n
+    centred = full[:-1, :-1] - n * np.outer(mean, mean)
+    weights = np.linalg.solve(centred[:p, :p] + alpha * np.eye(p), centred[:p, p:])
+
+    def left(a, b):
+        about = b - mean[p:]
+        return ((about - (a - mean[:p]) @ weights) ** 2).sum(), (about**2).sum()
+
+    _, (rest, total) = _block_sums(test, (source, target), left, 2)
+    return float(rest / total)
+
+
+def spectrum_ranks(rows: DataFrame, column: str = "x") -> tuple[float, float]:
+    """Participation ratio and entropy rank of the centred rows, from the eigenvalues of their Gram matrix."""
+    width = rows.select(F.size(column)).first()[0]
+    _, mean = _block_sums(rows, (column,), lambda x: x.sum(0), width)
+    n = rows.count()
+    _, flat = _block_sums(rows, (column,), lambda x: (x - mean / n).T @ (x - mean / n), width * width)
+    size = np.maximum(np.linalg.eigvalsh(flat.reshape(width, width)), 0)
+    s = np.sqrt(size[size > 1e-12 * size.max()])
+    share = s / s.sum()
+    return float(size.sum() ** 2 / (size**2).sum()), float(np.exp(-(share * np.log(share)).sum()))
 
 
 def spanned_control(x: np.ndarray, width: int, seed: int = 0) -> np.ndarray:

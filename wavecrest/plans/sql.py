@@ -18,7 +18,6 @@ LINES = "l_shipdate, l_orderkey, l_linenumber, l_partkey, l_quantity, l_extended
 S1 = "SELECT vec_id AS id, embedding::DOUBLE[] AS x FROM embeddings"
 S2 = "SELECT user_id AS id, list(value ORDER BY ts, event_id) AS x FROM events GROUP BY user_id"
 S3 = f"SELECT l_suppkey AS id, list(l_extendedprice ORDER BY {LINES}) AS x FROM lineitem GROUP BY l_suppkey"
-S3_256 = f"SELECT id, x[1:256] AS x FROM ({S3})"
 S4 = "SELECT o_custkey AS id, list(o_totalprice ORDER BY o_orderdate, o_orderkey) AS x FROM orders GROUP BY o_custkey"
 S3_CHANNELS = " UNION ALL ".join(f"SELECT 4 * l_suppkey + {i} AS id, list({c}::DOUBLE ORDER BY {LINES}) AS x FROM lineitem GROUP BY l_suppkey" for i, c in enumerate(("l_quantity", "l_extendedprice", "l_discount", "l_tax")))
 
@@ -146,8 +145,7 @@ def family(name: str) -> tuple[str, str]:
                 order += 1
         every = " UNION ALL ".join(f"SELECT {o} AS o, * FROM h{o}" for o in range(order))
         won = "won AS (SELECT o, id, w, k // 4 AS g, k % 4 AS k, greatest(r, 0) AS r FROM al QUALIFY row_number() OVER (PARTITION BY o, id, w, k // 4, t ORDER BY r DESC, k) = 1), sh AS (SELECT o, id, w, g, k, sum(r) AS r FROM won GROUP BY ALL), grid AS (SELECT DISTINCT o, id, w, g, kk FROM won CROSS JOIN range(4) x(kk))"
-        parts += [f"al AS ({every})", won, "ft AS (SELECT o, id, w, g, kk, coalesce(r, 0) AS r FROM grid LEFT JOIN sh USING (o, id, w, g) WHERE sh.k = kk OR sh.k IS NULL)"]
-        parts[-1] = "ft AS (SELECT q.o, q.id, q.w, q.g, q.kk, coalesce(sh.r, 0) AS r FROM grid q LEFT JOIN sh ON sh.o = q.o AND sh.id = q.id AND sh.w = q.w AND sh.g = q.g AND sh.k = q.kk)"
+        parts += [f"al AS ({every})", won, "ft AS (SELECT q.o, q.id, q.w, q.g, q.kk, coalesce(sh.r, 0) AS r FROM grid q LEFT JOIN sh ON sh.o = q.o AND sh.id = q.id AND sh.w = q.w AND sh.g = q.g AND sh.k = q.kk)"]
         return ", ".join(parts), "SELECT id, w, o * 8 + g * 4 + kk AS col, sqrt(r / (sum(r) OVER (PARTITION BY o, id, w, g) + 1e-8)) AS val FROM ft"
     raise KeyError(name)
 
@@ -160,9 +158,7 @@ def family_query(name: str, source: str) -> str:
 def pooled_query(name: str, source: str, operations: tuple[str, ...] = ("mean", "std", "max"), bag: str = "id") -> str:
     more, query = family(name)
     function = {"mean": "avg(val)", "std": "stddev_pop(val)", "max": "max(val)"}
-    each = ", ".join(f"('{o}', {function[o]})" for o in operations)
     rows = " UNION ALL ".join(f"SELECT {bag} AS series_id, '{o}' AS op, col, {function[o]} AS val FROM ph GROUP BY ALL" for o in operations)
-    assert each
     return f"WITH {windows(source)}{', ' + more if more else ''}, ph AS ({query}) " + clean(rows, "series_id, op")
 
 
@@ -201,7 +197,7 @@ RANK_CHANNEL = f"{BATTERY_BASE} " + clean("SELECT id AS series_id, t AS col, xr
 
 
 def temporal_query(count: int = 12) -> str:
-    return f"WITH {rows(S3_256)}, {bank('g', gaussian_windows(256, count))} " + clean("SELECT id AS series_id, g.r // 256 AS col, sum(v * wt) AS val FROM r JOIN g ON g.r % 256 = t GROUP BY ALL")
+    return f"WITH {rows(S1)}, {bank('g', gaussian_windows(64, count))} " + clean("SELECT id AS series_id, g.r // 64 AS col, sum(v * wt) AS val FROM r JOIN g ON g.r % 64 = t GROUP BY ALL")
 
 
 def fourier_query(projections: int = 2, dims: int = 16) -> str:
