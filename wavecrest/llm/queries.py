@@ -7,7 +7,7 @@ import importlib
 #: query name -> (module, function, name of its SQL or None)
 TABLE = {
     "op1_warc": ("warc", "op1_warc", "OP1_SQL"),
-    "op2_substrings": ("substrings", "op2_substrings", None),
+    "op2_substrings": ("substrings", "op2_substrings", "OP2_SQL"),
     "op3_toxicity": ("toxicity", "op3_toxicity", None),
     "op4_mixing": ("mixing", "op4_mixing", None),
     "op5_near_duplicates": ("neardup", "op5_near_duplicates", "OP5_SQL"),

@@ -279,3 +279,20 @@ def remove_substrings(docs: DataFrame, length: int = 400, with_text: bool = Fals
 
 def op2_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_substrings(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+
+
+OP2_SQL = """
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b, octet_length(encode(coalesce(text, '')))::BIGINT AS n FROM documents),
+p AS (SELECT doc_id, i, md5(array_slice(b, i, i + 399)) AS h FROM (SELECT doc_id, b, unnest(range(1, n - 398)) AS i FROM d)),
+c AS (SELECT doc_id, i FROM p SEMI JOIN (SELECT h FROM p GROUP BY h HAVING count(*) > 1) r USING (h)),
+f AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER w + 400 THEN 0 ELSE 1 END AS new FROM c WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+g AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM f),
+r AS (SELECT doc_id, min(i) AS a, max(i) + 399 AS z FROM g GROUP BY doc_id, g),
+k AS (SELECT doc_id, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 0) + 1 AS s, a - 1 AS e FROM r UNION ALL
+  SELECT d.doc_id, coalesce(max(z), 0) + 1, any_value(d.n) FROM d LEFT JOIN r USING (doc_id) GROUP BY d.doc_id),
+t AS (SELECT k.doc_id, list(CASE WHEN e >= s THEN array_slice(b, s, e) ELSE encode('') END ORDER BY s) AS parts FROM k JOIN d USING (doc_id) GROUP BY k.doc_id),
+q AS (SELECT doc_id, count(*) AS spans, sum(z - a + 1) AS gone FROM r GROUP BY doc_id)
+SELECT d.doc_id, d.n AS n_bytes, coalesce(gone, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans,
+  sha256(list_reduce(parts, lambda x, y: x || y)) AS kept_sha256
+FROM d JOIN t USING (doc_id) LEFT JOIN q USING (doc_id)
+"""
