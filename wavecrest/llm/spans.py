@@ -2,7 +2,8 @@
 
 A text is cut into sentences: after runs of . ! ? that white space follows, and after
 line ends. A sentence of more than LONG words (tables, text without stops) is cut
-further after words chosen by their hash, so equal passages are cut alike. A span is a
+further after words chosen by their hash and before runs of one word, so equal passages
+are cut alike. A span is a
 run of at least `sentences` consecutive sentences with at least `words` words that
 loses one of the two when its first or its last sentence goes: every such shortest
 run is hashed, with A-Z lower-cased and white space made equal. Spans whose hash
@@ -68,10 +69,15 @@ def sentences(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             add(stop, parts)
         else:
             held: list[bytes] = []
-            for m in WORD.finditer(text, start, stop):
-                held.append(m[0].lower())
-                if len(held) >= LONG or xxhash.xxh3_64_intdigest(held[-1]) % PART == 0:
-                    add(m.end(), held)
+            found = [(m[0].lower(), m.end()) for m in WORD.finditer(text, start, stop)]
+            for k, (word, end) in enumerate(found):
+                if held and k + 1 < len(found) and found[k + 1][0] == word != found[k - 1][0]:
+                    # a run of one word begins a part of its own
+                    add(found[k - 1][1], held)
+                    held = []
+                held.append(word)
+                if len(held) >= LONG or xxhash.xxh3_64_intdigest(word) % PART == 0:
+                    add(end, held)
                     held = []
             add(stop, held)
         start = stop
