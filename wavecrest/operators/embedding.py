@@ -77,8 +77,10 @@ def _pool(features: np.ndarray, counts: np.ndarray, names: Sequence[str], keep:
 BLOCK_WINDOWS = 4096
 
 
-def embed(series: DataFrame, pooling: str = "full", column: str = "x", key: str = "series_id", keep: Sequence[str] = (), resample: bool = True) -> DataFrame:
-    """(key, keep columns, embedding). `column` is an array, or an array of channels whose windows pool as one bag.
+def embed(series: DataFrame, pooling: str = "full", column: str = "x", key: str = "series_id", keep: Sequence[str] = (), resample: bool = True, partitions: int | None = None) -> DataFrame:
+    """(key, keep columns, embedding). partitions: deal the series anew over so many tasks, where they lie in fewer than there are cores.
+
+    `column` is an array, or an array of channels whose windows pool as one bag.
 
     Empty and null channels have no windows; a series without any gets a null embedding.
     """
@@ -120,5 +122,6 @@ def embed(series: DataFrame, pooling: str = "full", column: str = "x", key: str
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-1], array], names=[key, *keep, "embedding"])
 
     source = series.select(key, *keep, F.col(column))
+    source = source.repartition(partitions) if partitions else source
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in source.schema.fields[:-1])
     return source.mapInArrow(work, f"{fields}, embedding array<double>")

@@ -28,16 +28,21 @@ WIDTHS = {
 }
 COLUMNS = sum(WIDTHS.values())
 RICKER_SCALES = (1.5, 2.5, 4.0, 6.0)
-CHUNK = 512
+CHUNK = 256
 
 
-def dilated(x: np.ndarray, kernels: np.ndarray, dilation: int) -> np.ndarray:
-    """Zero-padded cross-correlation, (windows, positions, kernels)."""
+def responses(x: np.ndarray, kernels: np.ndarray, dilation: int) -> np.ndarray:
+    """Zero-padded cross-correlation, (kernels, windows, positions): one product with the shifted copies."""
     taps = kernels.shape[1]
     pad = dilation * (taps // 2)
     wide = np.pad(x, ((0, 0), (pad, pad)))
-    shifted = np.stack([wide[:, j * dilation : j * dilation + x.shape[1]] for j in range(taps)], axis=2)
-    return shifted @ kernels.T
+    shifted = np.stack([wide[:, j * dilation : j * dilation + x.shape[1]] for j in range(taps)])
+    return (kernels @ shifted.reshape(taps, -1)).reshape(len(kernels), *x.shape)
+
+
+def dilated(x: np.ndarray, kernels: np.ndarray, dilation: int) -> np.ndarray:
+    """The same as (windows, positions, kernels)."""
+    return np.moveaxis(responses(x, kernels, dilation), 0, 2)
 
 
 def ricker_kernels() -> np.ndarray:
@@ -88,11 +93,11 @@ class Families:
 
     @cached_property
     def near(self) -> np.ndarray:
-        return dilated(self.w, self.banks["crf_w"], 2)
+        return responses(self.w, self.banks["crf_w"], 2)
 
     @cached_property
     def far(self) -> np.ndarray:
-        return dilated(self.w, self.banks["crf_w"], 4)
+        return responses(self.w, self.banks["crf_w"], 4)
 
     def lagged(self, lag: int) -> np.ndarray:
         return np.einsum("nt,nt->n", self.centred[:, :-lag], self.centred[:, lag:])
@@ -135,11 +140,11 @@ class Families:
 
     @cached_property
     def crf_ppv(self) -> np.ndarray:
-        return np.concatenate([(r > 0).mean(1) for r in (self.near, self.far)], axis=1)
+        return np.concatenate([(r > 0).sum(2) for r in (self.near, self.far)]).T / SIZE
 
     @cached_property
     def crf_max(self) -> np.ndarray:
-        return np.concatenate([r.max(1) for r in (self.near, self.far)], axis=1)
+        return np.concatenate([r.max(2) for r in (self.near, self.far)]).T
 
     @cached_property
     def hilbert_env(self) -> np.ndarray:
@@ -178,18 +183,18 @@ class Families:
 
     @cached_property
     def conv_position(self) -> np.ndarray:
-        place = self.near.argmax(1) / SIZE
+        place = self.near.argmax(2).T / SIZE
         return np.column_stack([place.mean(1), np.sqrt(_ddof1(place)), np.ptp(place, axis=1)])
 
     @cached_property
     def ar_residual(self) -> np.ndarray:
         c, out = self.centred, []
         for order in (2, 3):
-            past = np.stack([c[:, order - k : SIZE - k] for k in range(1, order + 1)], axis=2)
-            now = c[:, order:]
-            gram = np.einsum("ntp,ntq->npq", past, past) + 1e-3 * np.eye(order)
-            beta = np.linalg.solve(gram, np.einsum("ntp,nt->np", past, now)[..., None])[..., 0]
-            rest = now - np.einsum("ntp,np->nt", past, beta)
+            past, now = [c[:, order - k : SIZE - k] for k in range(1, order + 1)], c[:, order:]
+            product = lambda x, y: np.einsum("nt,nt->n", x, y)
+            gram = np.stack([np.stack([product(x, y) for y in past], axis=1) for x in past], axis=1) + 1e-3 * np.eye(order)
+            beta = np.linalg.solve(gram, np.stack([product(x, now) for x in past], axis=1)[..., None])[..., 0]
+            rest = now - sum(beta[:, k : k + 1] * x for k, x in enumerate(past))
             out += [np.log(_ddof1(rest) + EPS), np.log(np.maximum((beta * beta).sum(1), EPS))]
         return np.column_stack(out)
 
@@ -218,18 +223,22 @@ class Families:
 
     @cached_property
     def ricker_wavelet(self) -> np.ndarray:
-        return (dilated(self.w, ricker_kernels(), 1) > 0).mean(1)
+        return (responses(self.w, ricker_kernels(), 1) > 0).sum(2).T / SIZE
 
     @cached_property
     def hydra_compete(self) -> np.ndarray:
-        out = []
+        out, (groups, size, taps) = [], self.banks["hydra_w"].shape
+        number = np.arange(len(self.w))[:, None] * size
         for x in (self.w, self.step):
             for dilation in (2, 4):
-                for kernels in self.banks["hydra_w"]:
-                    r = dilated(x, kernels, dilation)
-                    best = np.maximum(r.max(2), 0)
-                    won = (r.argmax(2)[..., None] == np.arange(4)) * best[..., None]
-                    share = won.sum(1)
+                every = responses(x, self.banks["hydra_w"].reshape(-1, taps), dilation).reshape(groups, size, *x.shape)
+                for r in every:
+                    best, winner = r[0].copy(), np.zeros(x.shape, np.int64)
+                    for k in range(1, size):
+                        # a later kernel wins only where it is larger
+                        winner = np.where(r[k] > best, k, winner)
+                        np.maximum(best, r[k], out=best)
+                    share = np.bincount((number + winner).ravel(), np.maximum(best, 0).ravel(), len(x) * size).reshape(-1, size)
                     out.append(np.sqrt(share / (share.sum(1, keepdims=True) + 1e-8)))
         return np.concatenate(out, axis=1)
 

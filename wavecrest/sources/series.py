@@ -12,7 +12,7 @@ def from_rows(table: DataFrame, key: str, order: Sequence[str], value: str | Seq
     """(series_id, x or channels): the values of each key in a total order. One shuffle by key."""
     values = [value] if isinstance(value, str) else list(value)
     row = F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(order)], *[F.col(v).cast("double").alias(f"v{i}") for i, v in enumerate(values)])
-    grouped = table.groupBy(F.col(key).alias("series_id")).agg(F.array_sort(F.collect_list(row)).alias("rows"))
+    grouped = table.groupBy(F.col(key).alias("series_id")).agg(F.sort_array(F.collect_list(row)).alias("rows"))
     arrays = [F.col("rows")[f"v{i}"] for i in range(len(values))]
     return grouped.select("series_id", arrays[0].alias("x") if isinstance(value, str) else F.array(*arrays).alias("channels"))
 
