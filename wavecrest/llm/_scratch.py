@@ -2,12 +2,14 @@
 
 The folder is the session's ``spark.checkpoint.dir``. Where that is unset (local
 runs and tests) a folder under ``/tmp/checkpoints`` is used. Tables are Parquet,
-so a lost executor never loses an intermediate result, and lineage is cut.
+so a lost executor never loses an intermediate result, and lineage is cut. A frame that
+an operator returns may read its tables until Python ends; then they are removed.
 """
 
 from __future__ import annotations
 
 import atexit
+import shutil
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -32,6 +34,7 @@ class Scratch:
         self.spark = spark
         self.base = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
         self.made: list[str] = []
+        atexit.register(_forget, spark, self.base)
 
     def path(self, label: str) -> str:
         self.made.append(f"{self.base}/{label}-{len(self.made)}")
@@ -52,19 +55,18 @@ class Scratch:
                         delete_path(self.spark, path)
 
     def result(self, df: DataFrame) -> DataFrame:
-        """Writes the operator's small result, deletes everything else; the result goes when Python ends."""
+        """Writes the operator's small result and deletes everything else at once."""
         out = self.cut(df, "result")
         keep = self.made[-1]
         for path in self.made[:-1]:
             delete_path(self.spark, path)
         self.made = [keep]
-        atexit.register(_forget, self.spark, self.base)
         return out
 
 
 def _forget(spark: SparkSession, base: str) -> None:
-    try:
-        if spark.sparkContext._jsc is not None:
-            delete_path(spark, base)
-    except Exception:  # the session ended before Python did: nothing left to clean with
-        pass
+    """Removes what one call left behind, when Python ends."""
+    if base.startswith("file:"):
+        shutil.rmtree(base.removeprefix("file:"), ignore_errors=True)
+    elif spark.sparkContext._jsc is not None:
+        delete_path(spark, base)

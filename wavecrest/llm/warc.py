@@ -51,7 +51,7 @@ from pyspark.sql.datasource import (
 )
 from pyspark.sql.types import StructType
 
-from wavecrest.llm._scratch import Scratch, shared_folder
+from wavecrest.llm._scratch import Scratch
 
 READ_SCHEMA = "record_id string, record_type string, target_uri string, record_date string, refers_to string, payload_digest string, payload_bytes long, content_type string, payload binary"
 #: What a frame must hold to be written.
@@ -418,7 +418,7 @@ def read_archive(spark: SparkSession, folder: str, payload: str = "bytes") -> Da
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page written to an archive in the shared folder and read back, each response checked against its digest."""
-    folder = f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}"
+    folder = Scratch(spark, "warc").path("archive")
     write_archive(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html"), folder)
     number = lambda c: F.regexp_extract(c, r"^<urn:page:(-?\d+)>$", 1).try_cast("long")
     return read_archive(spark, folder, payload="verify").select(
