@@ -32,6 +32,17 @@ def window_banks(seed: int = WINDOW_SEED) -> dict[str, np.ndarray]:
     }
 
 
+def load_banks(banks: dict[str, np.ndarray] | str | None = None) -> dict[str, np.ndarray]:
+    """Window banks: the seeded ones, those given, or those of an npz file; shapes are checked."""
+    if banks is None:
+        return window_banks()
+    given = dict(np.load(banks)) if isinstance(banks, str) else dict(banks)
+    for name, known in window_banks().items():
+        if name not in given or np.size(given[name]) != known.size:
+            raise ValueError(f"bank {name} must have the shape {known.shape}")
+    return {name: np.asarray(given[name], float).reshape(known.shape) for name, known in window_banks().items()}
+
+
 #: Battery banks: name -> (seed, outputs); matrices have a row for each embedding column.
 MATRICES = {"W501": 16, "W801": 16, "W701": 16, "W1901": 16, "W201": 24, "W4011": 16, "W6041": 12, "W6042": 12, "W321": 8, "W322": 8, "W7011": 24, "W951": 16, "W5141": 20}
 LANDMARKS = {"A209": 8, "A6091": 12}

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wavecrest.functions.banks import window_banks
+from wavecrest.functions.banks import load_banks, window_banks
 from wavecrest.operators.families import SIZE, WIDTHS, phi, vectors
 from wavecrest.operators.prep import HOP
 
@@ -73,19 +73,27 @@ def _pool(features: np.ndarray, counts: np.ndarray, names: Sequence[str], keep:
     return np.concatenate(out, axis=1)
 
 
+def embed_matrix(x: np.ndarray, pooling: str = "full", banks: dict[str, np.ndarray] | None = None, resample: bool = True) -> np.ndarray:
+    """Embeddings of equal-length series, as rows."""
+    names = list(WIDTHS) if pooling == "full" else [f for f in WIDTHS if f in PRUNED]
+    cuts = [cut(_znorm(row), resample) for row in x]
+    return _pool(phi(np.concatenate(cuts), names, banks or window_banks()), np.array([len(c) for c in cuts]), names, POOLINGS[pooling])
+
+
 #: Windows that one block of series may have; more series wait for the next block.
 BLOCK_WINDOWS = 4096
 
 
-def embed(series: DataFrame, pooling: str = "full", column: str = "x", key: str = "series_id", keep: Sequence[str] = (), resample: bool = True, partitions: int | None = None) -> DataFrame:
-    """(key, keep columns, embedding). partitions: deal the series anew over so many tasks, where they lie in fewer than there are cores.
+def embed(series: DataFrame, pooling: str = "full", column: str = "x", key: str = "series_id", keep: Sequence[str] = (), resample: bool = True, partitions: int | None = None, banks: dict[str, np.ndarray] | str | None = None) -> DataFrame:
+    """(key, keep columns, embedding). banks: own window banks, or an npz file of them. partitions: deal the series anew over so many tasks, where they lie in fewer than there are cores.
 
     `column` is an array, or an array of channels whose windows pool as one bag.
 
     Empty and null channels have no windows; a series without any gets a null embedding.
     """
     nested = series.schema[column].dataType.elementType.typeName() == "array"
-    names, chosen, banks = (list(WIDTHS) if pooling == "full" else [f for f in WIDTHS if f in PRUNED]), POOLINGS[pooling], window_banks()
+    names, chosen = (list(WIDTHS) if pooling == "full" else [f for f in WIDTHS if f in PRUNED]), POOLINGS[pooling]
+    banks = load_banks(banks)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -161,11 +161,14 @@ def _gram(rows: DataFrame, features: str, code: str, classes: int) -> tuple[int,
                 part = wide.T @ wide
                 n, out = n + len(x), part if out is None else out + part
         if n:
-            yield pa.RecordBatch.from_pydict({"n": pa.array([n]), "sums": vectors(out.reshape(1, -1))})
+            # the upper triangle says it all
+            yield pa.RecordBatch.from_pydict({"n": pa.array([n]), "sums": vectors(out[np.triu_indices(len(out))].reshape(1, -1))})
 
     n, flat = _reduce(rows.select(features, F.col(code).cast("int")).mapInArrow(work, "n long, sums array<double>"), "sums")
-    m = int(round(np.sqrt(len(flat))))
-    full = flat.reshape(m, m)
+    m = int((np.sqrt(8 * len(flat) + 1) - 1) / 2)
+    full = np.zeros((m, m))
+    full[np.triu_indices(m)] = flat
+    full = full + np.triu(full, 1).T
     p = m - 1 - outputs
     mean, y_mean = full[:p, -1] / n, full[p : p + outputs, -1] / n
     return n, mean, y_mean, full[:p, :p] - n * np.outer(mean, mean), full[:p, p : p + outputs] - n * np.outer(mean, y_mean)

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wavecrest.api import SeriesFeatures
 from wavecrest.functions.banks import fourier_projections, gaussian_windows, random_kernels, statistic_nets
 from wavecrest.functions.columns import long, rounded
 from wavecrest.operators import battery as bat
@@ -174,11 +175,10 @@ add("embed760", lambda spark, sf: long(star(spark, sf).select("series_id", "valu
 
 
 def full_features(spark: SparkSession, sf: str) -> DataFrame:
-    """(series_id, label, values): 1,512 dictionary columns and the 760."""
+    """(series_id, label, values): 1,512 dictionary columns and the 760, in one narrow stage."""
     source = series.vectors(spark, sf)
-    model = dictionary.fit(source.where(~series.is_test(F.col("series_id"))))
-    words = dictionary.apply(source, model, keep=("series_id", "label")).withColumnRenamed("values", "words")
-    return words.join(star(spark, sf).drop("label"), "series_id").select("series_id", "label", F.concat("words", "values").alias("values"))
+    features = SeriesFeatures().fit(source.where(~series.is_test(F.col("series_id"))))
+    return features.transform(source, keep=("series_id", "label"))
 
 
 @query("embed2272")
