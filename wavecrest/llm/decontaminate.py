@@ -43,6 +43,8 @@ QUANTITY = re.compile(rb"\d[\d.,]*[a-z\xc2\xb0\xc2\xb2\xc2\xb3]{1,4}$")
 NUMBER_WORDS = frozenset(b"zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion dozen".split())
 UNITS = frozenset(b"mm cm dm m km mg g kg t ml cl dl l ms s sec secs min mins h hr hrs second seconds minute minutes hour hours day days week weeks month months year years inch inches foot feet yard yards mile miles ounce ounces pound pounds gallon gallons metre metres meter meters kilometre kilometres kilometer kilometers gram grams kilogram kilograms litre litres liter liters dollar dollars cent cents euro euros percent degrees celsius fahrenheit mph kph watt watts volt volts joule joules newton newtons".split())
 LITERAL, NUM, UNIT, NAME, BOTH = range(5)
+SPECIAL = NUMBER_WORDS | UNITS
+PLAIN = (LITERAL, LITERAL, 0, 1)
 SLOT = np.array([0, 0x51ED270B0A1F39C1, 0x2545F4914F6CDD1D, 0x369DEA0F31A53F85, 0x27BB2EE687B0B0FD], np.uint64)
 #: Shorter items are left out.
 MIN_ITEM = 5
@@ -53,30 +55,28 @@ FILTER = 1 << 22
 class Words:
     """Raw words by number: literal hash, kind inside a sentence and at its start, whether it ends one."""
 
-    def __init__(self, limit: int = 400_000):
+    def __init__(self, limit: int = 600_000):
         self.limit = limit
         self.clear()
 
     def clear(self) -> None:
         self.number: dict[bytes, int] = {}
-        self.rows: list[tuple] = []
         self.hashes, self.marks = np.empty(0, np.uint64), np.empty((0, 4), np.int8)
 
     def of(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(literal hash, hash with placeholders, kind) of each word of the texts, end to end, and where each text ends."""
         if len(self.number) > self.limit:
             self.clear()
-        number, rows, words, ends = self.number, self.rows, [], []
+        number, words, ends = self.number, [], []
         for text in texts:
             words += text.replace(b"\n", b" . ").split()
             ends.append(len(words))
-        for w in set(words).difference(number):
-            number[w] = len(rows)
-            rows.append(self.kind(w))
-        if len(self.hashes) < len(rows):
-            new = rows[len(self.hashes) :]
-            self.hashes = np.concatenate([self.hashes, np.fromiter((r[0] for r in new), np.uint64, len(new))])
-            self.marks = np.concatenate([self.marks, np.array([r[1:] for r in new], np.int8)])
+        if new := list(set(words).difference(number)):
+            known = len(self.hashes)
+            number.update(zip(new, range(known, known + len(new)), strict=True))
+            rows = [self.kind(w) for w in new]
+            self.hashes = np.concatenate([self.hashes, np.fromiter((r[0] for r in rows), np.uint64, len(rows))])
+            self.marks = np.concatenate([self.marks, np.array([r[1] for r in rows], np.int8)])
         at = np.fromiter(map(number.__getitem__, words), np.int64, len(words))
         ends = np.array(ends, np.int64)
         marks = self.marks[at]
@@ -88,10 +88,13 @@ class Words:
         return literal, np.where(kind == LITERAL, literal, SLOT[kind]), kind, np.concatenate([[0], np.cumsum(keep)])[ends]
 
     @staticmethod
-    def kind(word: bytes) -> tuple[int, int, int, int, int]:
+    def kind(word: bytes) -> tuple[int, tuple[int, int, int, int]]:
+        """The literal hash, and: kind inside a sentence, kind at its start, whether it ends one, whether it is a word."""
+        if word.isalpha() and word.islower() and word not in SPECIAL:
+            return xxhash.xxh3_64_intdigest(word), PLAIN
         core = word.strip(EDGE)
         if not core:
-            return 0, LITERAL, LITERAL, int(any(c in b".!?" for c in word)), 0
+            return 0, (LITERAL, LITERAL, int(any(c in b".!?" for c in word)), 0)
         low = core.lower()
         tail = word[len(word.rstrip(EDGE)) :]
         ends = int(bool(tail) and any(c in b".!?" for c in tail))
@@ -109,7 +112,7 @@ class Words:
             text = core.decode("utf-8", "replace")
             if len(text) > 1 and text[0].isupper() and not text.isupper():
                 inside = NAME
-        return xxhash.xxh3_64_intdigest(low), inside, first, ends, 1
+        return xxhash.xxh3_64_intdigest(low), (inside, first, ends, 1)
 
 
 def window_hashes(words: np.ndarray, width: int, seed: int) -> np.ndarray:
