@@ -288,6 +288,34 @@ def test_sentence_spans(spark):
     assert got.where("doc_id = 500 AND n_removed > 0").count() == 0
 
 
+def test_sentence_spans_inside_sentences(spark):
+    """Every repeated passage of 48 words is found that begins and ends inside a sentence, with any stops or none."""
+    import random
+
+    rng = random.Random(48)
+    word = lambda: "".join(rng.choices("abcdefghij", k=5))
+    rows, places = [], {}
+    for i in range(120):
+        passage = [word() + ("." if rng.random() < 0.12 * (i % 3) else "") for _ in range(48)]
+        for d in (i, 1000 + i):
+            before = [word() for _ in range(rng.randint(0, 30))]
+            rows.append((d, " ".join([*before, *passage, *(word() for _ in range(rng.randint(0, 30)))]), "en", "s0", 1))
+            places[d] = passage
+    got = {r.doc_id: r for r in spans.remove_repeats(table(spark, rows)).collect()}
+    assert all(got[i].n_removed == 0 and got[1000 + i].n_removed > 0 for i in range(120))
+    for i in range(120):
+        left = set(got[1000 + i].kept_text.split()) & set(places[1000 + i])
+        assert len(left) <= 16 + 17
+
+
+def test_sentence_parts():
+    text = b"\n\n One two.  \n \n" + b" ".join(b"%d" % k for k in range(100)) + b" (end!\") x x x x x x x x x x x x x x x x x x x x \n"
+    ends, n, _ = spans.sentences(text)
+    parts = [text[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+    assert b"".join(parts) == text and [len(p.split()) for p in parts] == n.tolist() and n.max() <= spans.PART
+    assert parts[0] == b"\n\n One two.  \n \n" and any(p.endswith(b'(end!")') for p in parts)
+
+
 # all of them on an empty table
 
 

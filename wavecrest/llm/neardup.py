@@ -229,10 +229,10 @@ def _verify(batches: Iterator[pa.RecordBatch], width: int, percent: int) -> Iter
         yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
 
 
-def filter_bits(ids: DataFrame) -> np.ndarray:
-    """A filter of NEED_BITS bits, whatever the input's size, of the hashes of the column id."""
+def filter_bits(ids: DataFrame, slot=None) -> np.ndarray:
+    """A filter of NEED_BITS bits, whatever the input's size, of the hashes of the column id (or of another slot of it)."""
     rows = (
-        ids.select((_slot(F.col("id")) + 1).alias("s"))  # Spark counts bits from 1
+        ids.select(((slot or _slot)(F.col("id")) + 1).alias("s"))  # Spark counts bits from 1
         .groupBy(F.bitmap_bucket_number("s").alias("bucket"))
         .agg(F.bitmap_construct_agg(F.bitmap_bit_position("s")).alias("bits"))
         .toLocalIterator()

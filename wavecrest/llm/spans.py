@@ -1,23 +1,29 @@
 """Removal of repeated passages by sliding sentence spans, operator 9.
 
 A text is cut into sentences: after runs of . ! ? that white space follows, and after
-line ends. A sentence of more than LONG words (tables, text without stops) is cut
-further after words chosen by their hash and before runs of one word, so equal passages
-are cut alike. A span is a
-run of at least `sentences` consecutive sentences with at least `words` words that
-loses one of the two when its first or its last sentence goes: every such shortest
-run is hashed, with A-Z lower-cased and white space made equal. Spans whose hash
-occurs more than once, in one document or in several, are repeated. The occurrence
-in the smallest doc_id, and there the first, stays; every sentence that another
-occurrence covers is removed.
+line ends. Sentences are cut further into parts of at most PART words: of every PART
+words in a row inside a sentence, after its first, the one with the smallest hash (the
+last of equal ones) begins a part. So a cut depends on no more than PART - 1 words to each side, and equal
+passages are cut alike wherever they begin and end. A span is a run of at least
+`sentences` consecutive parts with at least `words` words that loses one of the two
+when its first or its last part goes: every such shortest run is hashed, with A-Z
+lower-cased and white space made equal. Spans whose hash occurs more than once, in one
+document or in several, are repeated. The occurrence in the smallest doc_id, and there
+the first, stays; every part that another occurrence covers is removed. n_sentences and
+n_removed count parts.
+
+The cuts of two copies agree from the (2 PART - 2)nd word at the latest to as far from the
+end, and no part has more than PART words; so every repeated passage of 4 PART + 12 = 48
+words (with 15 words a span, and line ends alike) is found. Up to 16 words at its beginning and 17 at its end stay
+where its first and last parts reach beyond it.
 
 Plan: one scan makes (hash, document, position) rows. Counts by hash are
-pre-aggregated and written for repeated hashes only; the join back reads two plain
-shuffles, so that adaptive execution splits a passage that a third of all documents
-hold. Each document's list of covered spans, bounded by its own sentences, then joins
+pre-aggregated and written for repeated hashes only. A second scan leaves out spans that a
+filter of bounded size says are not repeated; the join back reads two plain shuffles, so that
+adaptive execution splits a passage that a third of all documents hold. Each document's list of covered spans, bounded by its own parts, then joins
 its text. Hashes have 64 bits.
 
-Defined cases: null and empty texts have no sentences and stay empty. Rows with a null
+Defined cases: null and empty texts have no parts and stay empty. Rows with a null
 doc_id take no part and stay whole. Rows that repeat a doc_id count as one document:
 all of them keep the first occurrence. Texts shorter than a span stay whole.
 """
@@ -30,77 +36,99 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from wavecrest.llm._scratch import Scratch
-from wavecrest.llm._text import STEP, as_bytes, mix, slices
+from wavecrest.llm._text import STEP, WordHashes, as_bytes, mix, slices
+from wavecrest.llm.neardup import NEED_BITS, filter_bits
 
-END = re.compile(rb"[.!?]+[\"')\]]*(?=[\x20\x09-\x0D])|\n")
-WORD = re.compile(rb"[^\x20\x09-\x0D]+")
-LONG = 48
-#: Inside long sentences one word in so many ends a part, on average.
-PART = 12
+STOP = re.compile(rb"[.!?][\"')\]]*\Z")
+SPACE = np.isin(np.arange(256), [32, 9, 10, 11, 12, 13])
+#: No part has more words.
+PART = 9
 #: STEP times INVERSE is 1 modulo 2^64.
 INVERSE = np.uint64(pow(int(STEP), -1, 1 << 64))
+POWER = np.cumprod(np.concatenate([[np.uint64(1)], np.full(PART, STEP, np.uint64)]))
+
+
+class Marked(WordHashes):
+    """Word hashes whose lowest bit says that the word ends a sentence."""
+
+    def __missing__(self, word: bytes) -> int:
+        out = self[word] = super().__missing__(word) & ~1 | (STOP.search(word) is not None)
+        return out
+
+
+def parts_of(texts: list[bytes], hashes: WordHashes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(end offset, words, hash) of the parts of all texts, and where each text's parts begin and the last one's end.
+
+    Each part begins where the one before in its text ends.
+    """
+    joined = b"\n".join(texts)
+    raw = np.frombuffer(joined, np.uint8)
+    gap = np.concatenate([[True], SPACE[raw], [True]])
+    starts, ends = np.flatnonzero(gap[:-1] & ~gap[1:]), np.flatnonzero(~gap[:-1] & gap[1:])
+    h = hashes.of(joined.lower().split())
+    n, none = len(h), np.empty(0, np.int64)
+    if not n:
+        return none, none, none.view(np.uint64), np.zeros(len(texts) + 1, np.int64)
+    stop = (h & np.uint64(1)) == 1
+    lines = np.flatnonzero(raw == 10)
+    before = np.searchsorted(starts, lines) - 1
+    lines, before = lines[before >= 0], before[before >= 0]
+    stop[before] = True
+    ends[before] = lines + 1
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+    begin = np.concatenate([[0], np.cumsum(sizes + 1)])
+    word = np.searchsorted(starts, begin)
+    full = np.flatnonzero(np.diff(word))
+    ends[word[full + 1] - 1] = begin[full] + sizes[full]
+    stop[word[full + 1] - 1] = True
+    if (windows := n - PART + 1) > 0:
+        # the last smallest hash of every PART words inside one sentence, after its first, begins a part
+        least, chosen = h[:windows], np.arange(windows)
+        for k in range(1, PART):
+            smaller = h[k : k + windows] <= least
+            least = np.where(smaller, h[k : k + windows], least)
+            chosen = np.where(smaller, np.arange(k, k + windows), chosen)
+        sentence = np.cumsum(stop) - stop
+        inside = sentence[:windows] == sentence[PART - 1 :]
+        inside[0] = False
+        inside[1:] &= ~stop[: windows - 1]
+        stop[chosen[inside] - 1] = True
+    last = np.flatnonzero(stop)
+    first = np.concatenate([[0], last[:-1] + 1])
+    words = last - first + 1
+    place = np.arange(n) - np.repeat(first, words)
+    own = mix(np.add.reduceat(mix(h) * POWER[place], first) + words.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    bounds = np.searchsorted(last, word)
+    return ends[last] - np.repeat(begin[:-1], np.diff(bounds)), words, own, bounds
 
 
 def sentences(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(end offset, words, hash) of each sentence; each begins where the one before ends."""
-    ends, words, hashes = [], [], []
-
-    def add(end: int, parts: list[bytes]) -> None:
-        if parts:
-            ends.append(end)
-            words.append(len(parts))
-            hashes.append(xxhash.xxh3_64_intdigest(b" ".join(parts)))
-        elif ends:
-            ends[-1] = end
-
-    start = 0
-    for stop in [*(m.end() for m in END.finditer(text)), len(text)]:
-        if stop == start:
-            continue
-        parts = text[start:stop].lower().split()
-        if len(parts) <= LONG:
-            add(stop, parts)
-        else:
-            held: list[bytes] = []
-            found = [(m[0].lower(), m.end()) for m in WORD.finditer(text, start, stop)]
-            for k, (word, end) in enumerate(found):
-                if held and k + 1 < len(found) and found[k + 1][0] == word != found[k - 1][0]:
-                    # a run of one word begins a part of its own
-                    add(found[k - 1][1], held)
-                    held = []
-                held.append(word)
-                if len(held) >= LONG or xxhash.xxh3_64_intdigest(word) % PART == 0:
-                    add(end, held)
-                    held = []
-            add(stop, held)
-        start = stop
-    return np.array(ends, np.int64), np.array(words, np.int64), np.array(hashes, np.uint64)
-
-
-def runs(words: np.ndarray, least_sentences: int, least_words: int) -> tuple[np.ndarray, np.ndarray]:
-    """(first, last) of the shortest long enough runs from each first and to each last sentence."""
+    """(end offset, words, hash) of each part; each begins where the one before ends."""
+    return parts_of([text], Marked())[:3]
+
+
+def runs(words: np.ndarray, bounds: np.ndarray, least_sentences: int, least_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """(first, last) of the shortest long enough runs from each first and to each last part, inside one text."""
     n = len(words)
-    if n < least_sentences:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
     total = np.concatenate([[0], np.cumsum(words)])
     at = np.arange(n)
+    begin, end = np.repeat(bounds[:-1], np.diff(bounds)), np.repeat(bounds[1:], np.diff(bounds))
     last = np.maximum(np.searchsorted(total, total[:-1] + least_words, side="left") - 1, at + least_sentences - 1)
     first = np.minimum(np.searchsorted(total, total[1:] - least_words, side="right") - 1, at - least_sentences + 1)
-    forward, backward = last < n, first >= 0
+    forward, backward = last < end, first >= begin
     both = np.concatenate([at[forward] * (n + 1) + last[forward], first[backward] * (n + 1) + at[backward]])
     both = np.unique(both)
     return both // (n + 1), both % (n + 1)
 
 
 def run_hashes(hashes: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
-    """A hash of each run's sequence of sentence hashes, from prefix sums of a polynomial modulo 2^64."""
+    """A hash of each run's sequence of part hashes, from prefix sums of a polynomial modulo 2^64."""
     n = len(hashes)
     power = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, STEP, np.uint64)]))
     back = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, INVERSE, np.uint64)]))
@@ -111,31 +139,40 @@ def run_hashes(hashes: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.nd
     return mix(span + length * np.uint64(0xD6E8FEB86659FD93))
 
 
-def _spans(batches: Iterator[pa.RecordBatch], least_sentences: int, least_words: int) -> Iterator[pa.RecordBatch]:
+def _slot(column):
+    return column.bitwiseAND(F.lit(NEED_BITS - 1))
+
+
+def _spans(batches: Iterator[pa.RecordBatch], least_sentences: int, least_words: int, needed=None) -> Iterator[pa.RecordBatch]:
+    """(hash, document, place) of the spans; of those in the filter `needed` only, where it is given."""
+    marked = Marked()
     for part in slices(batches, "text"):
-        ids, hashes, places = [], [], []
-        for doc_id, text in zip(part.column(0).to_pylist(), as_bytes(part.column(1)), strict=True):
-            _, words, own = sentences(text)
-            first, last = runs(words, least_sentences, least_words)
-            if not len(first):
-                continue
-            h = run_hashes(own, first, last)
-            again = np.ones(len(h), np.int64)
-            again[np.unique(h, return_index=True)[1]] = 0
-            ids.append(np.full(len(h), doc_id, np.int64))
-            hashes.append(h)
-            places.append((first << 13) | ((last - first) << 1) | again)
-        if ids:
-            yield pa.RecordBatch.from_pydict({"h": pa.array(np.concatenate(hashes).view(np.int64)), "doc_id": pa.array(np.concatenate(ids)), "place": pa.array(np.concatenate(places))})
+        _, words, own, bounds = parts_of(as_bytes(part.column(1)), marked)
+        first, last = runs(words, bounds, least_sentences, least_words)
+        if not len(first):
+            continue
+        h = run_hashes(own, first, last)
+        owner = np.searchsorted(bounds, first, side="right") - 1
+        order = np.lexsort((h, owner))
+        again = np.zeros(len(h), np.int64)
+        again[order[1:]] = (h[order[1:]] == h[order[:-1]]) & (owner[order[1:]] == owner[order[:-1]])
+        place = ((first - bounds[owner]) << 13) | ((last - first) << 1) | again
+        if needed is not None:
+            slot = (h & np.uint64(NEED_BITS - 1)).astype(np.int64)
+            wanted = np.flatnonzero((needed.value[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1)
+            h, owner, place = h[wanted], owner[wanted], place[wanted]
+        yield pa.RecordBatch.from_pydict({"h": pa.array(h.view(np.int64)), "doc_id": part.column(0).take(pa.array(owner)), "place": pa.array(place)})
 
 
 def _apply(batches: Iterator[pa.RecordBatch], schema: pa.Schema, digest_only: bool) -> Iterator[pa.RecordBatch]:
+    marked = Marked()
     for part in slices(batches, "text"):
         texts = as_bytes(part.column(part.schema.get_field_index("text")))
+        all_ends, _, _, bounds = parts_of(texts, marked)
         lists = part.column(part.schema.get_field_index("places__"))
         counts, removed, kept = [], [], []
-        for text, places in zip(texts, lists, strict=True):
-            ends, _, _ = sentences(text)
+        for t, (text, places) in enumerate(zip(texts, lists, strict=True)):
+            ends = all_ends[bounds[t] : bounds[t + 1]]
             counts.append(len(ends))
             if not places.is_valid:
                 removed.append(0)
@@ -167,10 +204,13 @@ def remove_repeats(docs: DataFrame, least_sentences: int = 2, least_words: int =
     """
     scratch = Scratch(docs.sparkSession, "spans")
     texts = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    spans = texts.mapInArrow(lambda b: _spans(b, least_sentences, least_words), "h long, doc_id long, place long")
+    columns = "h long, doc_id long, place long"
+    spans = texts.mapInArrow(lambda b: _spans(b, least_sentences, least_words), columns)
     again = F.col("place").bitwiseAND(F.lit(1)).cast("long")
     repeated = spans.groupBy("h").agg(F.min("doc_id").alias("keeper"), F.max("doc_id").alias("most"), F.max(again).alias("again")).where("keeper <> most OR again = 1")
     repeated = scratch.cut(repeated.select("h", "keeper"), "repeated")
+    needed = docs.sparkSession.sparkContext.broadcast(filter_bits(repeated.select(F.col("h").alias("id")), _slot))
+    spans = texts.mapInArrow(lambda b: _spans(b, least_sentences, least_words, needed), columns)
     lost = spans.join(repeated, "h").where((F.col("doc_id") != F.col("keeper")) | (again == 1))
     lost = lost.groupBy(F.col("doc_id").alias("lost_id__")).agg(F.collect_list("place").alias("places__"))
     made = {"n_sentences", "n_removed", "kept_sha256" if digest_only else "kept_text"}
