@@ -130,6 +130,21 @@ def test_leaks_and_templates(spark):
     assert decontaminate.find_leaks(docs, none).count() == 0 and decontaminate.remove_contaminated(docs, none).count() == len(rows)
 
 
+def leak(question, text):
+    words_ = decontaminate.Words()
+    return decontaminate.Index([(1, question)], 8).judge(words_, [text.encode()], 13).get(0, [])
+
+
+def test_leaks_with_slots_that_become_equal():
+    question = "there were 3 red and 5 green apples in the old basket and 9 more were put in by hand"
+    assert leak(question, question.replace("3", "4").replace("5", "4").replace("9", "12"))
+    # equal values that become different are another shape
+    assert not leak(question.replace("5", "3"), question.replace("3", "4").replace("9", "12"))
+    # a clash between two runs of matched windows leaves each of them
+    tail = "then all 3 of them walked slowly over the narrow bridge to the other side of the river"
+    assert leak("we saw 3 birds fly over the hill at dawn today while it rained so hard " + tail, "we saw 7 birds fly over the hill at dawn today but the sun shone brightly " + tail.replace("3", "8"))
+
+
 def test_leaks_against_brute_force(spark, tables, monkeypatch):
     """Every document that holds an item's words in a row is found, in blocks of items too; nothing else in this table."""
     monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 40_000)

@@ -4,10 +4,10 @@ Words are runs of anything but white space, stripped of punctuation at both ends
 lower-cased. A word becomes a typed placeholder where it is a number, a unit of
 measure, or a name (a capital inside a sentence). Windows of `width` words are hashed
 twice: as they are, and with placeholders. A placeholder window counts only where at
-least half of its words are literal and its slots are consistent: along one alignment
-of document and item, equal slot values of the item stand for equal values in the
-document, and different ones for different. So a question whose numbers or names were
-exchanged throughout is still found, and one that merely has a like shape is not.
+least half of its words are literal and its slots are consistent: in one run of matched
+windows along one alignment of document and item, equal slot values of the item stand for
+equal values in the document (different ones may become equal). So a question whose numbers
+or names were exchanged throughout is still found, and one that merely has a like shape is not.
 
 A document is contaminated by an item when consecutive item words, covered by matched
 windows, reach `run_words` (or the whole item where it is shorter). Items of fewer
@@ -194,10 +194,7 @@ class Index:
                     here[there : there + w] = True
                     if not typed:
                         plain[there : there + w] = True
-                slots = np.flatnonzero(here & (own_kind != LITERAL))
-                pairs = set(zip(own_kind[slots].tolist(), own[slots].tolist(), literal[slots + shift].tolist(), strict=True))
-                if len({p[:2] for p in pairs}) == len(pairs) == len({(p[0], p[2]) for p in pairs}):
-                    covered |= here
+                covered |= _consistent(here, own, own_kind, literal, shift)
             covered |= plain
             run = _longest(covered)
             if run >= min(run_words, len(own)):
@@ -205,6 +202,17 @@ class Index:
         return out
 
 
+def _consistent(here: np.ndarray, own: np.ndarray, kinds: np.ndarray, literal: np.ndarray, shift: int) -> np.ndarray:
+    """The words of those runs of matched words in which each slot value of the item has one value in the document."""
+    out = np.zeros(len(own), bool)
+    edges = np.flatnonzero(np.diff(np.concatenate([[0], here.astype(np.int8), [0]])))
+    for start, stop in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
+        slots = start + np.flatnonzero(kinds[start:stop] != LITERAL)
+        pairs = set(zip(kinds[slots].tolist(), own[slots].tolist(), literal[slots + shift].tolist(), strict=True))
+        out[start:stop] = len({p[:2] for p in pairs}) == len(pairs)
+    return out
+
+
 def _longest(flags: np.ndarray) -> int:
     edges = np.flatnonzero(np.diff(np.concatenate([[0], flags.astype(np.int8), [0]])))
     return int((edges[1::2] - edges[::2]).max()) if len(edges) else 0
