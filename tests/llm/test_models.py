@@ -145,6 +145,17 @@ def test_leaks_with_slots_that_become_equal():
     assert leak("we saw 3 birds fly over the hill at dawn today while it rained so hard " + tail, "we saw 7 birds fly over the hill at dawn today but the sun shone brightly " + tail.replace("3", "8"))
 
 
+def test_leaks_with_names_that_begin_sentences():
+    short = "Maria buys 4 pens for 3 dollars each; what is her total?"
+    assert leak(short, "We asked this. " + short.replace("Maria", "Peter").replace("4", "7"))
+    assert leak(short, "we asked, Peter buys 7 pens for 9 dollars each; what is her total?")
+    question = "Tom has 3 apples. Tom buys 5 more apples. How many apples does Tom have now?"
+    changed = question.replace("Tom", "Anna").replace("3", "8").replace("5", "6")
+    assert leak(question, "Here is one. " + changed) == [(1, 16, 16, False)]
+    assert not leak(question, changed.replace("does Anna", "does Olga"))
+    assert leak(question, question) == [(1, 16, 16, True)]
+
+
 def test_leaks_against_brute_force(spark, tables, monkeypatch):
     """Every document that holds an item's words in a row is found, in blocks of items too; nothing else in this table."""
     monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 40_000)

@@ -3,7 +3,8 @@
 Words are runs of anything but white space, stripped of punctuation at both ends and
 lower-cased. A word becomes a typed placeholder where it is a number, a unit of
 measure, or a name (a capital inside a sentence). Windows of `width` words are hashed
-twice: as they are, and with placeholders. A placeholder window counts only where at
+as they are, with placeholders, and with placeholders for capitals that begin a sentence
+too, as a name may stand there. A placeholder window counts only where at
 least half of its words are literal and its slots are consistent: in one run of matched
 windows along one alignment of document and item, equal slot values of the item stand for
 equal values in the document (different ones may become equal). So a question whose numbers
@@ -64,7 +65,7 @@ class Words:
         self.hashes, self.marks = np.empty(0, np.uint64), np.empty((0, 4), np.int8)
 
     def of(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(literal hash, hash with placeholders, kind) of each word of the texts, end to end, and where each text ends."""
+        """(literal hash, kind, kind with capitals that begin a sentence as names) of each word of the texts, end to end, and where each text ends."""
         if len(self.number) > self.limit:
             self.clear()
         number, words, ends = self.number, [], []
@@ -84,8 +85,8 @@ class Words:
         start[1:] = marks[:-1, 2] == 1
         start[ends[:-1][ends[:-1] < len(words)]] = True
         keep = marks[:, 3] == 1
-        literal, kind = self.hashes[at[keep]], np.where(start, marks[:, 1], marks[:, 0])[keep]
-        return literal, np.where(kind == LITERAL, literal, SLOT[kind]), kind, np.concatenate([[0], np.cumsum(keep)])[ends]
+        kind = np.where(start, marks[:, 1], marks[:, 0])[keep]
+        return self.hashes[at[keep]], kind, marks[keep, 0], np.concatenate([[0], np.cumsum(keep)])[ends]
 
     @staticmethod
     def kind(word: bytes) -> tuple[int, tuple[int, int, int, int]]:
@@ -126,13 +127,21 @@ def window_hashes(words: np.ndarray, width: int, seed: int) -> np.ndarray:
     return mix(out)
 
 
-def _windows(literal: np.ndarray, canon: np.ndarray, kind: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the literal windows, and of those with placeholders (0 where they have none or too few literals)."""
-    plain, typed = window_hashes(literal, width, 1), window_hashes(canon, width, 2)
-    slots = np.concatenate([[0], np.cumsum(kind != LITERAL)])
-    slots = slots[width:] - slots[: len(slots) - width] if len(literal) >= width else np.empty(0, np.int64)
-    typed = np.where((slots > 0) & (2 * slots <= width), typed, 0)
-    return plain, typed
+def _windows(literal: np.ndarray, kind: np.ndarray, named: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the literal windows, of those with placeholders (0 where they have none or too few literals), and of
+    those in which capitals that begin a sentence are names too (0 where there are none)."""
+    if len(literal) < width:
+        return (np.empty(0, np.uint64),) * 3
+
+    def count(flags: np.ndarray) -> np.ndarray:
+        total = np.concatenate([[0], np.cumsum(flags)])
+        return total[width:] - total[: len(flags) - width + 1]
+
+    plain = window_hashes(literal, width, 1)
+    typed, opened = (window_hashes(np.where(k == LITERAL, literal, SLOT[k]), width, 2) for k in (kind, named))
+    slots = count(kind != LITERAL)
+    few = 2 * slots <= width
+    return plain, np.where((slots > 0) & few, typed, 0), np.where((count(kind != named) > 0) & few, opened, 0)
 
 
 class Index:
@@ -143,13 +152,13 @@ class Index:
         self.width, self.items, self.at = width, {}, {}
         widths = set()
         for number, (item_id, text) in enumerate(items):
-            literal, canon, kind, _ = words.of([(text or "").encode()])
+            literal, kind, named, _ = words.of([(text or "").encode()])
             if len(literal) < MIN_ITEM:
                 continue
-            self.items[number] = (item_id, literal, kind)
+            self.items[number] = (item_id, literal, kind, named)
             w = min(width, len(literal))
             widths.add(w)
-            for typed, hashes in enumerate(_windows(literal, canon, kind, w)):
+            for typed, hashes in enumerate(_windows(literal, kind, named, w)):
                 for place, h in enumerate(hashes.tolist()):
                     if h:
                         self.at.setdefault(h, []).append((number, place, w, typed))
@@ -160,41 +169,49 @@ class Index:
 
     def judge(self, words: Words, texts: list[bytes], run_words: int) -> dict[int, list[tuple]]:
         """Matches of those texts that have any, by number. Texts are looked through end to end; few have a known window."""
-        literal, canon, kind, ends = words.of(texts)
+        literal, kind, named, ends = words.of(texts)
         owner = np.repeat(np.arange(len(texts)), np.diff(np.concatenate([[0], ends])))
         some: set[int] = set()
         for w in self.widths:
-            for hashes in _windows(literal, canon, kind, w):
+            for hashes in _windows(literal, kind, named, w):
                 maybe = np.flatnonzero(self.filter[hashes & np.uint64(FILTER - 1)])
                 maybe = maybe[self.known[np.minimum(np.searchsorted(self.known, hashes[maybe]), len(self.known) - 1)] == hashes[maybe]]
                 some.update(owner[maybe[owner[maybe] == owner[maybe + w - 1]]].tolist())
         out = {}
         for t in sorted(some):
             part = slice(ends[t - 1] if t else 0, ends[t])
-            if found := self.matches(literal[part], canon[part], kind[part], run_words):
+            if found := self.matches(literal[part], kind[part], named[part], run_words):
                 out[t] = found
         return out
 
-    def matches(self, literal: np.ndarray, canon: np.ndarray, kind: np.ndarray, run_words: int) -> list[tuple]:
+    def matches(self, literal: np.ndarray, kind: np.ndarray, named: np.ndarray, run_words: int) -> list[tuple]:
         """(item id, longest run of matched words, words of the item, whether verbatim) of each contaminating item."""
         found: dict[int, dict[int, list[tuple[int, int, int]]]] = {}
         for w in self.widths:
-            for typed, hashes in enumerate(_windows(literal, canon, kind, w)):
+            for typed, hashes in enumerate(_windows(literal, kind, named, w)):
                 for place in np.flatnonzero(self.filter[hashes & np.uint64(FILTER - 1)]).tolist():
                     for number, there, width, kind_of in self.at.get(int(hashes[place]), ()):
-                        if width == w and kind_of == typed:
-                            found.setdefault(number, {}).setdefault(place - there, []).append((there, w, typed))
+                        if width == w and (kind_of > 0) == (typed > 0):
+                            found.setdefault(number, {}).setdefault(place - there, []).append((there, w, max(typed, kind_of)))
         out = []
         for number, lines in found.items():
-            item_id, own, own_kind = self.items[number]
+            item_id, own, own_kind, own_named = self.items[number]
             covered, plain = np.zeros(len(own), bool), np.zeros(len(own), bool)
             for shift, places in lines.items():
-                here = np.zeros(len(own), bool)
+                here, wider = np.zeros(len(own), bool), np.zeros(len(own), bool)
                 for there, w, typed in places:
-                    here[there : there + w] = True
+                    span = slice(there, there + w)
+                    if typed == 2:
+                        # a capital that begins a sentence and stays the same is a literal word
+                        changed = (own_kind[span] != LITERAL) | (own[span] != literal[there + shift : there + shift + w])
+                        wider[span] |= 2 * np.count_nonzero(changed & (own_named[span] != LITERAL)) <= w
+                        continue
+                    here[span] = True
                     if not typed:
-                        plain[there : there + w] = True
+                        plain[span] = True
                 covered |= _consistent(here, own, own_kind, literal, shift)
+                if wider.any():
+                    covered |= _consistent(here | wider, own, own_named, literal, shift)
             covered |= plain
             run = _longest(covered)
             if run >= min(run_words, len(own)):
