@@ -77,6 +77,18 @@ def test_warc_plain_files_and_bad_digest(spark, tmp_path):
         warc.read_archive(spark, f"file://{tmp_path}").count()
 
 
+def test_warc_length_is_not_pushed_down(tmp_path):
+    """Archives from elsewhere state no payload length, so Spark itself tests it, after the payload is read."""
+    from pyspark.sql.datasource import EqualTo, GreaterThan, IsNotNull
+
+    (tmp_path / "a.warc").write_bytes(b"WARC/1.1\r\nWARC-Type: resource\r\nWARC-Record-ID: <urn:a>\r\nContent-Length: 5\r\n\r\nhello\r\n\r\n")
+    reader = warc.WarcReader({"path": f"file://{tmp_path}"})
+    length = [IsNotNull(("payload_bytes",)), GreaterThan(("payload_bytes",), 0), EqualTo(("payload_bytes",), 5)]
+    assert list(reader.pushFilters([*length, EqualTo(("record_type",), "resource")])) == length
+    found = [r for p in reader.partitions() for b in reader.read(p) for r in b.to_pylist()]
+    assert [(r["payload_bytes"], r["payload"]) for r in found] == [(5, b"hello")]
+
+
 def test_warc_empty(spark, tmp_path):
     warc.write_archive(spark.createDataFrame([], "page_id long, url string, html string"), f"file://{tmp_path}/e")
     assert warc.read_archive(spark, f"file://{tmp_path}/e").count() == 0

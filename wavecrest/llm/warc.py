@@ -198,7 +198,8 @@ class WarcReader(DataSourceReader):
     def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
         for f in filters:
             column = f.attribute[0] if len(getattr(f, "attribute", ())) == 1 else None
-            if column not in HEADER_OF:
+            if column not in HEADER_OF or column == "payload_bytes":
+                # archives from elsewhere don't state payload_bytes; it is known only once the payload is read
                 yield f
             elif isinstance(f, EqualTo):
                 self.tests.append((column, "is", f.value))
