@@ -89,6 +89,24 @@ def test_warc_length_is_not_pushed_down(tmp_path):
     assert [(r["payload_bytes"], r["payload"]) for r in found] == [(5, b"hello")]
 
 
+def test_warc_gzip_members_with_several_records(tmp_path):
+    import gzip
+
+    import pyarrow.fs as pafs
+
+    record = lambda i, size: b"WARC/1.1\r\nWARC-Type: resource\r\nWARC-Record-ID: <urn:%d>\r\nContent-Length: %d\r\n\r\n%s\r\n\r\n" % (i, size, bytes([65 + i]) * size)
+    sizes = [5, 0, 90_000, 7, 1]
+    records = [record(i, n) for i, n in enumerate(sizes)]
+    whole = gzip.compress(b"".join(records))
+    for data in (whole, b"".join(map(gzip.compress, records)), gzip.compress(b"".join(records[:2])) + gzip.compress(b"".join(records[2:]))):
+        (tmp_path / "a.warc.gz").write_bytes(data)
+        with pafs.LocalFileSystem().open_input_file(str(tmp_path / "a.warc.gz")) as file:
+            assert [body() for _, body in warc.records_gz(file)] == [bytes([65 + i]) * n for i, n in enumerate(sizes)]
+    (tmp_path / "a.warc.gz").write_bytes(whole[:-40])
+    with pafs.LocalFileSystem().open_input_file(str(tmp_path / "a.warc.gz")) as file, pytest.raises(ValueError, match="cut off"):
+        list(warc.records_gz(file))
+
+
 def test_warc_empty(spark, tmp_path):
     warc.write_archive(spark.createDataFrame([], "page_id long, url string, html string"), f"file://{tmp_path}/e")
     assert warc.read_archive(spark, f"file://{tmp_path}/e").count() == 0

@@ -23,6 +23,7 @@ records. An empty table gives a folder without files, which reads as no rows.
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import json
 import struct
@@ -317,6 +318,11 @@ def records_gz(file) -> Iterator[tuple[dict, object]]:
             raise ValueError("not a gzip member")
         if first[3] & 4 and first[12:16] == b"sl\x08\0":
             length = struct.unpack("<I", first[16:20])[0]
+        if length is None:
+            # archives from elsewhere: a member may hold several records, or a part of one
+            file.seek(at)
+            yield from _records_inflated(gzip.GzipFile(fileobj=file))
+            return
         inflate = zlib.decompressobj(31)
         text = inflate.decompress(first, CHUNK)
         while b"\r\n\r\n" not in text:
@@ -340,12 +346,34 @@ def records_gz(file) -> Iterator[tuple[dict, object]]:
             return b"".join(got)[: int(head["content-length"])]
 
         yield head, body
-        if length is None:
-            drain()
-            length = file.tell() - at - len(inflate.unused_data)
         at += length
 
 
+def _records_inflated(stream) -> Iterator[tuple[dict, object]]:
+    """The records of all members from here on; one block is held at a time."""
+    text = b""
+    try:
+        while True:
+            text = text.lstrip(b"\r\n")
+            while b"\r\n\r\n" not in text:
+                more = stream.read(4096)
+                if not more:
+                    if text.strip():
+                        raise ValueError("a record's header is cut off")
+                    return
+                text = (text + more).lstrip(b"\r\n")
+            raw, _, text = text.partition(b"\r\n\r\n")
+            head = parse_head(raw)
+            size = int(head["content-length"])
+            block, text = text[:size], text[size:]
+            block += stream.read(size - len(block))
+            if len(block) < size:
+                raise ValueError("a record is cut off")
+            yield head, lambda block=block: block
+    except EOFError as e:
+        raise ValueError("a record is cut off") from e
+
+
 class WarcDataSource(DataSource):
     @classmethod
     def name(cls) -> str:
