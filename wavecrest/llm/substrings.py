@@ -20,7 +20,8 @@ one position in 137 is an anchor; runs of neighbouring windows share one.
    difference cover sample computed beforehand, so memory is a multiple of
    BUCKET_BYTES. Buckets of more than HOT different runs (a string that very many
    documents hold in different surroundings) are dealt further: each window, with the
-   128-bit digest of its bytes, is a row, counted with pre-aggregation.
+   128-bit digest of its bytes, is a row, counted with pre-aggregation. A run or window that
+   very many rows share is counted, and joined back, in parts.
 4. The repeated intervals of each text, bounded by its own length, join the text.
 
 Texts travel compressed, and only those with repeated anchors. A text is known by a
@@ -51,6 +52,8 @@ from wavecrest.llm.suffixes import equal_windows
 KGRAM = 128
 BUCKET_BYTES = 3 << 20
 HOT = 3000
+#: A key of this many rows is joined in one part.
+PART_ROWS = 1 << 17
 #: Texts are looked at in pieces of so many window starts; a place fits into 20 bits.
 PIECE = 1 << 19
 
@@ -234,6 +237,20 @@ def _apply(batches: Iterator[pa.RecordBatch], with_text: bool) -> Iterator[pa.Re
         yield pa.RecordBatch.from_pydict(columns)
 
 
+def repeated(rows: DataFrame, keys: list[str], scratch: Scratch) -> DataFrame:
+    """Those of the written rows (with the column row) whose keys another row has too.
+
+    A key that a third of all rows hold is counted, and joined back, in so many parts, dealt by row,
+    that each has about PART_ROWS rows at most; a key has no more parts than rows.
+    """
+    parts = max(64, -(-rows.count() // PART_ROWS))
+    rows = rows.withColumn("part__", F.pmod(F.xxhash64("row", F.lit(5)), F.lit(parts)))
+    by_part = scratch.cut(rows.groupBy(*keys, "part__").agg(F.count("*").alias("n__")), "parts")
+    again = by_part.groupBy(*keys).agg(F.sum("n__").alias("n__")).where("n__ > 1").select(*keys)
+    again = scratch.cut(by_part.join(again, keys).select(*keys, "part__"), "again")
+    return rows.join(again, [*keys, "part__"])
+
+
 def remove_substrings(docs: DataFrame, length: int = 400, with_text: bool = False) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256), one row for each row of docs.
 
@@ -251,7 +268,7 @@ def remove_substrings(docs: DataFrame, length: int = 400, with_text: bool = Fals
     classes = suspects.groupBy("h", "r1", "r2").agg(F.count("*").alias("n"), F.min(F.struct("row", "place")).alias("one"), F.first("mixed").alias("mixed"))
     classes = scratch.cut(classes.select("h", "r1", "r2", "n", "one.row", "one.place", "mixed"), "classes")
     places = lambda c: (F.shiftright(c, 20).alias("start"), (F.shiftright(c, 20) + c.bitwiseAND(F.lit(1023)) + (length - 1)).alias("stop"))
-    equal_runs = suspects.join(classes.where("n > 1").select("h", "r1", "r2"), ["h", "r1", "r2"]).select("row", *places(F.col("place")))
+    equal_runs = repeated(suspects, ["h", "r1", "r2"], scratch).select("row", *places(F.col("place")))
 
     needed = spark.sparkContext.broadcast(filter_bits(suspects.select(F.col("row").alias("id"))))
     slot = F.pmod(F.xxhash64(F.col("row")), F.lit(NEED_BITS))
@@ -264,9 +281,8 @@ def remove_substrings(docs: DataFrame, length: int = 400, with_text: bool = Fals
     cut_out = scratch.cut(mixed.join(bytes_of, "row").mapInArrow(lambda b: _cut_out(b, length), "h long, row long, place long, n long, bytes binary"), "bytes")
     sorted_buckets = cut_out.join(hot, "h", "left_anti").repartition("h").sortWithinPartitions("h").mapInArrow(lambda b: _sort_buckets(b, length), "row long, start long, stop long")
     windows = cut_out.join(hot, "h").mapInArrow(lambda b: _window_rows(b, length), "w1 long, w2 long, row long, start long, covered long")
-    windows = scratch.cut(windows, "windows")
-    again = scratch.cut(windows.groupBy("w1", "w2").agg(F.count("*").alias("n")).where("n > 1").select("w1", "w2"), "again")
-    hot_windows = windows.where("covered = 0").join(again, ["w1", "w2"]).select("row", "start", (F.col("start") + length).alias("stop"))
+    windows = repeated(scratch.cut(windows, "windows"), ["w1", "w2"], scratch)
+    hot_windows = windows.where("covered = 0").select("row", "start", (F.col("start") + length).alias("stop"))
 
     found = equal_runs.unionByName(sorted_buckets).unionByName(hot_windows).groupBy("row").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
     out = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_bytes binary" * with_text
