@@ -100,6 +100,92 @@ def test_sites_shrink(spark):
     assert out[5000] < 0.2 < 0.45 < out[5002] < out[5001] and abs(out[5003] - out[5002]) < 0.1
 
 
+def test_toxicity_against_brute_force(spark):
+    """Every pair of terms summed one by one, from the words of the text; folds by zlib."""
+    import zlib
+
+    import xxhash
+
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    model = toxicity.train(docs, labels, ~labelled.held_out(F.col("doc_id")))
+    got = {r.doc_id: r for r in toxicity.op3_toxicity(spark, SF).collect()}
+    assert len(got) == docs.count()
+    for doc_id, text in [(r.doc_id, r.text) for r in docs.collect()][:120]:
+        terms = {xxhash.xxh3_64_intdigest(w.strip(labelled.EDGE), 1) % labelled.BUCKETS for w in (text or "").encode().lower().split()}
+        used = [int(model.slot[t]) for t in sorted(terms) if model.slot[t] >= 0]
+        raw = model.bias + sum(model.w[i] * model.x[i] for i in used)
+        raw += sum(float(model.v[i] @ model.v[j]) * model.x[i] * model.x[j] for k, i in enumerate(used) for j in used[k + 1 :]) / max(1, len(used)) ** 0.5
+        assert got[doc_id].score == pytest.approx(1 / (1 + np.exp(-np.clip(raw, -40, 40))), abs=2e-6)
+        assert got[doc_id].held_out == (zlib.crc32(str(doc_id).encode()) % 4 == 2)
+
+
+def test_quality_posterior_against_brute_force(spark):
+    """Shrinkage and posterior recomputed with loops, each document taken out of its own sites."""
+    from wavecrest.llm._scratch import Scratch
+
+    rng = random.Random(6)
+    rows = []
+    for i in range(240):
+        host = rng.choice(["a", "b", "c", None, "d"])
+        rows.append((i, host, rng.choice(["x", "y", None]) if host != "d" else f"only{i}", min(1 - 1e-6, max(1e-6, rng.betavariate(2, 1) * (0.3 if host == "b" else 1)))))
+    scored = spark.createDataFrame(rows, "doc_id long, source string, lang string, p__ double")
+    original, quality.with_evidence = quality.with_evidence, lambda docs, model, columns: docs.select(*columns, "p__")
+    try:
+        made = quality.sites(scored, quality.Logistic(None, None, None, 0.7), "source", "lang", Scratch(spark, "test"))
+    finally:
+        quality.with_evidence = original
+    got = {r.doc_id: r.posterior__ for r in quality.posterior(scored, made, "source", "lang", 0.7).collect()}
+
+    def kappa(site):
+        groups = {}
+        for r in rows:
+            groups.setdefault(site(r), []).append(r[3])
+        n, k = len(rows), len(groups)
+        mean = sum(r[3] for r in rows) / n
+        within = sum((p - sum(g) / len(g)) ** 2 for g in groups.values() for p in g) / (n - k)
+        between = (sum(len(g) * (sum(g) / len(g) - mean) ** 2 for g in groups.values()) - (k - 1) * within) / (n - sum(len(g) ** 2 for g in groups.values()) / n)
+        return min(1e6, max(1.0, within / between)) if between > 0 else 1e6
+
+    host_kappa, path_kappa = kappa(lambda r: r[1]), kappa(lambda r: (r[1], r[2]))
+    mean = sum(r[3] for r in rows) / len(rows)
+    odds = lambda p: np.log(p / (1 - p))
+    for doc_id, host, path, p in rows:
+        others = [r[3] for r in rows if r[0] != doc_id and r[1] == host]
+        own = [r[3] for r in rows if r[0] != doc_id and r[1:3] == (host, path)]
+        host_mean = (mean * host_kappa + sum(others)) / (len(others) + host_kappa)
+        path_mean = (host_mean * path_kappa + sum(own)) / (len(own) + path_kappa)
+        assert got[doc_id] == pytest.approx(1 / (1 + np.exp(-(odds(p) + odds(path_mean) - odds(0.7)))), abs=1e-9)
+
+
+def test_quality_learns_terms():
+    """Texts of one shape that differ in their words alone."""
+    rng = random.Random(12)
+    good, bad = words(rng, 150).split(), words(rng, 150).split()
+    make = lambda y: " ".join(rng.choice(good if y and rng.random() < 0.6 else bad if rng.random() < 0.75 else good) for _ in range(40)).encode()
+    labels = np.array([float(i % 3 > 0) for i in range(900)])
+    texts, terms = [make(y) for y in labels], labelled.Terms()
+    sets, shapes = [terms.of(t) for t in texts], np.array([labelled.style(t) for t in texts])
+    model = quality.learn(labels[:600], sets[:600], shapes[:600])
+    assert ((model.probabilities(texts[600:], sets[600:]) > 0.5) == labels[600:]).mean() > 0.9
+
+
+def test_rows_without_ids_and_repeated_labelled_rows(spark, tmp_path):
+    rng = random.Random(2)
+    rows = [*hard_rows(), *[(5, words(rng, 30), "en", "s", 1)] * 300, (6, words(rng, 30_000), "en", "s", 1)]
+    folder = f"file://{tmp_path}/t"
+    table(spark, rows, extra=True).write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([(i, int(i % 2), int(i % 3 == 0)) for i in range(24)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    for query in (toxicity.op3_toxicity, quality.op8_quality):
+        got = query(spark, folder).collect()
+        assert len(got) == len(rows) and all(r.held_out is False for r in got if r.doc_id is None)
+        assert all(0 <= r.score <= 1 for r in got)
+    docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
+    y, sets, shapes = labelled.training_rows(docs, labelled.sample(labels, "toxic"), most_terms=50)
+    assert len(y) == len(sets) == len(shapes) == 24 and max(map(len, sets)) <= 50
+    mixed = mixing.mix(docs, labels, columns=docs.columns)
+    assert mixed.count() == len(rows) and set(mixed.columns) == {*docs.columns, *mixing.MADE}
+
+
 # operator 10
 
 
@@ -207,8 +293,8 @@ def test_pipeline_stages(spark, tmp_path):
         after = spark.read.parquet(path)
         rows = {r.doc_id: r for r in after.collect()}
         assert set(rows) <= set(before) and len(rows) == after.count()
-        if name != "mixing":
-            assert after.columns == columns and all(r.n_lines == "x" and r["p__"] == 1 for r in rows.values())
+        assert after.columns[: len(columns)] == columns and all(r.n_lines == "x" and r["p__"] == 1 for r in rows.values())
+        assert name == "mixing" or after.columns == columns
         if name == "quality":
             junk = {r.doc_id for r in spark.read.parquet(f"{SF}/labels.parquet").where("quality = 0").collect()}
             assert not junk & set(rows) and len(rows) >= 0.8 * (len(before) - len(junk))
@@ -221,6 +307,10 @@ def test_pipeline_stages(spark, tmp_path):
             assert set(rows) == kept
         elif name == "decontaminate":
             assert len(rows) < len(before)
+        elif name == "mixing":
+            assert after.columns == [*columns, *mixing.MADE] and set(rows) == set(before)
+            assert all(r.text == before[d].text and r.source == before[d].source for d, r in rows.items())
+            assert all(int(r.rate) <= r.draws <= int(r.rate) + 1 for r in rows.values())
         before, docs = rows, after
     assert before and all(r.rate >= 0 for r in before.values())
 

@@ -9,12 +9,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wavecrest.llm._text import WordHashes, as_bytes, slices
+from wavecrest.llm._text import WordHashes, as_bytes, mix, slices
 
 #: The most labelled rows that a classifier is fitted on, whatever the size of the labels table.
 SAMPLE_ROWS = 16_000
 #: Hashed terms fall into so many buckets.
 BUCKETS = 1 << 18
+#: The most terms of one text that a fit looks at, those of smallest mixed bucket; with SAMPLE_ROWS it bounds what the driver holds.
+TEXT_TERMS = 4096
 EDGE = b"\"'`.,;:!?()[]{}<>*%$&#|/\\~^_=+-"
 
 _CLASS = np.full(256, 7)
@@ -59,7 +61,7 @@ class Terms:
 
     def __init__(self, limit: int = 300_000):
         self.bucket: dict[bytes, int] = {}
-        self.limit, self.hashes = limit, WordHashes(1)
+        self.limit, self.hashes = limit, WordHashes(seed=1)
 
     def of(self, text: bytes) -> np.ndarray:
         words = set(text.lower().split())
@@ -72,10 +74,15 @@ class Terms:
 
 
 def crc_fold(doc_id: Column) -> Column:
-    """crc32 of the id as text, modulo 4."""
+    """crc32 of the id as text, modulo 4; null without an id."""
     return F.crc32(doc_id.cast("string").cast("binary")) % 4
 
 
+def held_out(doc_id: Column) -> Column:
+    """Whether the remainder is 2; rows without an id are not held out (they can't be labelled either)."""
+    return F.coalesce(crc_fold(doc_id) == 2, F.lit(False))
+
+
 def sample(labels: DataFrame, target: str, eligible: Column | None = None, rows: int = SAMPLE_ROWS) -> DataFrame:
     """(doc_id, label) of at most about `rows` labelled ids, chosen by a hash of the id alone; contradicting labels count as the larger."""
     known = labels.where(F.col(target).isNotNull() & F.col("doc_id").isNotNull())
@@ -87,18 +94,26 @@ def sample(labels: DataFrame, target: str, eligible: Column | None = None, rows:
     return known.groupBy(F.col("doc_id").cast("long").alias("labelled_id")).agg(F.max(F.col(target).cast("int")).alias("label"))
 
 
-def _features(batches: Iterator[pa.RecordBatch], terms: bool) -> Iterator[pa.RecordBatch]:
+def _features(batches: Iterator[pa.RecordBatch], most_terms: int) -> Iterator[pa.RecordBatch]:
     of = Terms()
     for part in slices(batches, "text"):
         texts = as_bytes(part.column(2))
-        made = [of.of(t).tobytes() for t in texts] if terms else [style(t).tobytes() for t in texts]
-        yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(made, pa.binary())], names=["doc_id", "label", "features"])
+        sets = [of.of(t) for t in texts]
+        few = [s if len(s) <= most_terms else s[np.sort(np.argsort(mix(s.astype(np.uint64)))[:most_terms])] for s in sets]
+        yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([s.tobytes() for s in few], pa.binary()), pa.array([style(t).tobytes() for t in texts], pa.binary())], names=["doc_id", "label", "terms", "style"])
+
 
+def training_rows(docs: DataFrame, chosen: DataFrame, most_terms: int = TEXT_TERMS) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+    """(labels, term sets, style rows) of the chosen ids, in an order that depends on the ids alone.
 
-def training_rows(docs: DataFrame, chosen: DataFrame, terms: bool) -> tuple[np.ndarray, list[np.ndarray]]:
-    """(labels, features) of the chosen ids, in an order that depends on the ids alone. Of repeated ids all rows count."""
+    Of rows that repeat an id one counts, chosen by a hash of what it holds, so at most as many rows
+    return as ids were chosen, each of at most most_terms terms.
+    """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     joined = texts.join(F.broadcast(chosen), F.col("doc_id") == F.col("labelled_id")).select("doc_id", "label", "text")
-    rows = joined.mapInArrow(lambda b: _features(b, terms), "doc_id long, label int, features binary").toArrow().to_pylist()
-    rows.sort(key=lambda r: ((r["doc_id"] * 0x9E3779B97F4A7C15) & (1 << 64) - 1, r["features"]))
-    return np.array([r["label"] for r in rows], np.float64), [np.frombuffer(r["features"], np.int32 if terms else np.float64) for r in rows]
+    made = joined.mapInArrow(lambda b: _features(b, most_terms), "doc_id long, label int, terms binary, style binary")
+    one = F.min_by(F.struct("terms", "style"), F.struct(F.xxhash64("terms", "style"), "terms", "style"))
+    rows = made.groupBy("doc_id").agg(F.max("label").alias("label"), one.alias("one")).select("doc_id", "label", "one.*").toArrow().to_pylist()
+    rows.sort(key=lambda r: (r["doc_id"] * 0x9E3779B97F4A7C15) & (1 << 64) - 1)
+    shapes = np.array([np.frombuffer(r["style"], np.float64) for r in rows]).reshape(len(rows), STYLE)
+    return np.array([r["label"] for r in rows], np.float64), [np.frombuffer(r["terms"], np.int32) for r in rows], shapes

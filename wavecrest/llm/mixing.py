@@ -16,6 +16,8 @@ vectors g so far, so no state is shuffled or stored between steps. Steps end whe
 totals are within `tolerance` of the target (as a share of all tokens), when they no
 longer change, or after `steps`.
 
+The rate takes effect as `draws`, the whole number of copies that a mixture takes of a document.
+
 Defined cases: null and empty texts have no tokens; they keep the rate that their
 posteriors give them. Targets for domains that no text belongs to can't be met: the
 least-squares rates are returned. An empty table gives no rows. Rows that repeat a
@@ -24,12 +26,14 @@ doc_id or lack one have rates of their own.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from wavecrest.llm import labelled, quality, toxicity
 from wavecrest.llm._scratch import Scratch
@@ -40,23 +44,31 @@ DOMAINS = ("clean", "toxic", "junk")
 TARGETS = {"clean": 0.95, "toxic": 0.05, "junk": 0.0}
 
 
-def _posteriors(batches: Iterator[pa.RecordBatch], models) -> Iterator[pa.RecordBatch]:
+def _posteriors(batches: Iterator[pa.RecordBatch], models, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
     good, machine = models.value
     terms = labelled.Terms()
     for part in slices(batches, "text"):
-        texts = as_bytes(part.column(1))
-        p_good = good.probabilities(np.array([labelled.style(t) for t in texts]))
-        p_toxic = machine.scores([terms.of(t) for t in texts])
-        tokens = np.array([len(t.split()) for t in texts], np.int64)
-        columns = [part.column(0), pa.array(tokens), *(pa.array(np.round(p, 6)) for p in (p_good * (1 - p_toxic), p_good * p_toxic, 1 - p_good))]
-        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", *(f"p_{d}" for d in DOMAINS)])
+        texts = as_bytes(part.column(part.schema.get_field_index("text")))
+        sets = [terms.of(t) for t in texts]
+        p_good, p_toxic = good.probabilities(texts, sets), machine.scores(sets)
+        new = {"n_tokens": pa.array([len(t.split()) for t in texts], pa.int64())}
+        new |= {f"p_{d}": pa.array(np.round(p, 6)) for d, p in zip(DOMAINS, (p_good * (1 - p_toxic), p_good * p_toxic, 1 - p_good), strict=True)}
+        yield pa.RecordBatch.from_arrays([new[f.name] if f.name in new else part.column(part.schema.get_field_index(f.name)) for f in schema], schema=schema)
+
+
+MADE = ("n_tokens", *(f"p_{d}" for d in DOMAINS), "rate", "draws")
 
 
-def posteriors(docs: DataFrame, labels: DataFrame, eligible: Column | None = None) -> DataFrame:
-    """(doc_id, n_tokens, p_clean, p_toxic, p_junk) of every row of docs."""
+def posteriors(docs: DataFrame, labels: DataFrame, eligible: Column | None = None, columns: Sequence[str] = ("doc_id",)) -> DataFrame:
+    """The named columns of docs, and n_tokens, p_clean, p_toxic, p_junk, of every row of docs."""
     sent = docs.sparkSession.sparkContext.broadcast((quality.train(docs, labels, eligible), toxicity.train(docs, labels, eligible)))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return texts.mapInArrow(lambda b: _posteriors(b, sent), "doc_id long, n_tokens long, " + ", ".join(f"p_{d} double" for d in DOMAINS))
+    kept = [c for c in columns if c not in MADE]
+    base = docs.select(*[F.col(f"`{c}`") for c in kept if c != "text"], F.col("text").cast("string").alias("text"))
+    out = StructType([base.schema[c] for c in kept]).add("n_tokens", "long")
+    for d in DOMAINS:
+        out = out.add(f"p_{d}", "double")
+    arrow = to_arrow_schema(out)
+    return base.mapInArrow(lambda b: _posteriors(b, sent, arrow), out)
 
 
 def _replay(p: np.ndarray, path: list[tuple[np.ndarray, float]]) -> tuple[np.ndarray, np.ndarray]:
@@ -85,9 +97,10 @@ def _sums(batches: Iterator[pa.RecordBatch], path: list[tuple[np.ndarray, float]
     yield pa.RecordBatch.from_arrays([pa.array([x]) for x in total], names=[f"s{k}" for k in range(len(total))])
 
 
-def _with_rate(batches: Iterator[pa.RecordBatch], path: list[tuple[np.ndarray, float]]) -> Iterator[pa.RecordBatch]:
+def _with_rate(batches: Iterator[pa.RecordBatch], path: list[tuple[np.ndarray, float]], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.round(_replay(_columns(batch)[1], path)[0], 5))], names=[*batch.schema.names, "rate"])
+        rate = np.round(_replay(_columns(batch)[1], path)[0], 5)
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rate)], schema=schema)
 
 
 def rates(table: DataFrame, targets: dict[str, float] = TARGETS, budget: float = 1.0, steps: int = 40, tolerance: float = 1e-3) -> DataFrame:
@@ -117,13 +130,22 @@ def rates(table: DataFrame, targets: dict[str, float] = TARGETS, budget: float =
         last, quicker = size, (1 + np.sqrt(1 + 4 * pace * pace)) / 2
         path = [*path, (inverse @ off, (pace - 1) / quicker)]
         pace = quicker
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in table.schema)
-    return table.mapInArrow(lambda b: _with_rate(b, path), f"{fields}, rate double")
+    out = StructType(list(table.schema.fields)).add("rate", "double")
+    arrow = to_arrow_schema(out)
+    return table.mapInArrow(lambda b: _with_rate(b, path, arrow), out)
 
 
-def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, budget: float = 1.0, eligible: Column | None = None) -> DataFrame:
+def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, budget: float = 1.0, eligible: Column | None = None, columns: Sequence[str] = ("doc_id",)) -> DataFrame:
+    """The named columns of docs, n_tokens, p_clean, p_toxic, p_junk, rate and draws; own columns take the place of equal names."""
     scratch = Scratch(docs.sparkSession, "mixing")
-    return rates(scratch.cut(posteriors(docs, labels, eligible), "posteriors"), targets, budget)
+    rated = rates(scratch.cut(posteriors(docs, labels, eligible, columns), "posteriors"), targets, budget)
+    return rated.withColumn("draws", draws(rated))
+
+
+def draws(rated: DataFrame) -> Column:
+    """The rate rounded to a whole number of copies, up or down by a hash of the row, so that copies mean as many as rates."""
+    chance = F.pmod(F.xxhash64(*[F.col(f"`{f.name}`") for f in rated.schema if f.name != "rate" and f.dataType.typeName() != "map"]), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    return F.floor(F.col("rate") + chance).cast("int")
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,8 +1,11 @@
 """Quality by hierarchical empirical Bayes, operator 8.
 
-Evidence: a logistic regression on how a text is written (`labelled.style`, with
-squares) gives each document the probability p of good quality. It is fitted on a
-sample of labelled rows whose bound is `labelled.SAMPLE_ROWS`.
+Evidence: a logistic regression gives each document the probability p of good quality, from
+what is in the text (`Lexicon`: learnt weights of hashed terms, averaged over the text's
+distinct terms) and how it is written (`labelled.style`, with squares). It is fitted on a
+sample of labelled rows whose bound is `labelled.SAMPLE_ROWS`; the lexical numbers that the
+regression is fitted on come from the other half of the sample, so terms can't vouch for
+the rows they were learnt from.
 
 Sites: documents belong to a host (`source`) and, below it, a path (`source` and
 `lang`). Grouped aggregation over all documents gives counts and sums of p for paths
@@ -21,7 +24,8 @@ partition.
 Defined cases: null and empty texts are scored by the features of an empty text. Null
 hosts or paths form a site of their own. Without labels of both kinds p is the share
 of good labelled rows (1 without any), so nothing is rejected for lack of labels.
-Rows that repeat a doc_id or lack one are scored row by row.
+Rows that repeat a doc_id or lack one are scored row by row; of the first one row is learnt
+from, the second are never held out and carry no label. Extra columns play no part.
 """
 
 from __future__ import annotations
@@ -43,18 +47,56 @@ from wavecrest.llm._text import as_bytes, slices
 KEEP_FROM = 0.5
 
 
+#: Terms seen in fewer training texts have no weight.
+MIN_DOCS = 3
+
+
+@dataclass
+class Lexicon:
+    """bucket -> log odds of good against bad texts that hold the term, shrunk by its standard error; 0 for unseen ones."""
+
+    weight: np.ndarray
+    known: np.ndarray
+
+    @classmethod
+    def learn(cls, labels: np.ndarray, sets: list[np.ndarray]) -> Lexicon:
+        count = lambda rows: np.bincount(np.concatenate([np.zeros(0, np.int32), *rows]), minlength=labelled.BUCKETS)
+        seen, hits = count(sets), count([s for s, y in zip(sets, labels, strict=True) if y])
+        n_1, n_0 = float(labels.sum()), float(len(labels) - labels.sum())
+        odds = np.log((hits + 0.5) / (n_1 + 1)) - np.log((seen - hits + 0.5) / (n_0 + 1))
+        error = 1 / (hits + 0.5) + 1 / (seen - hits + 0.5)
+        known = seen >= MIN_DOCS
+        return cls(np.where(known, odds * odds / (odds * odds + error + 1e-9) * odds, 0.0).astype(np.float32), known)
+
+    def numbers(self, sets: list[np.ndarray]) -> np.ndarray:
+        """Mean weight, mean size of the weights, and share of known terms, of each text."""
+        out = np.zeros((len(sets), 3))
+        for k, s in enumerate(sets):
+            if len(s):
+                w = self.weight[s]
+                out[k] = w.sum() / (len(s) + 4), np.abs(w).sum() / (len(s) + 4), self.known[s].mean()
+        return out
+
+
 @dataclass
 class Logistic:
     mean: np.ndarray
     spread: np.ndarray
     weights: np.ndarray
     prior: float
+    lexicon: Lexicon | None = None
 
-    def probabilities(self, features: np.ndarray) -> np.ndarray:
+    def of_features(self, features: np.ndarray) -> np.ndarray:
         if not len(self.weights):
             return np.full(len(features), self.prior)
         return 1 / (1 + np.exp(-np.clip(_design((features - self.mean) / self.spread) @ self.weights, -30, 30)))
 
+    def probabilities(self, texts: list[bytes], sets: list[np.ndarray]) -> np.ndarray:
+        """Of each text, given with its set of terms."""
+        if self.lexicon is None:
+            return np.full(len(texts), self.prior)
+        return self.of_features(np.concatenate([np.array([labelled.style(t) for t in texts]).reshape(len(texts), labelled.STYLE), self.lexicon.numbers(sets)], axis=1))
+
 
 def _design(z: np.ndarray) -> np.ndarray:
     z = np.clip(z, -8, 8)
@@ -83,14 +125,26 @@ def fit(labels: np.ndarray, features: np.ndarray, ridge: float = 0.3, steps: int
 
 
 def train(docs: DataFrame, labels: DataFrame, eligible: Column | None = None, rows: int = labelled.SAMPLE_ROWS) -> Logistic:
-    y, features = labelled.training_rows(docs, labelled.sample(labels, "quality", eligible, rows), terms=False)
-    return fit(y, np.array(features).reshape(len(y), labelled.STYLE))
+    y, sets, shapes = labelled.training_rows(docs, labelled.sample(labels, "quality", eligible, rows))
+    return learn(y, sets, shapes)
+
+
+def learn(y: np.ndarray, sets: list[np.ndarray], shapes: np.ndarray) -> Logistic:
+    half = np.arange(len(y)) % 2 == 1
+    numbers = np.zeros((len(y), 3))
+    for side in (half, ~half):
+        other = Lexicon.learn(y[~side], [s for s, m in zip(sets, side, strict=True) if not m])
+        numbers[side] = other.numbers([s for s, m in zip(sets, side, strict=True) if m])
+    model = fit(y, np.concatenate([shapes, numbers], axis=1))
+    model.lexicon = Lexicon.learn(y, sets) if len(model.weights) else None
+    return model
 
 
 def _evidence(batches: Iterator[pa.RecordBatch], model, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    terms = labelled.Terms()
     for part in slices(batches, "text"):
-        features = np.array([labelled.style(t) for t in as_bytes(part.column(part.schema.get_field_index("text")))])
-        p = pa.array(np.clip(model.value.probabilities(features), 1e-6, 1 - 1e-6))
+        texts = as_bytes(part.column(part.schema.get_field_index("text")))
+        p = pa.array(np.clip(model.value.probabilities(texts, [terms.of(t) for t in texts]), 1e-6, 1 - 1e-6))
         yield pa.RecordBatch.from_arrays([p if f.name == "p__" else part.column(part.schema.get_field_index(f.name)) for f in schema], schema=schema)
 
 
@@ -160,6 +214,6 @@ def score(docs: DataFrame, labels: DataFrame, host: str = "source", path: str =
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, score, kept); as in operator 3, rows whose crc32(doc_id) modulo 4 is 2 are held out of the fit."""
     docs, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
-    fold = labelled.crc_fold(F.col("doc_id"))
-    scored = score(docs, labels, eligible=fold != 2, columns=["doc_id"])
-    return scored.select("doc_id", (fold == 2).alias("held_out"), F.round("posterior__", 6).alias("score"), (F.col("posterior__") >= KEEP_FROM).alias("kept"))
+    held = labelled.held_out(F.col("doc_id"))
+    scored = score(docs, labels, eligible=~held, columns=["doc_id"])
+    return scored.select("doc_id", held.alias("held_out"), F.round("posterior__", 6).alias("score"), (F.col("posterior__") >= KEEP_FROM).alias("kept"))
