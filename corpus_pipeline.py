@@ -4,11 +4,12 @@
 2. lines: repeated lines go from the texts; n_chars follows.
 3. near_duplicates: of each group (five-word shingles, similarity 0.8) the smallest id stays.
 4. decontaminate: documents that hold a benchmark item go.
-5. mixing: domain posteriors and the rate at which each remaining document is drawn.
+5. mixing: every column of the remaining documents, domain posteriors, the rate at which each is
+   drawn and, of it, the whole number of copies (`draws`). No document leaves here: one with no draws stays, marked by them.
 
 Rows that repeat a doc_id stay or go together in stage 3; rows without one are judged row
 by row. Columns that documents has beyond its own go along untouched, whatever their
-names. An empty table passes through all stages.
+names (the last stage's own columns replace columns of equal names). An empty table passes through all stages.
 
 SQL cannot express stages 1 and 5 (fitted models) nor the third's components at this
 size, so ORACLE_SQL is None and tests hold the stages against brute force.
@@ -63,7 +64,10 @@ def stage_decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def stage_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.mix(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    safe, names = _shield(docs)
+    mixed = mixing.mix(safe, spark.read.parquet(f"{sf_dir}/labels.parquet"), columns=safe.columns)
+    # the stage's own columns take the place of equal names
+    return mixed.select(*[F.col(n).alias(c) for c, n in names.items() if c not in mixing.MADE], *mixing.MADE)
 
 
 STAGES = [
