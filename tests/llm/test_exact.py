@@ -138,11 +138,10 @@ def test_substrings(spark, monkeypatch, hot):
     assert sorted(map(tuple, got.collect()), key=repr) == brute_substrings(ROWS, 256)
 
 
-def test_substrings_long_text(spark, monkeypatch):
-    monkeypatch.setattr(substrings, "PIECE", 1000)
+def test_substrings_long_text(spark):
     long = next(r[1] for r in ROWS if r[0] == 306)
     rows = [*ROWS, (900, long + long[:3000], None, None, None)]
-    got = substrings.remove_substrings(table(spark, rows), length=300, with_text=True)
+    got = substrings.remove_substrings(table(spark, rows), length=300, with_text=True, piece=1000)
     assert sorted(map(tuple, got.drop("kept_bytes").collect()), key=repr) == brute_substrings(rows, 300)
     assert all(r.kept_bytes is None or hashlib.sha256(bytes(r.kept_bytes)).hexdigest() == r.kept_sha256 for r in got.collect())
 
@@ -198,6 +197,82 @@ def test_near_duplicate_chains_and_blocks(spark, monkeypatch):
     assert sorted(map(tuple, got.collect()), key=repr) == brute_components(rows, 5, 80)
 
 
+def exact_links(docs, width):
+    """All linked pairs of different texts, by prefix filtering: sets at 0.8 share one of their rarest fifth of shingles."""
+    sets = {d: frozenset(tuple(w[k : k + width]) for k in range(len(w) - width + 1)) or frozenset([tuple(w)]) for d, t in docs if (w := (t or "").encode().lower().split())}
+    count = Counter(x for s in sets.values() for x in s)
+    holders, found = defaultdict(list), set()
+    for d, s in sorted(sets.items(), key=lambda x: len(x[1])):
+        order = sorted(s, key=lambda x: (count[x], x))
+        seen = set()
+        for x in order[: len(s) - -(-80 * len(s) // 100) + 1]:
+            for other in holders[x]:
+                if other not in seen:
+                    seen.add(other)
+                    shared = len(s & sets[other])
+                    if 100 * shared >= 80 * (len(s) + len(sets[other]) - shared):
+                        found.add((min(d, other), max(d, other)))
+            holders[x].append(d)
+    return found
+
+
+@pytest.mark.parametrize("width", [4, 5])
+def test_near_duplicates_lose_no_link(spark, width):
+    """Components of the exact links of 3,000 documents of the largest table, found one by one."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where("doc_id < 3000").select("doc_id", "text")
+    rows = [tuple(r) for r in docs.collect()]
+    links = exact_links(rows, width)
+    label = {d: d for d, _ in rows}
+
+    def root(d):
+        while label[d] != d:
+            d = label[d]
+        return d
+
+    for a, b in links:
+        a, b = sorted((root(a), root(b)))
+        label[b] = a
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(docs, width=width).collect()}
+    assert len(links) > 100 and got == {d: root(d) for d, _ in rows}
+
+
+def test_near_duplicates_of_repeated_ids(spark):
+    """A doc_id with two texts of equally many shingles links what each of them is linked with."""
+    import random
+
+    from tests.llm.helpers import words
+
+    rng = random.Random(3)
+    one, two = words(rng, 60), words(rng, 60)
+    rows = [(d, t, None, None, None) for d, t in ((9, one), (9, two), (4, one + " more"), (7, two + " more"), (8, words(rng, 60)), (8, words(rng, 60)))]
+    got = sorted(map(tuple, neardup.near_duplicates(table(spark, rows)).collect()))
+    assert got == brute_components(rows, 5, 80)
+    assert {c for d, _, c, _ in got if d in (4, 7, 9)} == {4}
+
+
+def test_near_duplicate_rows_are_linear(spark, monkeypatch):
+    """Classes that share a band without being linked reach the last stage as one row each, however many blocks there are."""
+    import random
+
+    from tests.llm.helpers import words
+    from wavecrest.llm._scratch import Scratch
+
+    monkeypatch.setattr(neardup, "BLOCK", 4)
+    counted, cut = {}, Scratch.cut
+    monkeypatch.setattr(Scratch, "cut", lambda self, df, name: counted.__setitem__(name, (out := cut(self, df, name)).count()) or out)
+    rng = random.Random(11)
+    base = words(rng, 100).split()
+    rows = []
+    for i in range(40):
+        w = list(base)
+        for k in rng.sample(range(100), 4):
+            w[k] = words(rng, 1) + str(i)
+        rows.append((i, " ".join(w), None, None, None))
+    got = sorted(map(tuple, neardup.near_duplicates(table(spark, rows)).collect()), key=repr)
+    assert got == brute_components(rows, 5, 80)
+    assert 0 < counted["blocked"] <= counted["members"]
+
+
 # operator 6
 
 

@@ -1,7 +1,8 @@
 """Intermediate tables in the folder that the cluster shares.
 
-The folder is the session's ``spark.checkpoint.dir``. Where that is unset (local
-runs and tests) a folder under ``/tmp/checkpoints`` is used. Tables are Parquet,
+The folder is the session's ``spark.checkpoint.dir``. Where that is unset a local
+master (tests) uses a folder under ``/tmp/checkpoints``; on a cluster, where that would be
+each executor's own disk, it is an error. Tables are Parquet,
 so a lost executor never loses an intermediate result, and lineage is cut. A frame that
 an operator returns may read its tables until Python ends; then they are removed.
 """
@@ -19,6 +20,9 @@ LOCAL_DEFAULT = "file:///tmp/checkpoints/wavecrest"
 
 def shared_folder(spark: SparkSession) -> str:
     set_to = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    master = spark.sparkContext.master
+    if not set_to and (not master.startswith("local") or master.startswith("local-cluster")):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return (set_to or LOCAL_DEFAULT).rstrip("/")
 
 
@@ -27,6 +31,13 @@ def delete_path(spark: SparkSession, path: str) -> None:
     hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop_path, True)
 
 
+def readable(spark: SparkSession, path: str) -> str:
+    """The path as executors' Python can open it: with its scheme, and local ones in the form file:///."""
+    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    full = hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(hadoop_path).toString()
+    return f"file:///{full.removeprefix('file:').lstrip('/')}" if full.startswith("file:") else full
+
+
 class Scratch:
     """Names, writes and removes the intermediate tables of one operator call."""
 

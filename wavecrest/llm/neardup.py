@@ -15,16 +15,22 @@ Method.
    jointly from the counts of larger, smaller and equal registers and the known set
    sizes, is at least SURE. Verification compares full sets of 64-bit shingle hashes.
 5. Components of the verified links are found. Buckets that still hold several
-   components then compare the rest of their classes across components, again first
-   by registers and then by full sets, in blocks of about BLOCK rows. This makes a row
-   for a link only, and joins components as it goes, so a pair inside one needs no
-   look. No link between components is passed over.
+   components compare their classes with a second one, chosen by a hash of bucket and id, so
+   that the buckets of one group ask many different ones; components are found again.
+6. Buckets that are still open compare the rest of their classes across components, first by
+   registers and then by full sets. A class is one row of that stage, in the block of its bucket
+   where it lies; blocks have BLOCK classes and BLOCK_SHINGLES shingles at the most (a longer
+   text is a block's only excess). The task of a block reads the bucket's other blocks, one at
+   a time, from the shared folder. Components that a link joins count as one from then on, and
+   a pair is looked at in the first band it shares only. Rows are linear in the classes;
+   the look itself is quadratic in those of a bucket that belong to different components, which is
+   what it takes to pass over no link.
 At 0.8 similarity a pair shares none of the 40 bands of 5 with probability 6e-8.
 
 Defined cases: null and empty texts, and those of white space alone, have an empty
 set and are linked with nothing. A text with fewer words than a shingle has its whole
-sequence as the one element. Rows that repeat a doc_id are one document; rows with a
-null doc_id are linked with nothing and kept.
+sequence as the one element. Rows that repeat a doc_id are one document, which links whatever
+each of its texts is linked with; rows with a null doc_id are linked with nothing and kept.
 """
 
 from __future__ import annotations
@@ -33,12 +39,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import xxhash
 import zstandard
+from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wavecrest.llm._scratch import Scratch
+from wavecrest.llm._scratch import Scratch, readable
 from wavecrest.llm._text import WordHashes, as_bytes, mix, shingle_hashes, slices
 from wavecrest.llm.components import connected_components
 
@@ -48,6 +56,7 @@ TOP = 16.0
 #: Pairs are verified from this estimate on; 0.8 lies five standard errors above it at 200 registers.
 SURE = 0.66
 BLOCK = 2000
+BLOCK_SHINGLES = 1 << 21
 #: Bits of the filter that tells which texts are needed for verification: 16 MB at most.
 NEED_BITS = 1 << 27
 
@@ -101,11 +110,12 @@ def _bands(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBa
             continue
         sketch = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(batch.num_rows, -1)
         bands = sketch.shape[1] // rows
+        band = np.tile(np.arange(bands, dtype=np.int32), batch.num_rows)
         key = np.broadcast_to(np.arange(bands, dtype=np.uint64) + np.uint64(1), (batch.num_rows, bands)).copy()
         for k in range(rows):
             key = mix(key * np.uint64(0x9E3779B97F4A7C15) + sketch[:, k::rows][:, :bands])
         ids = batch.column(0).to_numpy(zero_copy_only=False)
-        yield pa.RecordBatch.from_pydict({"key": pa.array(key.ravel().view(np.int64)), "rep": pa.array(np.repeat(ids, bands))})
+        yield pa.RecordBatch.from_pydict({"key": pa.array(key.ravel().view(np.int64)), "rep": pa.array(np.repeat(ids, bands)), "band": pa.array(band)})
 
 
 def likely(larger: np.ndarray, smaller: np.ndarray, equal: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, percent: int) -> np.ndarray:
@@ -139,19 +149,21 @@ def _estimate(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Re
 
 
 class _Sets:
-    """Shingle sets of packed texts, the last few kept."""
+    """Shingle sets of packed texts, the last few kept: of `keep` elements together, and at least one pair's."""
 
-    def __init__(self, width: int, keep: int):
-        self.width, self.keep = width, keep
+    def __init__(self, width: int, keep: int = BLOCK_SHINGLES):
+        self.width, self.keep, self.held = width, keep, 0
         self.words, self.unpack = WordHashes(), zstandard.ZstdDecompressor()
         self.recent: dict[bytes, np.ndarray] = {}
 
     def of(self, packed: bytes) -> np.ndarray:
         if (known := self.recent.get(packed)) is not None:
             return known
-        if len(self.recent) >= self.keep:
+        if self.held > self.keep:
             self.recent.clear()
+            self.held = 0
         out = self.recent[packed] = text_set(self.unpack.decompress(packed), self.width, self.words)
+        self.held += len(out)
         return out
 
     def linked(self, a: bytes, b: bytes, percent: int) -> bool:
@@ -160,56 +172,107 @@ class _Sets:
         return 100 * shared >= percent * (len(s_a) + len(s_b) - shared)
 
 
-def _across(batches: Iterator[pa.RecordBatch], width: int, percent: int) -> Iterator[pa.RecordBatch]:
-    """Links across components within one (bucket, block pair) at a time; rows come sorted by it.
+class _Joined:
+    """Components that have become one, as a forest of their ids."""
 
-    Components that a link joins count as one from then on, so no rows are made for pairs and
-    at most one link for each joined component.
-    """
+    def __init__(self):
+        self.up: dict[int, int] = {}
+
+    def root(self, c: int) -> int:
+        while c in self.up:
+            c = self.up[c]
+        return c
+
+    def of(self, components: np.ndarray) -> np.ndarray:
+        names, back = np.unique(components, return_inverse=True)
+        return np.array([self.root(int(c)) for c in names], np.int64)[back]
+
+
+class _Block:
+    """Classes of one block of a bucket, as arrays."""
+
+    def __init__(self, table: pa.Table, joined: _Joined):
+        table = table.combine_chunks()
+        self.rep, self.n = table.column("rep").to_numpy(), table.column("n").to_numpy()
+        self.comp = joined.of(table.column("comp").to_numpy())
+        self.packed = table.column("packed").to_pylist()
+        self.sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(len(self.rep), -1)
+
+
+def _links(left: _Block, right: _Block, pivot: int, band: int, rows: int, joined: _Joined, sets: _Sets, percent: int) -> list[tuple[int, int]]:
+    """Links between components of two blocks (or inside one); one for each two components at most."""
+    found = []
+    for i in np.flatnonzero(left.rep != pivot):
+        open_ = (right.comp != left.comp[i]) & (right.rep != pivot)
+        if right is left:
+            open_[: i + 1] = False
+        other = np.flatnonzero(open_)
+        if not len(other):
+            continue
+        big, own = right.sketch[other], left.sketch[i]
+        equal = own == big
+        count = equal.sum(1)
+        good = np.flatnonzero(likely((own > big).sum(1), own.shape[0] - count - (own > big).sum(1), count, np.full(len(other), left.n[i]), right.n[other], percent))
+        if not len(good):
+            continue
+        # a pair that shares an earlier band was looked at in that band's bucket
+        good = good[equal[good].reshape(len(good), -1, rows).all(2).argmax(1) == band]
+        for j in other[good][np.argsort(-count[good], kind="stable")]:
+            a, b = int(left.comp[i]), int(right.comp[j])
+            if a != b and sets.linked(left.packed[i], right.packed[j], percent):
+                found.append((int(left.rep[i]), int(right.rep[j])))
+                joined.up[b] = a
+                left.comp[left.comp == b] = a
+                right.comp[right.comp == b] = a
+    return found
+
+
+def _groups(batches: Iterator[pa.RecordBatch], columns: tuple[str, ...]) -> Iterator[pa.Table]:
+    """The rows of each combination of the columns' values; rows come sorted by them."""
     held: list[pa.RecordBatch] = []
     last = None
-    sets = _Sets(width, 2 * BLOCK)
-
-    def links() -> pa.RecordBatch | None:
-        table = pa.Table.from_batches(held).combine_chunks()
-        rep, n, side, pivot = (table.column(c).to_numpy() for c in ("rep", "n", "side", "pivot"))
-        packed = table.column("packed").to_pylist()
-        names, comp = np.unique(table.column("comp").to_numpy(), return_inverse=True)
-        sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(len(rep), -1)
-        found: list[tuple[int, int]] = []
-        left = np.flatnonzero(side <= 1)
-        right = np.flatnonzero(side == 2) if (side == 2).any() else left
-        for i in left:
-            other = right[(comp[right] != comp[i]) & (rep[right] != pivot[i]) & (rep[i] != pivot[i])]
-            if right is left:
-                other = other[rep[other] > rep[i]]
-            if not len(other):
-                continue
-            big, own = sketch[other], sketch[i]
-            equal = (own == big).sum(1)
-            good = likely((own > big).sum(1), (own < big).sum(1), equal, np.full(len(other), n[i]), n[other], percent)
-            for j in other[good][np.argsort(-equal[good])]:
-                if comp[i] != comp[j] and sets.linked(packed[i], packed[j], percent):
-                    found.append((rep[i], rep[j]))
-                    comp[comp == comp[j]] = comp[i]
-        if not found:
-            return None
-        return pa.RecordBatch.from_arrays([pa.array(np.array(x, np.int64)) for x in zip(*found, strict=True)], names=["a", "b"])
-
     for batch in batches:
         if not batch.num_rows:
             continue
-        key = np.stack([batch.column(batch.schema.get_field_index(c)).to_numpy() for c in ("key", "x", "y")], axis=1)
+        key = np.stack([batch.column(batch.schema.get_field_index(c)).to_numpy() for c in columns], axis=1)
         cuts = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1), batch.num_rows]
         for start, stop in zip(cuts[:-1], cuts[1:], strict=True):
             if last is not None and tuple(key[start]) != last:
-                if made := links():
-                    yield made
+                yield pa.Table.from_batches(held)
                 held = []
             last = tuple(key[start])
             held.append(batch.slice(start, stop - start))
-    if held and (made := links()):
-        yield made
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _across(batches: Iterator[pa.RecordBatch], width: int, percent: int, rows: int, folder: str) -> Iterator[pa.RecordBatch]:
+    """Links across components, a block of a bucket at a time against itself and half of the bucket's other blocks."""
+    sets = _Sets(width)
+    for table in _groups(batches, ("key", "own")):
+        key, own, blocks, pivot, band = (int(table.column(c)[0].as_py()) for c in ("key", "own", "blocks", "pivot", "band"))
+        joined = _Joined()
+        left = _Block(table, joined)
+        found = _links(left, left, pivot, band, rows, joined, sets, percent)
+        for step in range(1, blocks // 2 + 1):
+            other = (own + step) % blocks
+            # of two opposite blocks the first one looks
+            if 2 * step == blocks and other < own:
+                continue
+            for part in _stored(folder, key, other):
+                left.comp = joined.of(left.comp)
+                found += _links(left, _Block(part, joined), pivot, band, rows, joined, sets, percent)
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(x, np.int64)) for x in zip(*found, strict=True)], names=["a", "b"])
+
+
+def _stored(folder: str, key: int, own: int) -> Iterator[pa.Table]:
+    """The files of one block in the shared folder."""
+    store, base = pafs.FileSystem.from_uri(folder)
+    files = store.get_file_info(pafs.FileSelector(f"{base}/key={key}/own={own}", allow_not_found=True))
+    for path in sorted(f.path for f in files if f.path.endswith(".parquet")):
+        with store.open_input_file(path) as file:
+            yield pq.ParquetFile(file).read(["rep", "n", "comp", "sketch", "packed"])
 
 
 def _pack(batches: Iterator[pa.RecordBatch], needed) -> Iterator[pa.RecordBatch]:
@@ -223,7 +286,7 @@ def _pack(batches: Iterator[pa.RecordBatch], needed) -> Iterator[pa.RecordBatch]
 
 
 def _verify(batches: Iterator[pa.RecordBatch], width: int, percent: int) -> Iterator[pa.RecordBatch]:
-    sets = _Sets(width, 64)
+    sets = _Sets(width, BLOCK_SHINGLES // 8)
     for batch in batches:
         good = [sets.linked(p_a, p_b, percent) for p_a, p_b in zip(*(c.to_pylist() for c in batch.columns[2:4]), strict=True)]
         yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
@@ -254,15 +317,12 @@ def _slot(column):
     return F.pmod(F.xxhash64(column), F.lit(NEED_BITS))
 
 
-def verified(pairs: DataFrame, docs: DataFrame, scratch: Scratch, width: int, percent: int) -> DataFrame:
-    """Those of the pairs (a, b) whose full sets reach the similarity. Only texts of paired documents shuffle."""
-    texts = packed_texts(pairs.select(F.explode(F.array("a", "b")).alias("id")), docs, scratch)
+def verified(pairs: DataFrame, texts: DataFrame, scratch: Scratch, width: int, percent: int) -> DataFrame:
+    """Those of the pairs (a, b) whose full sets reach the similarity; texts: (id, packed) of at least the paired documents."""
     right = texts.select(F.col("id").alias("b"), F.col("packed").alias("p_b"))
     left = texts.select(F.col("id").alias("a"), F.col("packed").alias("p_a"))
     joined = pairs.join(right, "b").join(left, "a").select("a", "b", "p_a", "p_b")
-    links = scratch.cut(joined.mapInArrow(lambda b: _verify(b, width, percent), "a long, b long").distinct(), "links")
-    scratch.drop(texts)
-    return links
+    return scratch.cut(joined.mapInArrow(lambda b: _verify(b, width, percent), "a long, b long").distinct(), "links")
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: int = 40, rows: int = 5, result: bool = True) -> DataFrame:
@@ -274,36 +334,64 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
     signed = scratch.cut(base.mapInArrow(lambda b: _sketches(b, width, registers), "doc_id long, n long, d1 long, d2 long, sketch binary"), "signed")
     known = signed.where("doc_id IS NOT NULL AND n > 0")
     classes = scratch.cut(known.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep")), "classes")
-    reps = scratch.cut(known.join(classes, ["d1", "d2"]).where("doc_id = rep").select("rep", "n", "sketch").dropDuplicates(["rep", "n"]), "reps")
-    banded = reps.select("rep", "sketch").mapInArrow(lambda b: _bands(b, rows), "key long, rep long")
+    owned = known.join(classes, ["d1", "d2"])
+    reps = scratch.cut(owned.where("doc_id = rep").select("rep", "n", "sketch", "d1", "d2").dropDuplicates(["rep", "d1", "d2"]), "reps").drop("d1", "d2")
+    owned = scratch.cut(owned.select("doc_id", "rep"), "owned")
+    banded = reps.select("rep", "sketch").mapInArrow(lambda b: _bands(b, rows), "key long, rep long, band int")
     buckets = scratch.cut(banded.groupBy("key").agg(F.min("rep").alias("pivot"), F.max("rep").alias("most"), F.count("*").alias("size")).where("most > pivot").drop("most"), "buckets")
     members = scratch.cut(banded.join(buckets, "key"), "members")
 
-    sketches = lambda c: reps.select(F.col("rep").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"s_{c}"))
-    stars = members.where("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
-    compared = stars.join(sketches("b"), "b").join(sketches("a"), "a").select("a", "b", "n_a", "n_b", "s_a", "s_b")
-    pairs = scratch.cut(compared.mapInArrow(lambda b: _estimate(b, percent), "a long, b long").distinct(), "pairs")
+    # classes that share a doc_id are linked by it
+    several = owned.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("most")).where("a < most").select("doc_id", "a")
+    by_id = scratch.cut(owned.join(several, "doc_id").where("rep <> a").select("a", F.col("rep").alias("b")).distinct(), "by-id")
+
+    def estimated(pairs: DataFrame) -> DataFrame:
+        sketches = lambda c: reps.select(F.col("rep").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"s_{c}"))
+        compared = pairs.join(sketches("b"), "b").join(sketches("a"), "a").select("a", "b", "n_a", "n_b", "s_a", "s_b")
+        return scratch.cut(compared.mapInArrow(lambda b: _estimate(b, percent), "a long, b long").distinct(), "pairs")
+
+    def still_open(labelled: DataFrame) -> DataFrame:
+        """Rows of the buckets that hold more than one component."""
+        labelled = scratch.cut(labelled, "labelled")
+        keys = labelled.groupBy("key").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 <> c2").select("key")
+        return scratch.cut(labelled.join(scratch.cut(keys, "open"), "key"), "rest")
+
+    def label(rows_: DataFrame, found: DataFrame) -> DataFrame:
+        return rows_.join(found, F.col("rep") == F.col("node"), "left").select("key", "band", "rep", "pivot", "size", F.coalesce("component", "rep").alias("comp"))
+
     texts = base.where("doc_id IS NOT NULL")
-    links = verified(pairs, texts, scratch, width, percent)
+    pairs = estimated(members.where("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct())
+    packed = packed_texts(pairs.select(F.explode(F.array("a", "b")).alias("id")), texts, scratch)
+    links = verified(pairs, packed, scratch, width, percent).unionByName(by_id)
+    scratch.drop(packed)
     found = scratch.cut(connected_components(links, scratch), "components")
 
-    # buckets that still hold more than one component
-    labelled = scratch.cut(members.join(found, F.col("rep") == F.col("node"), "left").select("key", "rep", "pivot", "size", F.coalesce("component", "rep").alias("comp")), "labelled")
-    open_keys = scratch.cut(labelled.where("size > 2").groupBy("key").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 <> c2").select("key"), "open")
-    rest = scratch.cut(labelled.join(open_keys, "key"), "rest")
-    packed = packed_texts(rest.select(F.col("rep").alias("id")), texts, scratch).withColumnRenamed("id", "rep")
-    rest = rest.join(reps.join(packed, "rep"), "rep")
-    blocks = F.ceil(F.col("size") / BLOCK).cast("long")
-    rest = rest.withColumn("own", F.pmod(F.xxhash64("rep"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
-    side = F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2)
-    rest = rest.select("key", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "rep", "pivot", "comp", "n", "sketch", "packed", side.alias("side"))
-    across = rest.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y").mapInArrow(lambda b: _across(b, width, percent), "a long, b long").distinct()
-    more = scratch.cut(across, "more")
-    if not more.isEmpty():
-        found = scratch.cut(connected_components(links.unionByName(more), scratch), "components")
-
-    final = scratch.cut(classes.join(found, F.col("rep") == F.col("node"), "left").select("d1", "d2", F.coalesce("component", "rep").alias("component")), "class-components")
-    per_doc = final.join(known.select("doc_id", "d1", "d2"), ["d1", "d2"]).groupBy("doc_id").agg(F.min("component").alias("component"))
+    rest = still_open(label(members.where("size > 2"), found))
+    if not rest.isEmpty():
+        packed = packed_texts(rest.select(F.col("rep").alias("id")), texts, scratch)
+        chance = F.xxhash64("key", "rep")
+        second = rest.groupBy("key").agg(F.min_by(F.struct("rep", "comp"), chance).alias("second"))
+        asked = rest.join(second, "key").where("comp <> second.comp").select(F.least("rep", "second.rep").alias("a"), F.greatest("rep", "second.rep").alias("b")).distinct()
+        links = links.unionByName(verified(estimated(asked), packed, scratch, width, percent))
+        found = scratch.cut(connected_components(links, scratch), "components")
+
+        rest = still_open(label(rest.drop("comp"), found)).join(reps.join(packed.withColumnRenamed("id", "rep"), "rep"), "rep")
+        rest = scratch.cut(rest, "open-classes")
+        blocks = F.ceil(F.greatest(F.count("*") / F.lit(BLOCK), F.sum("n") / F.lit(BLOCK_SHINGLES))).cast("long")
+        sizes = scratch.cut(rest.groupBy("key").agg(blocks.alias("blocks")), "block-counts")
+        rest = rest.join(sizes, "key").withColumn("own", F.pmod(F.xxhash64("rep", F.lit(3)), F.col("blocks")))
+        columns = ["key", "own", "blocks", "band", "rep", "pivot", "comp", "n", "sketch", "packed"]
+        rest = scratch.cut(rest.select(*columns), "blocked")
+        folder = scratch.path("blocks")
+        stored = rest.where("blocks > 1").repartition("key", "own")
+        stored.write.partitionBy("key", "own").option("compression", "zstd").parquet(folder)
+        folder = readable(spark, folder)
+        more = rest.repartition("key", "own").sortWithinPartitions("key", "own").mapInArrow(lambda b: _across(b, width, percent, rows, folder), "a long, b long").distinct()
+        more = scratch.cut(more, "more")
+        if not more.isEmpty():
+            found = scratch.cut(connected_components(links.unionByName(more), scratch), "components")
+
+    per_doc = owned.join(found, F.col("rep") == F.col("node"), "left").groupBy("doc_id").agg(F.min(F.coalesce("component", "rep")).alias("component"))
     out = signed.select(F.col("doc_id"), F.col("n").alias("n_shingles")).join(per_doc.withColumnRenamed("doc_id", "id__"), F.col("doc_id") == F.col("id__"), "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     out = out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))

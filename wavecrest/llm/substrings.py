@@ -105,11 +105,11 @@ def _runs_of(data: bytes, bounds: np.ndarray, length: int) -> tuple[np.ndarray,
     return doc[at], starts[at], np.diff(np.append(at, len(starts))), picked[at], h[picked[at]]
 
 
-def _runs(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    for part in slices(batches, "text", most_bytes=PIECE):
+def _runs(batches: Iterator[pa.RecordBatch], length: int, most: int = PIECE) -> Iterator[pa.RecordBatch]:
+    for part in slices(batches, "text", most_bytes=most):
         rows, texts = part.column(0).to_numpy(), as_bytes(part.column(1))
-        if len(texts) == 1 and len(texts[0]) > PIECE:
-            pieces = [(texts[0][s : s + PIECE + length - 1], np.array([min(PIECE + length - 1, len(texts[0]) - s)]), s) for s in range(0, len(texts[0]), PIECE)]
+        if len(texts) == 1 and len(texts[0]) > most:
+            pieces = [(texts[0][s : s + most + length - 1], np.array([min(most + length - 1, len(texts[0]) - s)]), s) for s in range(0, len(texts[0]), most)]
         else:
             pieces = [(b"".join(texts), np.cumsum([len(t) for t in texts]), 0)]
         for data, bounds, shift in pieces:
@@ -251,17 +251,17 @@ def repeated(rows: DataFrame, keys: list[str], scratch: Scratch) -> DataFrame:
     return rows.join(again, [*keys, "part__"])
 
 
-def remove_substrings(docs: DataFrame, length: int = 400, with_text: bool = False) -> DataFrame:
+def remove_substrings(docs: DataFrame, length: int = 400, with_text: bool = False, piece: int = PIECE) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256), one row for each row of docs.
 
-    with_text: also kept_bytes, null where nothing was removed.
+    with_text: also kept_bytes, null where nothing was removed. piece: texts are looked at in pieces of so many window starts.
     """
     if not 2 * KGRAM <= length <= 1000:
         raise ValueError(f"length must be between {2 * KGRAM} and 1000")
     spark = docs.sparkSession
     scratch = Scratch(spark, "substrings")
     base = docs.select(F.xxhash64("doc_id", "text").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    runs = base.select("row", "text").mapInArrow(lambda b: _runs(b, length), "h long, r1 long, r2 long, row long, place long")
+    runs = base.select("row", "text").mapInArrow(lambda b: _runs(b, length, piece), "h long, r1 long, r2 long, row long, place long")
     buckets = runs.groupBy("h").agg(F.count("*").alias("size"), F.min("r1").alias("low"), F.max("r1").alias("high")).where("size > 1")
     buckets = scratch.cut(buckets.select("h", (F.col("low") != F.col("high")).alias("mixed")), "buckets")
     suspects = scratch.cut(runs.join(buckets, "h"), "suspects")
