@@ -7,14 +7,14 @@ lower-cased. Keys of at least `min_chars` code points that occur in at least
 Method. First scan: every task enters the hashes of its keys into two Bloom
 filters, seen once and seen twice (in different rows); the tasks' filters are merged
 shard by shard, where a bit set in two tasks' once-filters counts as seen twice.
-The merged twice-filter has no false negatives. Its size is the documented
-parameter `filter_bits`, so what is broadcast is bounded; on larger inputs it lets
-more through, which costs shuffle, never a result. Second scan: only lines in the
+The merged twice-filter has no false negatives. Its size follows from a count of the
+lines, up to the documented FILTER_BITS, so what is broadcast is bounded; on larger inputs
+it lets more through, which costs shuffle, never a result. Second scan: only lines in the
 twice-filter shuffle, as 128-bit hashes with their document. Exact counts per hash
 confirm the repeats and choose the document that keeps the line. Counting is
 pre-aggregated by (hash, document), so a line that a third of all documents hold
 meets in one task as a few partial sums. The removal lists, bounded by a document's
-own lines, join the texts by doc_id.
+own lines, join the texts by doc_id; texts that lose nothing don't shuffle (`_lists`).
 
 Defined cases: null and empty texts are one empty line. Rows with a null doc_id take
 no part and keep all lines. Rows that repeat a doc_id count as one document, and all
@@ -35,12 +35,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from wavecrest.llm._lists import apply_lists
 from wavecrest.llm._scratch import Scratch
 from wavecrest.llm._text import as_bytes, mix, slices
 
 SPACE = b" \t\n\x0b\x0c\r"
-#: Bits of each Bloom filter: 16 MB. It is also the most that is broadcast.
-FILTER_BITS = 1 << 27
+#: Bits of each Bloom filter for each line of the input, up to FILTER_BITS: 128 MB, the most that is broadcast.
+LINE_BITS = 16
+FILTER_BITS = 1 << 30
 SHARD_BITS = 1 << 22
 PROBES = 3
 #: Tasks that merge each shard in the first of two rounds.
@@ -120,7 +122,14 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 SHARDS = "shard int, task int, once binary, twice binary"
 
 
-def twice_filter(docs: DataFrame, min_chars: int, bits: int = FILTER_BITS) -> np.ndarray:
+def bits_for(docs: DataFrame) -> int:
+    """Bits of a filter for all lines of docs: a power of two, from 2^22 to FILTER_BITS."""
+    text = F.col("text").cast("string")
+    lines = docs.agg(F.coalesce(F.sum(1 + F.length(text) - F.length(F.translate(text, "\n", ""))), F.lit(0))).first()[0]
+    return min(FILTER_BITS, 1 << max(22, (LINE_BITS * lines).bit_length()))
+
+
+def twice_filter(docs: DataFrame, min_chars: int, bits: int) -> np.ndarray:
     """The merged filter of hashes seen in more than one row: `bits` bits, whatever the input's size."""
     shards = max(1, bits // SHARD_BITS)
     made = docs.where(F.col("doc_id").isNotNull()).select(F.col("text").cast("string").alias("text")).mapInArrow(lambda b: _filters(b, min_chars, bits), SHARDS)
@@ -151,13 +160,13 @@ def _suspects(batches: Iterator[pa.RecordBatch], twice, min_chars: int, bits: in
             yield pa.RecordBatch.from_pydict({"doc_id": pa.array(np.array(ids, np.int64)[hit]), "h1": pa.array(words[:, 0]), "h2": pa.array(words[:, 1])})
 
 
-def removals(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, bits: int = FILTER_BITS) -> DataFrame:
-    """(doc_id, h1, h2): the keys that each document loses."""
+def removals(docs: DataFrame, scratch: Scratch, min_chars: int = 20, min_docs: int = 3, bits: int | None = None) -> DataFrame:
+    """(doc_id, h1, h2): the keys that each document loses. bits: of each filter, instead of as many as the lines ask for."""
     spark = docs.sparkSession
+    bits = bits or bits_for(docs)
     twice = spark.sparkContext.broadcast(twice_filter(docs, min_chars, bits))
     texts = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text"))
     suspects = texts.mapInArrow(lambda b: _suspects(b, twice, min_chars, bits), "doc_id long, h1 long, h2 long").groupBy("h1", "h2", "doc_id").agg(F.lit(1).alias("one"))
-    scratch = Scratch(spark, "lines")
     held = scratch.cut(suspects.select("h1", "h2", "doc_id"), "suspects")
     confirmed = held.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.max("doc_id").alias("keeper")).where(F.col("n") >= min_docs)
     # written, so that the join reads two plain shuffles and adaptive execution can split a frequent line's partition
@@ -165,7 +174,7 @@ def removals(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, bits: int
     return held.join(confirmed, ["h1", "h2"]).where("doc_id <> keeper").select("doc_id", "h1", "h2")
 
 
-def _apply(batches: Iterator[pa.RecordBatch], min_chars: int, schema: pa.Schema, digest_only: bool) -> Iterator[pa.RecordBatch]:
+def _apply(batches: Iterator[pa.RecordBatch], schema: pa.Schema, min_chars: int, digest_only: bool) -> Iterator[pa.RecordBatch]:
     for part in slices(batches, "text"):
         texts = as_bytes(part.column(part.schema.get_field_index("text")))
         lists = part.column(part.schema.get_field_index("gone__")).to_pylist()
@@ -189,21 +198,18 @@ def _apply(batches: Iterator[pa.RecordBatch], min_chars: int, schema: pa.Schema,
         yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
 
-def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, bits: int = FILTER_BITS, digest_only: bool = False) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, bits: int | None = None, digest_only: bool = False) -> DataFrame:
     """docs with n_lines, n_dropped and kept_text (or, digest_only, doc_id and kept_sha256 instead of the texts).
 
     New columns take the place of columns of the same names.
     """
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    lost = removals(docs, min_chars, min_docs, bits).groupBy(F.col("doc_id").alias("lost_id__")).agg(F.collect_list(F.struct("h1", "h2")).alias("gone__"))
+    scratch = Scratch(docs.sparkSession, "lines")
+    lost = removals(docs, scratch, min_chars, min_docs, bits).groupBy(F.col("doc_id").alias("lost_id__")).agg(F.collect_list(F.struct("h1", "h2")).alias("gone__"))
     made = {"n_lines", "n_dropped", "kept_sha256" if digest_only else "kept_text"}
     columns = ["doc_id", "text"] if digest_only else [c for c in docs.columns if c not in made]
     base = docs.select(*[F.col(f"`{c}`").cast("string").alias(c) if c == "text" else F.col(f"`{c}`") for c in columns])
-    joined = base.join(lost.hint("shuffle_hash"), F.col("doc_id").cast("long") == F.col("lost_id__"), "left").drop("lost_id__")
     out = StructType([f for f in base.schema if not digest_only or f.name != "text"]).add("n_lines", "long").add("n_dropped", "long").add("kept_sha256" if digest_only else "kept_text", "string")
-    arrow = to_arrow_schema(out)
-    return joined.mapInArrow(lambda b: _apply(b, min_chars, arrow, digest_only), out)
+    return apply_lists(base, lost, "gone__", lambda b, schema: _apply(b, schema, min_chars, digest_only), out, scratch)
 
 
 def op6_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -295,7 +295,7 @@ def _verify(batches: Iterator[pa.RecordBatch], width: int, percent: int) -> Iter
 def filter_bits(ids: DataFrame, slot=None) -> np.ndarray:
     """A filter of NEED_BITS bits, whatever the input's size, of the hashes of the column id (or of another slot of it)."""
     rows = (
-        ids.select(((slot or _slot)(F.col("id")) + 1).alias("s"))  # Spark counts bits from 1
+        ids.select(((slot or id_slot)(F.col("id")) + 1).alias("s"))  # Spark counts bits from 1
         .groupBy(F.bitmap_bucket_number("s").alias("bucket"))
         .agg(F.bitmap_construct_agg(F.bitmap_bit_position("s")).alias("bits"))
         .toLocalIterator()
@@ -309,11 +309,11 @@ def filter_bits(ids: DataFrame, slot=None) -> np.ndarray:
 def packed_texts(ids: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
     """(id, packed) of at least the documents in ids: a bounded filter of their hashes picks the texts in one scan."""
     needed = docs.sparkSession.sparkContext.broadcast(filter_bits(ids))
-    texts = docs.select("doc_id", "text", _slot(F.col("doc_id")).alias("slot"))
+    texts = docs.select("doc_id", "text", id_slot(F.col("doc_id")).alias("slot"))
     return scratch.cut(texts.mapInArrow(lambda b: _pack(b, needed), "id long, packed binary"), "texts")
 
 
-def _slot(column):
+def id_slot(column):
     return F.pmod(F.xxhash64(column), F.lit(NEED_BITS))
 
 
