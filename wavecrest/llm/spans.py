@@ -17,11 +17,13 @@ end, and no part has more than PART words; so every repeated passage of 4 PART +
 words (with 15 words a span, and line ends alike) is found. Up to 16 words at its beginning and 17 at its end stay
 where its first and last parts reach beyond it.
 
-Plan: one scan makes (hash, document, position) rows. Counts by hash are
-pre-aggregated and written for repeated hashes only. A second scan leaves out spans that a
-filter of bounded size says are not repeated; the join back reads two plain shuffles, so that
-adaptive execution splits a passage that a third of all documents hold. Each document's list of covered spans, bounded by its own parts, then joins
-its text. Hashes have 64 bits.
+Plan: one scan writes (hash, document, position) rows. Counts by hash are pre-aggregated and
+written for repeated hashes only. Of the span rows a filter of bounded size leaves out those
+that are not repeated; the join back reads two plain shuffles, so that adaptive execution
+splits a passage that a third of all documents hold. Each document's list of covered spans,
+bounded by its own parts, then joins its text; texts that lose nothing don't shuffle
+(`_lists`). Spans are known by 128 bits: two sums of the parts' hashes with different
+multipliers, each mixed. At 10^13 spans two different ones agree with a chance of 10^-13.
 
 Defined cases: null and empty texts have no parts and stay empty. Rows with a null
 doc_id take no part and stay whole. Rows that repeat a doc_id count as one document:
@@ -38,9 +40,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+from wavecrest.llm._lists import apply_lists
 from wavecrest.llm._scratch import Scratch
 from wavecrest.llm._text import STEP, WordHashes, as_bytes, mix, slices
 from wavecrest.llm.neardup import NEED_BITS, filter_bits
@@ -49,9 +51,17 @@ STOP = re.compile(rb"[.!?][\"')\]]*\Z")
 SPACE = np.isin(np.arange(256), [32, 9, 10, 11, 12, 13])
 #: No part has more words.
 PART = 9
-#: STEP times INVERSE is 1 modulo 2^64.
-INVERSE = np.uint64(pow(int(STEP), -1, 1 << 64))
-POWER = np.cumprod(np.concatenate([[np.uint64(1)], np.full(PART, STEP, np.uint64)]))
+#: The two hashes of a span: a multiplier and a seed each.
+STEPS = (STEP, np.uint64(0xA0761D6478BD642F))
+SEEDS = (np.uint64(0), np.uint64(0xE7037ED1A0B428DB))
+LENGTH = np.uint64(0xD6E8FEB86659FD93)
+
+
+def _powers(step: np.uint64, n: int) -> np.ndarray:
+    return np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, step, np.uint64)]))
+
+
+POWERS = tuple(_powers(step, PART) for step in STEPS)
 
 
 class Marked(WordHashes):
@@ -63,7 +73,7 @@ class Marked(WordHashes):
 
 
 def parts_of(texts: list[bytes], hashes: WordHashes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(end offset, words, hash) of the parts of all texts, and where each text's parts begin and the last one's end.
+    """(end offset, words, two hashes) of the parts of all texts, and where each text's parts begin and the last one's end.
 
     Each part begins where the one before in its text ends.
     """
@@ -74,7 +84,7 @@ def parts_of(texts: list[bytes], hashes: WordHashes) -> tuple[np.ndarray, np.nda
     h = hashes.of(joined.lower().split())
     n, none = len(h), np.empty(0, np.int64)
     if not n:
-        return none, none, none.view(np.uint64), np.zeros(len(texts) + 1, np.int64)
+        return none, none, np.empty((2, 0), np.uint64), np.zeros(len(texts) + 1, np.int64)
     stop = (h & np.uint64(1)) == 1
     lines = np.flatnonzero(raw == 10)
     before = np.searchsorted(starts, lines) - 1
@@ -103,13 +113,13 @@ def parts_of(texts: list[bytes], hashes: WordHashes) -> tuple[np.ndarray, np.nda
     first = np.concatenate([[0], last[:-1] + 1])
     words = last - first + 1
     place = np.arange(n) - np.repeat(first, words)
-    own = mix(np.add.reduceat(mix(h) * POWER[place], first) + words.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    own = np.stack([mix(np.add.reduceat(mix(h + seed) * power[place], first) + words.astype(np.uint64) * LENGTH) for seed, power in zip(SEEDS, POWERS, strict=True)])
     bounds = np.searchsorted(last, word)
     return ends[last] - np.repeat(begin[:-1], np.diff(bounds)), words, own, bounds
 
 
 def sentences(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(end offset, words, hash) of each part; each begins where the one before ends."""
+    """(end offset, words, two hashes) of each part; each begins where the one before ends."""
     return parts_of([text], Marked())[:3]
 
 
@@ -128,23 +138,22 @@ def runs(words: np.ndarray, bounds: np.ndarray, least_sentences: int, least_word
 
 
 def run_hashes(hashes: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
-    """A hash of each run's sequence of part hashes, from prefix sums of a polynomial modulo 2^64."""
-    n = len(hashes)
-    power = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, STEP, np.uint64)]))
-    back = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, INVERSE, np.uint64)]))
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(hashes) * power[:n])])
-    # divided by the power of the first place, equal runs agree wherever they stand
-    span = (total[last + 1] - total[first]) * back[first]
-    length = (last - first + 1).astype(np.uint64)
-    return mix(span + length * np.uint64(0xD6E8FEB86659FD93))
+    """Two hashes of each run's sequence of part hashes, from prefix sums of a polynomial modulo 2^64."""
+    n, out = hashes.shape[1], []
+    for own, step in zip(hashes, STEPS, strict=True):
+        power, back = _powers(step, n), _powers(np.uint64(pow(int(step), -1, 1 << 64)), n)
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(own) * power[:n])])
+        # divided by the power of the first place, equal runs agree wherever they stand
+        out.append(mix((total[last + 1] - total[first]) * back[first] + (last - first + 1).astype(np.uint64) * LENGTH))
+    return np.stack(out)
 
 
 def _slot(column):
     return column.bitwiseAND(F.lit(NEED_BITS - 1))
 
 
-def _spans(batches: Iterator[pa.RecordBatch], least_sentences: int, least_words: int, needed=None) -> Iterator[pa.RecordBatch]:
-    """(hash, document, place) of the spans; of those in the filter `needed` only, where it is given."""
+def _spans(batches: Iterator[pa.RecordBatch], least_sentences: int, least_words: int) -> Iterator[pa.RecordBatch]:
+    """(h1, h2, document, place) of the spans."""
     marked = Marked()
     for part in slices(batches, "text"):
         _, words, own, bounds = parts_of(as_bytes(part.column(1)), marked)
@@ -153,15 +162,21 @@ def _spans(batches: Iterator[pa.RecordBatch], least_sentences: int, least_words:
             continue
         h = run_hashes(own, first, last)
         owner = np.searchsorted(bounds, first, side="right") - 1
-        order = np.lexsort((h, owner))
-        again = np.zeros(len(h), np.int64)
-        again[order[1:]] = (h[order[1:]] == h[order[:-1]]) & (owner[order[1:]] == owner[order[:-1]])
+        order = np.lexsort((h[1], h[0], owner))
+        again = np.zeros(len(first), np.int64)
+        again[order[1:]] = (h[:, order[1:]] == h[:, order[:-1]]).all(0) & (owner[order[1:]] == owner[order[:-1]])
         place = ((first - bounds[owner]) << 13) | ((last - first) << 1) | again
-        if needed is not None:
-            slot = (h & np.uint64(NEED_BITS - 1)).astype(np.int64)
-            wanted = np.flatnonzero((needed.value[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1)
-            h, owner, place = h[wanted], owner[wanted], place[wanted]
-        yield pa.RecordBatch.from_pydict({"h": pa.array(h.view(np.int64)), "doc_id": part.column(0).take(pa.array(owner)), "place": pa.array(place)})
+        yield pa.RecordBatch.from_pydict({"h1": pa.array(h[0].view(np.int64)), "h2": pa.array(h[1].view(np.int64)), "doc_id": part.column(0).take(pa.array(owner)), "place": pa.array(place)})
+
+
+def _likely(batches: Iterator[pa.RecordBatch], needed) -> Iterator[pa.RecordBatch]:
+    """The span rows whose hash is in the filter."""
+    bits = needed.value
+    for batch in batches:
+        slot = batch.column(0).to_numpy() & (NEED_BITS - 1)
+        hit = ((bits[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1).astype(bool)
+        if hit.any():
+            yield batch.filter(pa.array(hit))
 
 
 def _apply(batches: Iterator[pa.RecordBatch], schema: pa.Schema, digest_only: bool) -> Iterator[pa.RecordBatch]:
@@ -204,22 +219,19 @@ def remove_repeats(docs: DataFrame, least_sentences: int = 2, least_words: int =
     """
     scratch = Scratch(docs.sparkSession, "spans")
     texts = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    columns = "h long, doc_id long, place long"
-    spans = texts.mapInArrow(lambda b: _spans(b, least_sentences, least_words), columns)
+    columns = "h1 long, h2 long, doc_id long, place long"
+    spans = scratch.cut(texts.mapInArrow(lambda b: _spans(b, least_sentences, least_words), columns), "spans")
     again = F.col("place").bitwiseAND(F.lit(1)).cast("long")
-    repeated = spans.groupBy("h").agg(F.min("doc_id").alias("keeper"), F.max("doc_id").alias("most"), F.max(again).alias("again")).where("keeper <> most OR again = 1")
-    repeated = scratch.cut(repeated.select("h", "keeper"), "repeated")
-    needed = docs.sparkSession.sparkContext.broadcast(filter_bits(repeated.select(F.col("h").alias("id")), _slot))
-    spans = texts.mapInArrow(lambda b: _spans(b, least_sentences, least_words, needed), columns)
-    lost = spans.join(repeated, "h").where((F.col("doc_id") != F.col("keeper")) | (again == 1))
+    repeated = spans.groupBy("h1", "h2").agg(F.min("doc_id").alias("keeper"), F.max("doc_id").alias("most"), F.max(again).alias("again")).where("keeper <> most OR again = 1")
+    repeated = scratch.cut(repeated.select("h1", "h2", "keeper"), "repeated")
+    needed = docs.sparkSession.sparkContext.broadcast(filter_bits(repeated.select(F.col("h1").alias("id")), _slot))
+    lost = spans.mapInArrow(lambda b: _likely(b, needed), columns).join(repeated, ["h1", "h2"]).where((F.col("doc_id") != F.col("keeper")) | (again == 1))
     lost = lost.groupBy(F.col("doc_id").alias("lost_id__")).agg(F.collect_list("place").alias("places__"))
     made = {"n_sentences", "n_removed", "kept_sha256" if digest_only else "kept_text"}
     columns = ["doc_id", "text"] if digest_only else [c for c in docs.columns if c not in made]
     base = docs.select(*[F.col(f"`{c}`").cast("string").alias(c) if c == "text" else F.col(f"`{c}`") for c in columns])
-    joined = base.join(lost.hint("shuffle_hash"), F.col("doc_id").cast("long") == F.col("lost_id__"), "left").drop("lost_id__")
     out = StructType([f for f in base.schema if not digest_only or f.name != "text"]).add("n_sentences", "long").add("n_removed", "long").add("kept_sha256" if digest_only else "kept_text", "string")
-    arrow = to_arrow_schema(out)
-    return joined.mapInArrow(lambda b: _apply(b, arrow, digest_only), out)
+    return apply_lists(base, lost, "places__", lambda b, schema: _apply(b, schema, digest_only), out, scratch)
 
 
 def op9_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
