@@ -1,6 +1,7 @@
 """Operators with fitted models, decontamination, mixing and the pipeline."""
 
 import random
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
@@ -217,8 +218,22 @@ def test_leaks_and_templates(spark):
 
 
 def leak(question, text):
-    words_ = decontaminate.Words()
-    return decontaminate.Index([(1, question)], 8).judge(words_, [text.encode()], 13).get(0, [])
+    """One document against one item, without Spark: (item id, matched words, item words, found as)."""
+    import pyarrow as pa
+
+    batch = lambda **columns: iter([pa.RecordBatch.from_pydict(columns)])
+    (index,) = pa.Table.from_batches(list(decontaminate._index(batch(item=[1], item_id=[1], text=[question]), 8, decontaminate.arrow_of(decontaminate.INDEX)))).to_pylist()
+    every = SimpleNamespace(value=np.full(decontaminate.NEED_BITS // 8, 255, np.uint8))
+    widths = sorted({w["w"] for w in index["windows"] if w["typed"] != decontaminate.LINE})
+    hits = [r for b in decontaminate._hits(batch(row=[7], doc_id=[7], text=[text]), widths, every) for r in b.to_pylist()]
+    slots = (decontaminate.TYPED, decontaminate.OPENED)
+    rows = [{"row": 7, "doc_id": 7, "item": 1, "shift": h["place"] - w["there"], "there": w["there"], "w": w["w"], "typed": max(h["typed"], w["typed"]), "words": h["words"]}
+            for h in hits for w in index["windows"] if (h["h"], h["w"]) == (w["h"], w["w"]) and (h["typed"] in slots) == (w["typed"] in slots)]
+    rows.sort(key=lambda r: (r["shift"], r["there"]))
+    head = {"row": 7, "doc_id": 7, "item": 1, "item_id": 1} | {c: index[c] for c in ("literal", "kind", "named")}
+    table_ = pa.Table.from_pylist([{c: r.get(c) for c in decontaminate.JUDGE} for r in [head, *rows]])
+    made = [r for b in decontaminate._judge(iter(table_.to_batches()), 13, decontaminate.arrow_of(decontaminate.FOUND)) for r in b.to_pylist()]
+    return [(r["item_id"], r["matched_words"], r["item_words"], r["found_as"]) for r in made]
 
 
 def test_leaks_with_slots_that_become_equal():
@@ -237,14 +252,119 @@ def test_leaks_with_names_that_begin_sentences():
     assert leak(short, "we asked, Peter buys 7 pens for 9 dollars each; what is her total?")
     question = "Tom has 3 apples. Tom buys 5 more apples. How many apples does Tom have now?"
     changed = question.replace("Tom", "Anna").replace("3", "8").replace("5", "6")
-    assert leak(question, "Here is one. " + changed) == [(1, 16, 16, False)]
+    assert leak(question, "Here is one. " + changed) == [(1, 16, 16, "template")]
     assert not leak(question, changed.replace("does Anna", "does Olga"))
-    assert leak(question, question) == [(1, 16, 16, True)]
-
-
-def test_leaks_against_brute_force(spark, tables, monkeypatch):
-    """Every document that holds an item's words in a row is found, in blocks of items too; nothing else in this table."""
-    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 40_000)
+    assert leak(question, question) == [(1, 16, 16, "verbatim")]
+
+
+def brute_leaks(docs, items):
+    """All alignments of every document and item, window by window, on the words themselves."""
+    of = decontaminate.Words()
+
+    def words_of(text):
+        literal, kind, named, line, _ = of.of([(text or "").encode()])
+        return [tuple(map(int, w)) for w in zip(literal, kind, named, line, strict=True)]
+
+    def forms(window):
+        w, plain = len(window), tuple(x[0] for x in window)
+        typed, opened = (tuple(x[0] if x[k] == 0 else ("slot", x[k]) for x in window) for k in (1, 2))
+        slots = sum(x[1] != 0 for x in window)
+        out = {0: plain}
+        if 2 * slots <= w:
+            if slots:
+                out[1] = typed
+            if any(x[1] != x[2] for x in window):
+                out[2] = opened
+        return out
+
+    def run_of(flags):
+        best = now = 0
+        for f in flags:
+            now = now + 1 if f else 0
+            best = max(best, now)
+        return best
+
+    def consistent(here, kinds, own, doc, shift):
+        out, start = [False] * len(own), None
+        for k in range(len(own) + 1):
+            if k < len(own) and here[k]:
+                start = k if start is None else start
+            elif start is not None:
+                seen = {}
+                fine = all(seen.setdefault((own[j][kinds], own[j][0]), doc[j + shift][0]) == doc[j + shift][0] for j in range(start, k) if own[j][kinds])
+                out[start:k] = [fine] * (k - start)
+                start = None
+        return out
+
+    out = set()
+    for item_id, question in set(items):
+        own = words_of(question)
+        n = len(own)
+        w = min(8, n)
+        for row, text in docs:
+            doc = words_of(text)
+            if not n:
+                continue
+            if n < 5:
+                by_line = {}
+                for x in doc:
+                    by_line.setdefault(x[3], []).append(x[0])
+                if [x[0] for x in own] in by_line.values():
+                    out.add((row, item_id, n, n, "verbatim"))
+                continue
+            covered, plain = [False] * n, [False] * n
+            own_forms, doc_forms = [forms(own[k : k + w]) for k in range(n - w + 1)], [forms(doc[k : k + w]) for k in range(len(doc) - w + 1)]
+            for shift in range(-n, len(doc)):
+                here, wider = [False] * n, [False] * n
+                for there in range(max(0, -shift), min(n - w, len(doc) - w - shift) + 1):
+                    a, b = own_forms[there], doc_forms[there + shift]
+                    span = range(there, there + w)
+                    if a[0] == b[0]:
+                        for j in span:
+                            here[j] = plain[j] = True
+                    for x in (1, 2):
+                        for y in (1, 2):
+                            if x in a and y in b and a[x] == b[y]:
+                                if max(x, y) == 1:
+                                    for j in span:
+                                        here[j] = True
+                                elif 2 * sum((own[j][1] != 0 or own[j][0] != doc[j + shift][0]) and own[j][2] != 0 for j in span) <= w:
+                                    for j in span:
+                                        wider[j] = True
+                found = consistent(here, 1, own, doc, shift)
+                if any(wider):
+                    found = [x or y for x, y in zip(found, consistent([x or y for x, y in zip(here, wider, strict=True)], 2, own, doc, shift), strict=True)]
+                covered = [x or y for x, y in zip(covered, found, strict=True)]
+            run = run_of([x or y for x, y in zip(covered, plain, strict=True)])
+            if run >= min(13, n):
+                out.add((row, item_id, run, n, "verbatim" if run_of(plain) == run else "template"))
+    return out
+
+
+def test_templates_against_brute_force(spark):
+    """Questions with some slots exchanged, consistently or not, inside other text, against all alignments."""
+    rng = random.Random(21)
+    names, verbs = ["Maria", "Tom", "Olga", "Peter", "Ana"], ["buys", "sells", "finds", "moves"]
+    shapes = [
+        "{a} {v} {x} pens and {y} books at the small shop, then {a} gives {z} pens to {b}. How many pens does {a} have now?",
+        "A train from {a} takes {x} hours to reach {b}, while the slow one takes {y} hours; it waits {z} minutes on the way.",
+        "{a} {v} {x} kg of rice. {b} {v} {y} kg more than that. Together they carry it home in {z} bags.",
+        "{a} has {x}",
+        "one {x} and {y} more {v} here",
+    ]
+    fill = lambda shape, broken=False: shape.format(a=rng.choice(names), b=rng.choice(names), v=rng.choice(verbs), x=rng.randint(2, 9), y=rng.randint(2, 9), z=rng.randint(2, 9)) if not broken else shape.replace("{a}", rng.choice(names), 1).format(a=rng.choice(names), b=rng.choice(names), v=rng.choice(verbs), x=3, y=4, z=5)
+    items = [(i, fill(s)) for i, s in enumerate(shapes * 2)] + [(90, "zwei worte"), (91, ""), (92, None)]
+    docs = [(100 + i, f"{words(rng, rng.randint(0, 12))}. {fill(rng.choice(shapes), rng.random() < 0.3)} {words(rng, rng.randint(0, 9))}\n{words(rng, 3)}") for i in range(60)]
+    docs += [(300, "zwei Worte!\nnoch etwas"), (301, "noch zwei worte hier"), (302, "la " * 60 + "3 la"), (303, fill(shapes[0]) * 2), (304, None), (305, "Tom has 4")]
+    items += [(93, "la " * 30), (94, items[0][1])]
+    frame = lambda rows, name: spark.createDataFrame(rows, f"{name} long, text string").withColumns({"h": F.lit(1), "row": F.lit("x"), "item": F.lit(2)}).repartition(3)
+    got = {tuple(r) for r in decontaminate.find_leaks(frame(docs, "doc_id"), frame(items, "item_id")).collect()}
+    want = brute_leaks(docs, items)
+    assert got == want and {f for *_, f in want} == {"verbatim", "template"} and len(want) > 20
+
+
+def test_leaks_against_brute_force(spark, tables):
+    """Every document that holds an item's words in a row is found; nothing else in this table."""
     clean = lambda t: [w for w in (x.strip(decontaminate.EDGE).lower() for x in (t or "").encode().split()) if w]
     items = [(r.item_id, b" ".join(clean(r.text))) for r in tables["benchmark"].collect()]
     docs = tables["documents"].where("doc_id < 2500").select("doc_id", "text")

@@ -4,26 +4,23 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+from wavecrest.llm._filter import chosen, filter_bits, id_slot
 from wavecrest.llm._scratch import Scratch
 from wavecrest.llm._text import slices
-from wavecrest.llm.neardup import filter_bits, id_slot
 
 Work = Callable[[Iterator[pa.RecordBatch], pa.Schema], Iterator[pa.RecordBatch]]
 
 
 def _chosen(batches: Iterator[pa.RecordBatch], needed, inside: bool) -> Iterator[pa.RecordBatch]:
     """The rows whose slot (the last column) is set in the filter, or those whose slot is not; without the slot."""
-    bits = needed.value
     for part in slices(batches, "text"):
-        slot = part.column(part.num_columns - 1).to_numpy()
-        hit = ((bits[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1).astype(bool)
+        hit = chosen(part.column(part.num_columns - 1).to_numpy(), needed.value)
         part = part.select(part.schema.names[:-1])
         if (hit if inside else ~hit).any():
             yield part.filter(pa.array(hit if inside else ~hit))
@@ -48,3 +45,11 @@ def apply_lists(base: DataFrame, lists: DataFrame, name: str, work: Work, out: S
     listed = listed.join(lists.hint("shuffle_hash"), F.col("doc_id").cast("long") == F.col("lost_id__"), "left").drop("lost_id__")
     rest = marked.mapInArrow(lambda b: work(_unlisted(_chosen(b, needed, False), name, kind), arrow), out)
     return rest.unionByName(listed.mapInArrow(lambda b: work(b, arrow), out))
+
+
+def without(base: DataFrame, gone: DataFrame, key: str) -> DataFrame:
+    """base (with text) without the rows whose long column `key` is in gone, a written table of (key); only rows that may be in it shuffle."""
+    needed = base.sparkSession.sparkContext.broadcast(filter_bits(gone.select(F.col(key).alias("id"))))
+    marked = base.withColumn("slot__", id_slot(F.col(key)))
+    suspects = marked.mapInArrow(lambda b: _chosen(b, needed, True), base.schema).join(gone.select(key).distinct(), key, "left_anti")
+    return marked.mapInArrow(lambda b: _chosen(b, needed, False), base.schema).unionByName(suspects)

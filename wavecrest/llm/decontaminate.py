@@ -11,17 +11,20 @@ equal values in the document (different ones may become equal). So a question wh
 or names were exchanged throughout is still found, and one that merely has a like shape is not.
 
 A document is contaminated by an item when consecutive item words, covered by matched
-windows, reach `run_words` (or the whole item where it is shorter). Items of fewer
-words than a window are matched as one window of their own length; items of fewer than
-MIN_ITEM words are left out, as their words would be found in clean texts.
-
-Plan: the benchmark is the stated query set. It is indexed in blocks of at most
-BLOCK_BYTES of text, whose count comes from its measured size, and each block's index
-is broadcast to one scan of the documents; a document is judged where it lies and
-nothing shuffles.
-
-Defined cases: null and empty texts match nothing; rows that repeat a doc_id or have
-none are judged row by row; an empty benchmark leaves all documents clean.
+windows, reach `run_words` (or the whole item where it is shorter). Items of fewer words than a
+window are matched as one window of their own length. The words of an item shorter than
+MIN_ITEM stand in many clean texts; it contaminates a document that has it as a whole line.
+
+Plan: items become rows of (window hash, item, place); one scan of the documents makes rows of
+(window hash, document, place, the window's words) for windows in a filter of bounded size, set by the
+items' hashes, and the two join by hash. A window that very many documents hold is dealt in
+parts. The matches of a document and an item meet in one task, sorted by alignment, which holds one alignment,
+as long as the item, at a time. Texts don't shuffle; nothing of the benchmark is held whole
+by the driver or in a broadcast, whatever its size.
+
+Defined cases: null and empty texts match nothing; rows that repeat a doc_id or have none are
+judged each by its own text, and rows equal in both give one result; a null item_id is an
+item like others; an empty benchmark leaves all documents clean. Extra columns stay.
 """
 
 from __future__ import annotations
@@ -34,7 +37,12 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import _parse_datatype_string
 
+from wavecrest.llm._filter import NEED_BITS, chosen, dealt, filter_bits, hash_slot
+from wavecrest.llm._lists import without
+from wavecrest.llm._scratch import Scratch
 from wavecrest.llm._text import as_bytes, mix, slices
 
 EDGE = b"\"'`.,;:!?()[]{}<>*%$&#|/\\~^_=+-"
@@ -45,16 +53,18 @@ NUMBER_WORDS = frozenset(b"zero one two three four five six seven eight nine ten
 UNITS = frozenset(b"mm cm dm m km mg g kg t ml cl dl l ms s sec secs min mins h hr hrs second seconds minute minutes hour hours day days week weeks month months year years inch inches foot feet yard yards mile miles ounce ounces pound pounds gallon gallons metre metres meter meters kilometre kilometres kilometer kilometers gram grams kilogram kilograms litre litres liter liters dollar dollars cent cents euro euros percent degrees celsius fahrenheit mph kph watt watts volt volts joule joules newton newtons".split())
 LITERAL, NUM, UNIT, NAME, BOTH = range(5)
 SPECIAL = NUMBER_WORDS | UNITS
-PLAIN = (LITERAL, LITERAL, 0, 1)
+PLAIN = (LITERAL, LITERAL, 0, 1, 0)
 SLOT = np.array([0, 0x51ED270B0A1F39C1, 0x2545F4914F6CDD1D, 0x369DEA0F31A53F85, 0x27BB2EE687B0B0FD], np.uint64)
-#: Shorter items are left out.
+#: Shorter items count as whole lines only.
 MIN_ITEM = 5
-BLOCK_BYTES = 8 << 20
-FILTER = 1 << 22
+#: Kinds of windows: as they are, with placeholders, with names at the beginning of sentences too, whole lines.
+PLAIN_WINDOW, TYPED, OPENED, LINE = range(4)
+#: A word that stands for a line end.
+LINE_END = b"\x00"
 
 
 class Words:
-    """Raw words by number: literal hash, kind inside a sentence and at its start, whether it ends one."""
+    """Raw words by number: literal hash, kind inside a sentence and at its start, whether it ends one, and a line."""
 
     def __init__(self, limit: int = 600_000):
         self.limit = limit
@@ -62,15 +72,16 @@ class Words:
 
     def clear(self) -> None:
         self.number: dict[bytes, int] = {}
-        self.hashes, self.marks = np.empty(0, np.uint64), np.empty((0, 4), np.int8)
+        self.hashes, self.marks = np.empty(0, np.uint64), np.empty((0, 5), np.int8)
 
-    def of(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(literal hash, kind, kind with capitals that begin a sentence as names) of each word of the texts, end to end, and where each text ends."""
+    def of(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(literal hash, kind, kind with capitals that begin a sentence as names, line) of each word of the texts, end to
+        end, and where each text ends. Lines are numbered through all texts."""
         if len(self.number) > self.limit:
             self.clear()
         number, words, ends = self.number, [], []
         for text in texts:
-            words += text.replace(b"\n", b" . ").split()
+            words += text.replace(b"\n", b" \x00 ").split()
             ends.append(len(words))
         if new := list(set(words).difference(number)):
             known = len(self.hashes)
@@ -86,16 +97,22 @@ class Words:
         start[ends[:-1][ends[:-1] < len(words)]] = True
         keep = marks[:, 3] == 1
         kind = np.where(start, marks[:, 1], marks[:, 0])[keep]
-        return self.hashes[at[keep]], kind, marks[keep, 0], np.concatenate([[0], np.cumsum(keep)])[ends]
+        line = np.cumsum(marks[:, 4])
+        begins = np.zeros(len(words) + 1, np.int64)
+        begins[ends] = 1
+        line = line + np.cumsum(begins)[: len(words)]
+        return self.hashes[at[keep]], kind, marks[keep, 0], line[keep], np.concatenate([[0], np.cumsum(keep)])[ends]
 
     @staticmethod
-    def kind(word: bytes) -> tuple[int, tuple[int, int, int, int]]:
-        """The literal hash, and: kind inside a sentence, kind at its start, whether it ends one, whether it is a word."""
+    def kind(word: bytes) -> tuple[int, tuple[int, int, int, int, int]]:
+        """The literal hash, and: kind inside a sentence, kind at its start, whether it ends one, whether it is a word, whether it ends a line."""
+        if word == LINE_END:
+            return 0, (LITERAL, LITERAL, 1, 0, 1)
         if word.isalpha() and word.islower() and word not in SPECIAL:
             return xxhash.xxh3_64_intdigest(word), PLAIN
         core = word.strip(EDGE)
         if not core:
-            return 0, (LITERAL, LITERAL, int(any(c in b".!?" for c in word)), 0)
+            return 0, (LITERAL, LITERAL, int(any(c in b".!?" for c in word)), 0, 0)
         low = core.lower()
         tail = word[len(word.rstrip(EDGE)) :]
         ends = int(bool(tail) and any(c in b".!?" for c in tail))
@@ -113,7 +130,7 @@ class Words:
             text = core.decode("utf-8", "replace")
             if len(text) > 1 and text[0].isupper() and not text.isupper():
                 inside = NAME
-        return xxhash.xxh3_64_intdigest(low), (inside, first, ends, 1)
+        return xxhash.xxh3_64_intdigest(low), (inside, first, ends, 1, 0)
 
 
 def window_hashes(words: np.ndarray, width: int, seed: int) -> np.ndarray:
@@ -144,88 +161,121 @@ def _windows(literal: np.ndarray, kind: np.ndarray, named: np.ndarray, width: in
     return plain, np.where((slots > 0) & few, typed, 0), np.where((count(kind != named) > 0) & few, opened, 0)
 
 
-class Index:
-    """The windows of one block of items."""
+def _line_hashes(literal: np.ndarray, line: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first word, words, hash) of the lines of fewer than MIN_ITEM words."""
+    first = np.flatnonzero(np.concatenate([[True], line[1:] != line[:-1]])) if len(line) else np.empty(0, np.int64)
+    size = np.diff(np.append(first, len(line)))
+    first, size = first[size < MIN_ITEM], size[size < MIN_ITEM]
+    out = np.zeros(len(first), np.uint64)
+    for k in range(1, MIN_ITEM):
+        at = np.flatnonzero(size == k)
+        if len(at):
+            out[at] = window_hashes(literal[first[at][:, None] + np.arange(k)].ravel(), k, 3)[::k]
+    return first, size, out
 
-    def __init__(self, items: list[tuple[int, str]], width: int):
-        words = Words()
-        self.width, self.items, self.at = width, {}, {}
-        widths = set()
-        for number, (item_id, text) in enumerate(items):
-            literal, kind, named, _ = words.of([(text or "").encode()])
-            if len(literal) < MIN_ITEM:
+
+WINDOW = "struct<h: bigint, there: int, w: int, typed: int>"
+INDEX = f"item bigint, item_id bigint, literal binary, kind binary, named binary, windows array<{WINDOW}>"
+
+
+def arrow_of(ddl: str) -> pa.Schema:
+    return to_arrow_schema(_parse_datatype_string(ddl))
+
+
+def _index(batches: Iterator[pa.RecordBatch], width: int, arrow: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """The words of each item, and its windows."""
+    words = Words()
+    for part in slices(batches, "text"):
+        rows = []
+        for item, item_id, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), as_bytes(part.column(2)), strict=True):
+            literal, kind, named, _, _ = words.of([text])
+            if not len(literal):
                 continue
-            self.items[number] = (item_id, literal, kind, named)
             w = min(width, len(literal))
-            widths.add(w)
-            for typed, hashes in enumerate(_windows(literal, kind, named, w)):
-                for place, h in enumerate(hashes.tolist()):
-                    if h:
-                        self.at.setdefault(h, []).append((number, place, w, typed))
-        self.widths = sorted(widths)
-        self.filter = np.zeros(FILTER, bool)
-        self.known = np.sort(np.fromiter(self.at, np.uint64, len(self.at)))
-        self.filter[self.known & np.uint64(FILTER - 1)] = True
-
-    def judge(self, words: Words, texts: list[bytes], run_words: int) -> dict[int, list[tuple]]:
-        """Matches of those texts that have any, by number. Texts are looked through end to end; few have a known window."""
-        literal, kind, named, ends = words.of(texts)
-        owner = np.repeat(np.arange(len(texts)), np.diff(np.concatenate([[0], ends])))
-        some: set[int] = set()
-        for w in self.widths:
-            for hashes in _windows(literal, kind, named, w):
-                maybe = np.flatnonzero(self.filter[hashes & np.uint64(FILTER - 1)])
-                maybe = maybe[self.known[np.minimum(np.searchsorted(self.known, hashes[maybe]), len(self.known) - 1)] == hashes[maybe]]
-                some.update(owner[maybe[owner[maybe] == owner[maybe + w - 1]]].tolist())
-        out = {}
-        for t in sorted(some):
-            part = slice(ends[t - 1] if t else 0, ends[t])
-            if found := self.matches(literal[part], kind[part], named[part], run_words):
-                out[t] = found
-        return out
-
-    def matches(self, literal: np.ndarray, kind: np.ndarray, named: np.ndarray, run_words: int) -> list[tuple]:
-        """(item id, longest run of matched words, words of the item, whether verbatim) of each contaminating item."""
-        found: dict[int, dict[int, list[tuple[int, int, int]]]] = {}
-        for w in self.widths:
+            if len(literal) < MIN_ITEM:
+                h = window_hashes(literal, w, 3)
+                own = [(int(h[0]), 0, w, LINE)]
+            else:
+                own = [(int(h), place, w, typed) for typed, hashes in enumerate(_windows(literal, kind, named, w)) for place, h in enumerate(hashes) if h]
+            own = [{"h": h - (h >> 63 << 64), "there": p, "w": w, "typed": t} for h, p, w, t in own]
+            rows.append({"item": item, "item_id": item_id, "literal": literal.tobytes(), "kind": kind.tobytes(), "named": named.tobytes(), "windows": own})
+        if rows:
+            yield pa.RecordBatch.from_pylist(rows, schema=arrow)
+
+
+HITS = "h bigint, row bigint, doc_id bigint, place bigint, w int, typed int, words binary"
+
+
+def _hits(batches: Iterator[pa.RecordBatch], widths: list[int], needed) -> Iterator[pa.RecordBatch]:
+    """The windows of the documents whose hash is in the filter, with their words."""
+    words, bits = Words(), needed.value
+    inside = lambda h: (h != 0) & chosen((h & np.uint64(NEED_BITS - 1)).astype(np.int64), bits)
+    for part in slices(batches, "text"):
+        literal, kind, named, line, ends = words.of(as_bytes(part.column(2)))
+        begins = np.concatenate([[0], ends[:-1]])
+        owner = np.repeat(np.arange(part.num_rows), ends - begins)
+        found = []
+        for w in widths:
             for typed, hashes in enumerate(_windows(literal, kind, named, w)):
-                for place in np.flatnonzero(self.filter[hashes & np.uint64(FILTER - 1)]).tolist():
-                    for number, there, width, kind_of in self.at.get(int(hashes[place]), ()):
-                        if width == w and (kind_of > 0) == (typed > 0):
-                            found.setdefault(number, {}).setdefault(place - there, []).append((there, w, max(typed, kind_of)))
-        out = []
-        for number, lines in found.items():
-            item_id, own, own_kind, own_named = self.items[number]
-            covered, plain = np.zeros(len(own), bool), np.zeros(len(own), bool)
-            for shift, places in lines.items():
-                here, wider = np.zeros(len(own), bool), np.zeros(len(own), bool)
-                for there, w, typed in places:
-                    span = slice(there, there + w)
-                    if typed == 2:
-                        # a capital that begins a sentence and stays the same is a literal word
-                        changed = (own_kind[span] != LITERAL) | (own[span] != literal[there + shift : there + shift + w])
-                        wider[span] |= 2 * np.count_nonzero(changed & (own_named[span] != LITERAL)) <= w
-                        continue
-                    here[span] = True
-                    if not typed:
-                        plain[span] = True
-                covered |= _consistent(here, own, own_kind, literal, shift)
-                if wider.any():
-                    covered |= _consistent(here | wider, own, own_named, literal, shift)
-            covered |= plain
-            run = _longest(covered)
-            if run >= min(run_words, len(own)):
-                out.append((item_id, run, len(own), _longest(plain) == run))
-        return out
-
-
-def _consistent(here: np.ndarray, own: np.ndarray, kinds: np.ndarray, literal: np.ndarray, shift: int) -> np.ndarray:
+                at = np.flatnonzero(inside(hashes))
+                at = at[owner[at] == owner[at + w - 1]]
+                found.append((hashes[at], at, np.full(len(at), w), np.full(len(at), typed)))
+        first, size, hashes = _line_hashes(literal, line)
+        at = np.flatnonzero(inside(hashes))
+        found.append((hashes[at], first[at], size[at], np.full(len(at), LINE)))
+        h, at, w, typed = (np.concatenate(x) for x in zip(*found, strict=True))
+        if not len(h):
+            continue
+        own = owner[at]
+        yield pa.RecordBatch.from_pydict({
+            "h": pa.array(h.view(np.int64)),
+            "row": part.column(0).take(pa.array(own)),
+            "doc_id": part.column(1).take(pa.array(own)),
+            "place": pa.array(at - begins[own]),
+            "w": pa.array(w.astype(np.int32)),
+            "typed": pa.array(typed.astype(np.int32)),
+            "words": pa.array([literal[a : a + k].tobytes() for a, k in zip(at.tolist(), w.tolist(), strict=True)], pa.binary()),
+        })
+
+
+class Judged:
+    """One document against one item: alignments come one after another."""
+
+    def __init__(self, literal: bytes, kind: bytes, named: bytes):
+        self.own, self.kind, self.named = np.frombuffer(literal, np.uint64), np.frombuffer(kind, np.int8), np.frombuffer(named, np.int8)
+        self.covered, self.plain = np.zeros(len(self.own), bool), np.zeros(len(self.own), bool)
+
+    def align(self, windows: list[tuple[int, int, int, bytes]]) -> None:
+        """The matched windows (place in the item, width, kind, document words) of one alignment."""
+        here, wider, values = np.zeros(len(self.own), bool), np.zeros(len(self.own), bool), np.zeros(len(self.own), np.uint64)
+        for there, w, typed, words in windows:
+            span = slice(there, there + w)
+            values[span] = np.frombuffer(words, np.uint64)
+            if typed == OPENED:
+                # a capital that begins a sentence and stays the same is a literal word
+                changed = (self.kind[span] != LITERAL) | (self.own[span] != values[span])
+                wider[span] |= 2 * np.count_nonzero(changed & (self.named[span] != LITERAL)) <= w
+                continue
+            here[span] = True
+            if typed != TYPED:
+                self.plain[span] = True
+        self.covered |= _consistent(here, self.own, self.kind, values)
+        if wider.any():
+            self.covered |= _consistent(here | wider, self.own, self.named, values)
+
+    def result(self, run_words: int) -> tuple[int, int, str] | None:
+        """(longest run of matched words, words of the item, how it was found) of a contaminating item."""
+        run, n = _longest(self.covered | self.plain), len(self.own)
+        return (run, n, "verbatim" if _longest(self.plain) == run else "template") if run >= min(run_words, n) else None
+
+
+def _consistent(here: np.ndarray, own: np.ndarray, kinds: np.ndarray, values: np.ndarray) -> np.ndarray:
     """The words of those runs of matched words in which each slot value of the item has one value in the document."""
     out = np.zeros(len(own), bool)
     edges = np.flatnonzero(np.diff(np.concatenate([[0], here.astype(np.int8), [0]])))
     for start, stop in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
         slots = start + np.flatnonzero(kinds[start:stop] != LITERAL)
-        pairs = set(zip(kinds[slots].tolist(), own[slots].tolist(), literal[slots + shift].tolist(), strict=True))
+        pairs = set(zip(kinds[slots].tolist(), own[slots].tolist(), values[slots].tolist(), strict=True))
         out[start:stop] = len({p[:2] for p in pairs}) == len(pairs)
     return out
 
@@ -235,52 +285,82 @@ def _longest(flags: np.ndarray) -> int:
     return int((edges[1::2] - edges[::2]).max()) if len(edges) else 0
 
 
-def _leaks(batches: Iterator[pa.RecordBatch], index, run_words: int) -> Iterator[pa.RecordBatch]:
-    words, block = Words(), index.value
-    for part in slices(batches, "text"):
-        ids = part.column(0)
-        rows = [(ids[t].as_py(), *m) for t, found in block.judge(words, as_bytes(part.column(1)), run_words).items() for m in found]
-        if rows:
-            d, i, run, n, plain = zip(*rows, strict=True)
-            yield pa.RecordBatch.from_pydict({"doc_id": pa.array(d, pa.int64()), "item_id": pa.array(i, pa.int64()), "matched_words": pa.array(run, pa.int64()), "item_words": pa.array(n, pa.int64()), "found_as": pa.array(["verbatim" if p else "template" for p in plain])})
+FOUND = "row bigint, doc_id bigint, item_id bigint, matched_words bigint, item_words bigint, found_as string"
 
 
-def _clean(batches: Iterator[pa.RecordBatch], index, run_words: int) -> Iterator[pa.RecordBatch]:
-    words, block = Words(), index.value
-    for part in slices(batches, "text"):
-        texts = as_bytes(part.column(part.schema.get_field_index("text")))
-        bad = block.judge(words, texts, run_words)
-        yield part.filter(pa.array([t not in bad for t in range(len(texts))], pa.bool_())) if bad else part
+def _judge(batches: Iterator[pa.RecordBatch], run_words: int, arrow: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Results of (document, item) groups; rows come sorted by them, the item's own row first, then by alignment."""
+    pair = judged = shift = None
+    held: list[tuple[int, int, int, bytes]] = []
+    out: list[tuple] = []
 
+    def close() -> None:
+        if judged is not None:
+            if held:
+                judged.align(held)
+            if made := judged.result(run_words):
+                out.append((pair[0], doc_id, item_id, *made))
 
-def _blocks(items: DataFrame, width: int) -> Iterator:
-    """Broadcast indexes of the items, each of a bounded size."""
-    spark = items.sparkSession
-    texts = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
-    size = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    blocks = max(1, -(-2 * size // BLOCK_BYTES))
-    for k in range(blocks):
-        block = texts.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k) if blocks > 1 else texts
-        rows = sorted({(r.item_id, r.text) for r in block.toLocalIterator()}, key=lambda r: (r[0] is None, r[0] or 0, r[1] or ""))
-        yield spark.sparkContext.broadcast(Index(rows, width))
+    doc_id = item_id = None
+    for batch in batches:
+        for row, doc, item, number, place, there, w, typed, words, literal, kind, named in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if (row, item) != pair:
+                close()
+                pair, judged, doc_id, item_id, shift, held = (row, item), Judged(literal, kind, named), doc, number, None, []
+                continue
+            if place != shift:
+                if held:
+                    judged.align(held)
+                shift, held = place, []
+            held.append((there, w, typed, words))
+        if out:
+            yield pa.RecordBatch.from_pylist([dict(zip(arrow.names, r, strict=True)) for r in out], schema=arrow)
+            out = []
+    close()
+    if out:
+        yield pa.RecordBatch.from_pylist([dict(zip(arrow.names, r, strict=True)) for r in out], schema=arrow)
+
+
+JUDGE = ("row", "doc_id", "item", "item_id", "shift", "there", "w", "typed", "words", "literal", "kind", "named")
+
+
+def _found(docs: DataFrame, items: DataFrame, width: int, run_words: int, scratch: Scratch) -> DataFrame:
+    """FOUND rows, written; docs: (row, doc_id, text)."""
+    spark = docs.sparkSession
+    texts = items.select(F.xxhash64("item_id", "text").alias("item"), F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).distinct()
+    of_index, of_found = arrow_of(INDEX), arrow_of(FOUND)
+    index = scratch.cut(texts.mapInArrow(lambda b: _index(b, width, of_index), INDEX), "items")
+    windows = scratch.cut(index.select("item", F.explode("windows").alias("x")).select("item", "x.*"), "windows")
+    # window widths are few: those of the items from MIN_ITEM to `width` words
+    widths = [r.w for r in windows.where(F.col("typed") != LINE).select("w").distinct().orderBy("w").collect()]
+    needed = spark.sparkContext.broadcast(filter_bits(windows.select(F.col("h").alias("id")), hash_slot))
+    hits = dealt(scratch.cut(docs.mapInArrow(lambda b: _hits(b, widths, needed), HITS), "hits"))
+    wanted = hits.select("h", "part__").distinct().join(windows, "h").select("h", "part__", "item", "there", F.col("w").alias("item_w"), F.col("typed").alias("item_typed"))
+    wanted = scratch.cut(wanted, "wanted")
+    same = (F.col("w") == F.col("item_w")) & F.when(F.col("item_typed").isin(TYPED, OPENED), F.col("typed").isin(TYPED, OPENED)).otherwise(F.col("typed") == F.col("item_typed"))
+    matches = hits.join(wanted, ["h", "part__"]).where(same)
+    matches = matches.select("row", "doc_id", "item", (F.col("place") - F.col("there")).alias("shift"), "there", "w", F.greatest("typed", "item_typed").alias("typed"), "words")
+    matches = scratch.cut(matches, "matches")
+    none = lambda kind, *names: [F.lit(None).cast(kind).alias(c) for c in names]
+    heads = matches.select("row", "doc_id", "item").distinct().join(index.drop("windows"), "item").select("row", "doc_id", "item", "item_id", *none("long", "shift"), *none("int", "there", "w", "typed"), *none("binary", "words"), "literal", "kind", "named")
+    rows = matches.select("row", "doc_id", "item", *none("long", "item_id"), "shift", "there", "w", "typed", "words", *none("binary", "literal", "kind", "named"))
+    # the item's own row has a null shift, which sorts first
+    both = heads.unionByName(rows).select(*JUDGE).repartition("row", "item").sortWithinPartitions("row", "item", "shift", "there")
+    return scratch.cut(both.mapInArrow(lambda b: _judge(b, run_words, of_found), FOUND), "found")
 
 
 def find_leaks(docs: DataFrame, items: DataFrame, width: int = 8, run_words: int = 13) -> DataFrame:
     """(doc_id, item_id, matched_words, item_words, found_as) for each contaminated document and item."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    out = None
-    for index in _blocks(items, width):
-        found = texts.mapInArrow(lambda b, index=index: _leaks(b, index, run_words), "doc_id long, item_id long, matched_words long, item_words long, found_as string")
-        out = found if out is None else out.unionByName(found)
-    return out
+    base = docs.select(F.xxhash64("doc_id", "text").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return _found(base, items, width, run_words, Scratch(docs.sparkSession, "leaks")).drop("row")
 
 
 def remove_contaminated(docs: DataFrame, items: DataFrame, width: int = 8, run_words: int = 13) -> DataFrame:
     """docs without the contaminated documents; all columns stay as they are."""
-    docs = docs.withColumn("text", F.col("text").cast("string"))
-    for index in _blocks(items, width):
-        docs = docs.mapInArrow(lambda b, index=index: _clean(b, index, run_words), docs.schema)
-    return docs
+    base = docs.withColumn("text", F.col("text").cast("string")).withColumn("leak_row__", F.xxhash64("doc_id", "text"))
+    narrow = base.select(F.col("leak_row__").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    found = _found(narrow, items, width, run_words, Scratch(docs.sparkSession, "leaks"))
+    return without(base, found.select(F.col("row").alias("leak_row__")), "leak_row__").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

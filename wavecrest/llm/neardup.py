@@ -46,6 +46,7 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wavecrest.llm._filter import chosen, filter_bits, id_slot
 from wavecrest.llm._scratch import Scratch, readable
 from wavecrest.llm._text import WordHashes, as_bytes, mix, shingle_hashes, slices
 from wavecrest.llm.components import connected_components
@@ -57,8 +58,6 @@ TOP = 16.0
 SURE = 0.66
 BLOCK = 2000
 BLOCK_SHINGLES = 1 << 21
-#: Bits of the filter that tells which texts are needed for verification: 16 MB at most.
-NEED_BITS = 1 << 27
 
 
 def multipliers(registers: int) -> np.ndarray:
@@ -276,10 +275,9 @@ def _stored(folder: str, key: int, own: int) -> Iterator[pa.Table]:
 
 
 def _pack(batches: Iterator[pa.RecordBatch], needed) -> Iterator[pa.RecordBatch]:
-    bits, press = needed.value, zstandard.ZstdCompressor(level=1)
+    press = zstandard.ZstdCompressor(level=1)
     for part in slices(batches, "text"):
-        slot = part.column(2).to_numpy()
-        wanted = np.flatnonzero((bits[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1)
+        wanted = np.flatnonzero(chosen(part.column(2).to_numpy(), needed.value))
         if len(wanted):
             part = part.take(pa.array(wanted))
             yield pa.RecordBatch.from_pydict({"id": part.column(0), "packed": pa.array([press.compress(t) for t in as_bytes(part.column(1))], pa.binary())})
@@ -292,20 +290,6 @@ def _verify(batches: Iterator[pa.RecordBatch], width: int, percent: int) -> Iter
         yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
 
 
-def filter_bits(ids: DataFrame, slot=None) -> np.ndarray:
-    """A filter of NEED_BITS bits, whatever the input's size, of the hashes of the column id (or of another slot of it)."""
-    rows = (
-        ids.select(((slot or id_slot)(F.col("id")) + 1).alias("s"))  # Spark counts bits from 1
-        .groupBy(F.bitmap_bucket_number("s").alias("bucket"))
-        .agg(F.bitmap_construct_agg(F.bitmap_bit_position("s")).alias("bits"))
-        .toLocalIterator()
-    )
-    bits = np.zeros(NEED_BITS // 8, np.uint8)
-    for bucket, part in rows:
-        bits[(bucket - 1) * 4096 : bucket * 4096] = np.frombuffer(bytes(part), np.uint8)
-    return bits
-
-
 def packed_texts(ids: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
     """(id, packed) of at least the documents in ids: a bounded filter of their hashes picks the texts in one scan."""
     needed = docs.sparkSession.sparkContext.broadcast(filter_bits(ids))
@@ -313,10 +297,6 @@ def packed_texts(ids: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame
     return scratch.cut(texts.mapInArrow(lambda b: _pack(b, needed), "id long, packed binary"), "texts")
 
 
-def id_slot(column):
-    return F.pmod(F.xxhash64(column), F.lit(NEED_BITS))
-
-
 def verified(pairs: DataFrame, texts: DataFrame, scratch: Scratch, width: int, percent: int) -> DataFrame:
     """Those of the pairs (a, b) whose full sets reach the similarity; texts: (id, packed) of at least the paired documents."""
     right = texts.select(F.col("id").alias("b"), F.col("packed").alias("p_b"))

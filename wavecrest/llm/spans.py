@@ -42,10 +42,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from wavecrest.llm._filter import NEED_BITS, chosen, filter_bits, hash_slot
 from wavecrest.llm._lists import apply_lists
 from wavecrest.llm._scratch import Scratch
 from wavecrest.llm._text import STEP, WordHashes, as_bytes, mix, slices
-from wavecrest.llm.neardup import NEED_BITS, filter_bits
 
 STOP = re.compile(rb"[.!?][\"')\]]*\Z")
 SPACE = np.isin(np.arange(256), [32, 9, 10, 11, 12, 13])
@@ -148,10 +148,6 @@ def run_hashes(hashes: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.nd
     return np.stack(out)
 
 
-def _slot(column):
-    return column.bitwiseAND(F.lit(NEED_BITS - 1))
-
-
 def _spans(batches: Iterator[pa.RecordBatch], least_sentences: int, least_words: int) -> Iterator[pa.RecordBatch]:
     """(h1, h2, document, place) of the spans."""
     marked = Marked()
@@ -171,10 +167,8 @@ def _spans(batches: Iterator[pa.RecordBatch], least_sentences: int, least_words:
 
 def _likely(batches: Iterator[pa.RecordBatch], needed) -> Iterator[pa.RecordBatch]:
     """The span rows whose hash is in the filter."""
-    bits = needed.value
     for batch in batches:
-        slot = batch.column(0).to_numpy() & (NEED_BITS - 1)
-        hit = ((bits[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1).astype(bool)
+        hit = chosen(batch.column(0).to_numpy() & (NEED_BITS - 1), needed.value)
         if hit.any():
             yield batch.filter(pa.array(hit))
 
@@ -224,7 +218,7 @@ def remove_repeats(docs: DataFrame, least_sentences: int = 2, least_words: int =
     again = F.col("place").bitwiseAND(F.lit(1)).cast("long")
     repeated = spans.groupBy("h1", "h2").agg(F.min("doc_id").alias("keeper"), F.max("doc_id").alias("most"), F.max(again).alias("again")).where("keeper <> most OR again = 1")
     repeated = scratch.cut(repeated.select("h1", "h2", "keeper"), "repeated")
-    needed = docs.sparkSession.sparkContext.broadcast(filter_bits(repeated.select(F.col("h1").alias("id")), _slot))
+    needed = docs.sparkSession.sparkContext.broadcast(filter_bits(repeated.select(F.col("h1").alias("id")), hash_slot))
     lost = spans.mapInArrow(lambda b: _likely(b, needed), columns).join(repeated, ["h1", "h2"]).where((F.col("doc_id") != F.col("keeper")) | (again == 1))
     lost = lost.groupBy(F.col("doc_id").alias("lost_id__")).agg(F.collect_list("place").alias("places__"))
     made = {"n_sentences", "n_removed", "kept_sha256" if digest_only else "kept_text"}

@@ -44,16 +44,14 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wavecrest.llm._filter import chosen, dealt, filter_bits, id_slot
 from wavecrest.llm._scratch import Scratch
 from wavecrest.llm._text import STEP, as_bytes, mix, slices
-from wavecrest.llm.neardup import NEED_BITS, filter_bits
 from wavecrest.llm.suffixes import equal_windows
 
 KGRAM = 128
 BUCKET_BYTES = 3 << 20
 HOT = 3000
-#: A key of this many rows is joined in one part.
-PART_ROWS = 1 << 17
 #: Texts are looked at in pieces of so many window starts; a place fits into 20 bits.
 PIECE = 1 << 19
 
@@ -127,10 +125,9 @@ def _runs(batches: Iterator[pa.RecordBatch], length: int, most: int = PIECE) ->
 
 def _pack(batches: Iterator[pa.RecordBatch], needed) -> Iterator[pa.RecordBatch]:
     """Size and digest of every text, and the compressed text where it may be needed."""
-    bits, press = needed.value, zstandard.ZstdCompressor(level=1)
+    press = zstandard.ZstdCompressor(level=1)
     for part in slices(batches, "text"):
-        slot = part.column(2).to_numpy()
-        wanted = (bits[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1
+        wanted = chosen(part.column(2).to_numpy(), needed.value)
         texts = as_bytes(part.column(3))
         yield pa.RecordBatch.from_pydict({
             "row": part.column(0),
@@ -238,13 +235,8 @@ def _apply(batches: Iterator[pa.RecordBatch], with_text: bool) -> Iterator[pa.Re
 
 
 def repeated(rows: DataFrame, keys: list[str], scratch: Scratch) -> DataFrame:
-    """Those of the written rows (with the column row) whose keys another row has too.
-
-    A key that a third of all rows hold is counted, and joined back, in so many parts, dealt by row,
-    that each has about PART_ROWS rows at most; a key has no more parts than rows.
-    """
-    parts = max(64, -(-rows.count() // PART_ROWS))
-    rows = rows.withColumn("part__", F.pmod(F.xxhash64("row", F.lit(5)), F.lit(parts)))
+    """Those of the written rows (with the column row) whose keys another row has too; a hot key is counted, and joined back, in parts."""
+    rows = dealt(rows)
     by_part = scratch.cut(rows.groupBy(*keys, "part__").agg(F.count("*").alias("n__")), "parts")
     again = by_part.groupBy(*keys).agg(F.sum("n__").alias("n__")).where("n__ > 1").select(*keys)
     again = scratch.cut(by_part.join(again, keys).select(*keys, "part__"), "again")
@@ -271,8 +263,7 @@ def remove_substrings(docs: DataFrame, length: int = 400, with_text: bool = Fals
     equal_runs = repeated(suspects, ["h", "r1", "r2"], scratch).select("row", *places(F.col("place")))
 
     needed = spark.sparkContext.broadcast(filter_bits(suspects.select(F.col("row").alias("id"))))
-    slot = F.pmod(F.xxhash64(F.col("row")), F.lit(NEED_BITS))
-    texts = base.select("row", "doc_id", slot.alias("slot"), "text").mapInArrow(lambda b: _pack(b, needed), "row long, doc_id long, n_bytes long, sha string, packed binary")
+    texts = base.select("row", "doc_id", id_slot(F.col("row")).alias("slot"), "text").mapInArrow(lambda b: _pack(b, needed), "row long, doc_id long, n_bytes long, sha string, packed binary")
     texts = scratch.cut(texts, "texts")
 
     mixed = classes.where("mixed").select("h", "row", "place", "n")
