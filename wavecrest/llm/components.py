@@ -36,3 +36,14 @@ def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         before = after
     stars = now.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return stars.unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component"))).distinct()
+
+
+def extended(found: DataFrame, more: DataFrame, scratch: Scratch) -> DataFrame:
+    """(node, component) after links (a, b) were added to those that gave found; only components that a new link touches are gone through again."""
+    ends = more.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    known = scratch.cut(ends.join(found, "node", "left").select("node", F.coalesce("component", "node").alias("component"), F.col("component").isNull().alias("new")), "ends")
+    side = lambda c: known.select(F.col("node").alias(c), F.col("component").alias(f"c_{c}"))
+    edges = more.join(side("a"), "a").join(side("b"), "b").select(F.col("c_a").alias("a"), F.col("c_b").alias("b"))
+    renamed = connected_components(edges, scratch).select(F.col("node").alias("component"), F.col("component").alias("now"))
+    every = found.unionByName(known.where("new").drop("new"))
+    return scratch.cut(every.join(renamed, "component", "left").select("node", F.coalesce("now", "component").alias("component")), "components")

@@ -49,7 +49,7 @@ from pyspark.sql import functions as F
 from wavecrest.llm._filter import chosen, filter_bits, id_slot
 from wavecrest.llm._scratch import Scratch, readable
 from wavecrest.llm._text import WordHashes, as_bytes, mix, shingle_hashes, slices
-from wavecrest.llm.components import connected_components
+from wavecrest.llm.components import connected_components, extended
 
 LOG_BASE = 0.08
 #: Exponential values above this are truncated to register 0, those below TOP * e^(-254 * LOG_BASE) to 254.
@@ -352,8 +352,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
         chance = F.xxhash64("key", "rep")
         second = rest.groupBy("key").agg(F.min_by(F.struct("rep", "comp"), chance).alias("second"))
         asked = rest.join(second, "key").where("comp <> second.comp").select(F.least("rep", "second.rep").alias("a"), F.greatest("rep", "second.rep").alias("b")).distinct()
-        links = links.unionByName(verified(estimated(asked), packed, scratch, width, percent))
-        found = scratch.cut(connected_components(links, scratch), "components")
+        found = extended(found, verified(estimated(asked), packed, scratch, width, percent), scratch)
 
         rest = still_open(label(rest.drop("comp"), found)).join(reps.join(packed.withColumnRenamed("id", "rep"), "rep"), "rep")
         rest = scratch.cut(rest, "open-classes")
@@ -369,7 +368,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
         more = rest.repartition("key", "own").sortWithinPartitions("key", "own").mapInArrow(lambda b: _across(b, width, percent, rows, folder), "a long, b long").distinct()
         more = scratch.cut(more, "more")
         if not more.isEmpty():
-            found = scratch.cut(connected_components(links.unionByName(more), scratch), "components")
+            found = extended(found, more, scratch)
 
     per_doc = owned.join(found, F.col("rep") == F.col("node"), "left").groupBy("doc_id").agg(F.min(F.coalesce("component", "rep")).alias("component"))
     out = signed.select(F.col("doc_id"), F.col("n").alias("n_shingles")).join(per_doc.withColumnRenamed("doc_id", "id__"), F.col("doc_id") == F.col("id__"), "left")
