@@ -321,12 +321,33 @@ def test_top_k_ties_and_bad_vectors(spark):
 
     fine = [(i, [math.floor(1024 * x) for x in v]) for i, v in vectors if i is not None and v and all(x is not None and math.isfinite(x) for x in v)]
     want = defaultdict(list)
-    for q, a in {(q, tuple(a)) for q, a in fine if q % 100 == 0}:
+    for q, a in [(q, tuple(a)) for q, a in fine if q % 100 == 0]:
         want[q] += [(-sum(x * y for x, y in zip(a, b, strict=True)), i) for i, b in fine if i != q and len(a) == len(b)]
     expected = sorted((q, r + 1, i, -s) for q, found in want.items() for r, (s, i) in enumerate(sorted(found)[:5]))
     assert got == expected
 
 
+def test_top_k_repeated_rows_against_sql(spark, tmp_path, monkeypatch):
+    """Equal rows, rows that share an id, one vector that many ids hold, in several blocks of queries."""
+    import random
+
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    monkeypatch.setattr(topk, "QUERY_BLOCK", 2)
+    rng = random.Random(8)
+    rows = [(i, [rng.choice([-0.5, 0.25, 0.75]) for _ in range(8)]) for i in range(0, 420, 7)]
+    rows += [(100, [0.5] * 8)] * 3 + [(100, [0.25] * 8), (200, [0.5] * 8), (0, rows[0][1])] + [(1000 + i, [0.5] * 8) for i in range(60)] + [(700, None), (800, [0.1, None])]
+    path = str(tmp_path / "embeddings.parquet")
+    pq.write_table(pa.table({"vec_id": [r[0] for r in rows], "embedding": pa.array([r[1] for r in rows], pa.list_(pa.float32()))}), path)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{path}')")
+    got = con.execute(topk.OP7_SQL)
+    names = [d[0] for d in got.description]
+    want = sorted(tuple(r[names.index(c)] for c in ("query_id", "rank", "vec_id", "score")) for r in got.fetchall())
+    assert sorted(map(tuple, topk.op7_top_k(spark, f"file://{tmp_path}").collect())) == want and want
+
+
 def test_top_k_large_values(spark):
     vectors = [(i, [(-1.0) ** i * 2.0**13 * (i + d) for d in range(4)]) for i in range(60)]
     df = spark.createDataFrame(vectors, "vec_id long, embedding array<double>")

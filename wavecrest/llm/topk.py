@@ -1,21 +1,23 @@
 """Exact top-k by inner product with no-random-access aggregation, operator 7.
 
 Components x become the integers floor(scale * x). The queries are a stated set of
-rows, taken in blocks of at most QUERY_BLOCK, each block broadcast to one scan of all
-rows; vectors never shuffle. A task packs its rows into blocks of VECTOR_BLOCK, sorts
-each dimension once, and for every query reads the sorted lists from their best end,
+rows. They are written to the shared folder in blocks of at most about QUERY_BLOCK, which
+tasks read one at a time, so neither the driver nor a broadcast holds them, however many
+they are; vectors are scanned once and never shuffle. A task takes its rows in packs of
+PACK_ROWS at most, sorts each dimension of a pack once, and for every query reads the sorted
+lists from their best end,
 each list further in every round. What was read adds to a row's score; what was not
 is bounded from above by the last value read from that list and from below by the
 list's worst value. Reading stops when all rows but a few have upper bounds below the
-k-th best lower bound, or below the k-th score of blocks already done; the scores of
-the few are then resolved. Only a task's k best of each query leave it, and Spark's
-window limit merges them.
+k-th best lower bound, or below the k-th score of the pack's blocks already done; the scores of
+the few are then resolved. Only a pack's k best of each query leave it, and Spark's
+window limit merges them. All rows meet all queries, so work grows with their product.
 
 Defined cases: vectors that are null, empty, or hold a null or non-finite component
 take no part, nor do rows with a null id. Only vectors as long as the query are its
 candidates. A query's own row is any with its id. Ties go to the smaller id. Scores
-are exact while they stay below 2^62. Candidate rows that repeat an id
-count each; query rows that repeat an id with other vectors share one ranking.
+are exact while they stay below 2^62. Rows that repeat an id count each, as candidates and
+as queries: query rows of one id share one ranking, in which a candidate stands once for each of them.
 """
 
 from __future__ import annotations
@@ -24,11 +26,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-QUERY_BLOCK = 4096
+from wavecrest.llm._scratch import Scratch, readable
+
+QUERY_BLOCK = 1024
 VECTOR_BLOCK = 1024
+#: Rows whose sorted lists a task holds at a time, some 2.5 kB each at 64 dimensions.
+PACK_ROWS = 1 << 15
 #: The lists are read this far, as shares of their length, before bounds are looked at again.
 ROUNDS = (1 / 4, 1 / 2, 3 / 4)
 
@@ -44,9 +52,8 @@ class SortedLists:
         most = float(np.abs(rows.astype(float)).max(initial=0))
         self.kind = np.float64 if most < 2**20 and most * most * rows.shape[1] < 2**52 else np.int64
         self.ids, self.rows = ids, rows.astype(self.kind)
-        rising = np.argsort(rows, axis=0, kind="stable").T
-        self.orders = np.stack([rising, rising[:, ::-1]])
-        self.sorted = np.stack([np.take_along_axis(self.rows.T, o, axis=1) for o in self.orders])
+        self.rising = np.argsort(rows, axis=0, kind="stable").T.astype(np.int32)
+        self.sorted = np.take_along_axis(self.rows.T, self.rising, axis=1)
 
     def best(self, query_id: int, query: np.ndarray, k: int, floor: int | None) -> tuple[np.ndarray, np.ndarray]:
         """Ids and scores of rows that may be among the k best; floor: a score that k other rows reach already."""
@@ -54,7 +61,7 @@ class SortedLists:
         query = query.astype(self.kind)
         used = np.flatnonzero(query)
         way, weight = (query[used] > 0).astype(int), query[used]
-        worst = self.sorted[1 - way, used, 0] * weight
+        worst = self.sorted[used, np.where(way == 1, 0, n - 1)] * weight
         alive = np.flatnonzero(self.ids != query_id)
         got, seen = np.zeros(n, self.kind), np.zeros((n, len(used)), self.kind)
         read = 0
@@ -62,8 +69,11 @@ class SortedLists:
             if len(alive) <= 4 * k or not len(used):
                 break
             upto = min(n, max(read + 1, int(n * share)))
-            at = self.orders[way, used, read:upto]
-            added = self.sorted[way, used, read:upto] * weight[:, None]
+            # positive weights read the list from its end
+            place = np.arange(read, upto)
+            place = np.where(way[:, None] == 1, n - 1 - place, place)
+            at = self.rising[used[:, None], place]
+            added = self.sorted[used[:, None], place] * weight[:, None]
             if self.kind is np.float64:
                 got += np.bincount(at.ravel(), added.ravel(), n)
             else:
@@ -98,28 +108,49 @@ def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[int, tuple[np.n
             yield {int(m): (ids[lengths == m], flat[begins[:-1][lengths == m][:, None] + np.arange(m)]) for m in np.unique(lengths)}
 
 
-def _search(batches: Iterator[pa.RecordBatch], queries, k: int) -> Iterator[pa.RecordBatch]:
-    asked: dict[int, tuple[np.ndarray, np.ndarray]] = queries.value
-    held: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
+def _packs(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[int, list[SortedLists]]]:
+    """Sorted lists of at most about PACK_ROWS rows, by vector length."""
+    held: dict[int, list[SortedLists]] = {}
+    size = 0
     for blocks in _vectors(batches):
         for m, (ids, rows) in blocks.items():
-            if m not in asked:
-                continue
-            lists = SortedLists(ids, rows)
-            for at, (query_id, query) in enumerate(zip(*asked[m], strict=True)):
-                old = held.get((m, at))
-                floor = int(old[1][-1]) if old is not None and len(old[1]) == k else None
-                new_ids, new_scores = lists.best(query_id, query, k, floor)
-                if old is not None:
-                    new_ids, new_scores = np.concatenate([old[0], new_ids]), np.concatenate([old[1], new_scores])
-                held[m, at] = _top(new_ids, new_scores, k)
-    rows: list[list[np.ndarray]] = [[], [], []]
-    for (m, at), (ids, scores) in held.items():
-        rows[0].append(np.full(len(ids), asked[m][0][at], np.int64))
-        rows[1].append(ids)
-        rows[2].append(scores)
+            held.setdefault(m, []).append(SortedLists(ids, rows))
+            size += len(ids)
+        if size >= PACK_ROWS:
+            yield held
+            held, size = {}, 0
     if held:
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(r).astype(np.int64)) for r in rows], names=["query_id", "vec_id", "score"])
+        yield held
+
+
+def _asked(folder: str, blocks: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]]:
+    """(ids, vector lengths, times, vectors) of one block of queries after another, from the shared folder."""
+    store, base = pafs.FileSystem.from_uri(folder)
+    for block in range(blocks):
+        files = store.get_file_info(pafs.FileSelector(f"{base}/block={block}", allow_not_found=True))
+        for path in sorted(f.path for f in files if f.path.endswith(".parquet")):
+            with store.open_input_file(path) as file:
+                table = pq.ParquetFile(file).read(["vec_id", "times", "row"]).combine_chunks()
+            vectors = table.column("row").combine_chunks()
+            edges = vectors.offsets.to_numpy()
+            flat = vectors.values.to_numpy()
+            yield table.column("vec_id").to_numpy(), np.diff(edges), table.column("times").to_numpy(), [flat[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True)]
+
+
+def _search(batches: Iterator[pa.RecordBatch], folder: str, blocks: int, k: int) -> Iterator[pa.RecordBatch]:
+    for pack in _packs(batches):
+        for query_ids, lengths, times, vectors in _asked(folder, blocks):
+            out: list[list[np.ndarray]] = [[], [], [], []]
+            for query_id, m, n, query in zip(query_ids.tolist(), lengths.tolist(), times.tolist(), vectors, strict=True):
+                ids, scores = np.empty(0, np.int64), np.empty(0, np.int64)
+                for lists in pack.get(m, ()):
+                    more_ids, more_scores = lists.best(query_id, query, k, int(scores[-1]) if len(scores) == k else None)
+                    ids, scores = _top(np.concatenate([ids, more_ids]), np.concatenate([scores, more_scores]), k)
+                for column, values in zip(out, (np.full(len(ids), query_id), ids, scores, np.full(len(ids), n)), strict=True):
+                    column.append(values)
+            columns = [pa.array(np.concatenate(c).astype(np.int64)) for c in out]
+            if len(columns[0]):
+                yield pa.RecordBatch.from_arrays(columns, names=["query_id", "vec_id", "score", "times"])
 
 
 def scaled(vectors: DataFrame, scale: int, id_col: str, vector_col: str) -> DataFrame:
@@ -132,32 +163,22 @@ def scaled(vectors: DataFrame, scale: int, id_col: str, vector_col: str) -> Data
 def top_k(vectors: DataFrame, is_query: Column, k: int = 10, scale: int = 1024, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k best other rows."""
     spark = vectors.sparkSession
+    scratch = Scratch(spark, "topk")
     rows = scaled(vectors, scale, id_col, vector_col)
-    asked = scaled(vectors.where(is_query), scale, id_col, vector_col).distinct()
-    blocks = max(1, -(-2 * asked.count() // QUERY_BLOCK))
-    found = None
-    for b in range(blocks):
-        block = asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b) if blocks > 1 else asked
-        table = block.toArrow().sort_by("vec_id").combine_chunks()
-        by_length = next(_vectors_all(table), {})
-        sent = spark.sparkContext.broadcast(by_length)
-        part = rows.mapInArrow(lambda it, sent=sent: _search(it, sent, k), "query_id long, vec_id long, score long")
-        found = part if found is None else found.unionByName(part)
+    # equal query rows are asked once
+    asked = scaled(vectors.where(is_query), scale, id_col, vector_col).groupBy("vec_id", "row").agg(F.least(F.count("*"), F.lit(k)).alias("times"))
+    asked = scratch.cut(asked, "queries")
+    blocks = max(1, -(-asked.count() // QUERY_BLOCK))
+    folder = scratch.path("blocks")
+    asked.withColumn("block", F.pmod(F.xxhash64("vec_id", "row"), F.lit(blocks))).repartition("block").write.partitionBy("block").parquet(folder)
+    folder = readable(spark, folder)
+    found = rows.mapInArrow(lambda it: _search(it, folder, blocks, k), "query_id long, vec_id long, score long, times long")
+    found = found.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))))
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")
 
 
-def _vectors_all(table: pa.Table) -> Iterator[dict[int, tuple[np.ndarray, np.ndarray]]]:
-    """The block's queries by vector length."""
-    out: dict[int, list] = {}
-    for batch in table.to_batches():
-        for blocks in _vectors(iter([batch])):
-            for m, (ids, rows) in blocks.items():
-                out.setdefault(m, []).append((ids, rows))
-    yield {m: tuple(np.concatenate(x) for x in zip(*parts, strict=True)) for m, parts in out.items()}
-
-
 def op7_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 100 == 0)
 
