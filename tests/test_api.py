@@ -48,3 +48,30 @@ def test_own_banks(spark, tmp_path):
     assert one == two and one != plain
     with pytest.raises(ValueError, match="crf_w"):
         embedding.embed(df, banks={k: v for k, v in own.items() if k != "crf_w"})
+
+
+def test_any_lengths_and_channels_without_dictionary(spark):
+    rng = np.random.RandomState(9)
+    rows = [(i, (np.sin(np.arange(n) * (0.2 if i % 2 else 0.9)) + 0.1 * rng.randn(n)).tolist(), "ab"[i % 2]) for i, n in enumerate(rng.randint(40, 200, 60))]
+    schema = "series_id long, x array<double>, label string"
+    df = spark.createDataFrame([*rows, (900, rows[0][1], None), (901, None, "a"), (902, [], "b")], schema)
+    model = SeriesClassifier(SeriesFeatures(words=0)).fit(df.where("series_id <> 901 AND series_id <> 902"))
+    assert len(model.head.mean) == 760 and model.score(spark.createDataFrame(rows, schema)) > 0.95
+    assert model.score(df) == pytest.approx(model.score(spark.createDataFrame(rows, schema)) * 60 / 62)
+    assert model.predict(df).count() == 61
+    channels = df.selectExpr("series_id", "array(x, x) AS x", "label").where("size(x[0]) > 0")
+    double = SeriesClassifier(SeriesFeatures(words=0, pooling="pruned", expand=False)).fit(channels)
+    assert double.score(channels) > 0.9
+    with pytest.raises(Exception, match="need one length"):
+        SeriesClassifier().fit(df)
+
+
+def test_entry_without_a_package_of_the_optional_part():
+    """A package that only the training-data part needs may be missing."""
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    code = "import sys; sys.modules['xxhash'] = None; import __spark_entry__ as e; q = e.queries(); print(len(q), any(n.startswith('op') for n in q), len(e.oracle_sql()))"
+    got = subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).parents[1], capture_output=True, text=True, check=True).stdout.split()
+    assert int(got[0]) > 130 and got[1] == "False" and int(got[2]) > 100

@@ -283,3 +283,108 @@ def test_stream_windows_match_batch(spark, tmp_path):
             want[user, w] = families.phi(((x - x.mean()) / (x.std() + 1e-8))[None], ["stats", "turning"])[0]
     assert set(got) == set(want) and want
     assert all(np.allclose(got[k], want[k]) for k in want)
+
+
+# lengths, labels and memory bounds
+
+
+@pytest.mark.parametrize("lengths", [(3, 5), (5, 3), (1, 7), (4, 4, 4, 8)])
+def test_ragged_series_are_errors_where_one_length_is_needed(spark, lengths):
+    """Also where the lengths' sum divides by the number of series."""
+    df = spark.createDataFrame([(i, [float(i)] * n) for i, n in enumerate(lengths)], "series_id long, x array<double>").coalesce(1)
+    calls = (
+        lambda: fourspace.over_series(df, lambda x: x).collect(),
+        lambda: heads.fit_scaler(df),
+        lambda: battery.with_battery(df, "x").collect(),
+        lambda: heads.predict(df, heads.Ridge(1.0, np.zeros(3), np.zeros(1), np.zeros((3, 1))), "x").collect(),
+        lambda: dictionary.fit(df),
+    )
+    for call in calls:
+        with pytest.raises(Exception, match=f"series of {min(lengths)} and of {max(lengths)} values"):
+            call()
+
+
+def test_null_series(spark):
+    df = spark.createDataFrame([(1, [1.0, 2.0]), (2, None)], "series_id long, x array<double>").coalesce(1)
+    assert fourspace.over_series(df, lambda x: x).count() == 1
+    with pytest.raises(Exception, match="1 of 2 series are null"):
+        heads.fit_scaler(df)
+
+
+def test_null_labels_teach_nothing(spark):
+    rng = np.random.RandomState(4)
+    rows = [(i, rng.randn(5).tolist(), int(i % 2)) for i in range(40)]
+    blank = [(100 + i, (rng.randn(5) + 50).tolist(), None) for i in range(40)]
+    schema = "series_id long, x array<double>, label int"
+    some, every = spark.createDataFrame(rows, schema), spark.createDataFrame(rows + blank, schema)
+    codes = heads.label_codes(every)
+    one, two = (heads.ridge_at(heads.encode(df, codes), 2, 1.0, "x") for df in (some, every))
+    assert abs(two.target_mean[0]) < 1e-12 and np.allclose(one.weights, two.weights) and np.allclose(one.mean, two.mean)
+    cv = [heads.ridge_cv(heads.encode(df, codes), 2, features="x") for df in (some, every)]
+    assert np.allclose(cv[0][0].weights, cv[1][0].weights) and cv[0][1] == pytest.approx(cv[1][1])
+    assert heads.classify(some, some, "x").first() == heads.classify(every, every, "x").first()
+
+
+def test_embedding_keeps_its_window_bound(spark, monkeypatch):
+    """Many short series, one long one among them, and channels: no block beyond twice the bound, and the same numbers."""
+    rng = np.random.RandomState(7)
+    sizes = [64] * 30 + [3000] + [200] * 20 + [64]
+    x = [rng.randn(n).cumsum().tolist() for n in sizes]
+    df = spark.createDataFrame(list(enumerate(x)), "series_id long, x array<double>").coalesce(1)
+    want = {r.series_id: r.embedding for r in embedding.embed(df).collect()}
+    seen = []
+
+    def local(rows, column_type, column):
+        """The same Arrow function without Spark's workers."""
+        import pyarrow as pa
+
+        batch = pa.RecordBatch.from_pydict({"series_id": list(range(len(column))), "x": pa.array(column, column_type)})
+        held = {}
+        original = type(rows).mapInArrow
+        try:
+            type(rows).mapInArrow = lambda self, work, schema: held.setdefault("work", work)
+            embedding.embed(rows)
+        finally:
+            type(rows).mapInArrow = original
+        return [r for b in held["work"](iter([batch])) for r in b.to_pylist()]
+
+    import pyarrow as pa
+
+    plain = embedding.phi
+    monkeypatch.setattr(embedding, "BLOCK_WINDOWS", 40)
+    monkeypatch.setattr(embedding, "phi", lambda w, *a: seen.append(len(w)) or plain(w, *a))
+    for row in local(df, pa.list_(pa.float64()), x):
+        assert np.allclose(row["embedding"], want[row["series_id"]], atol=1e-9)
+    assert max(seen) <= 80 and sum(seen) == sum(len(embedding.starts(np.array(v))[1]) for v in x)
+
+
+def test_embedding_of_ten_million_values(spark):
+    """One series of 10 million values, pooled in pieces, against its pieces' windows."""
+    x = np.sin(np.arange(10_000_000) / 50) + np.arange(10_000_000) % 7
+    at = embedding.starts(x)[1]
+    names = ["curvature"]
+    pooled = embedding._pool_in_pieces([(x, at)], names, {"curvature": ("mean", "std", "max")}, None)[0]
+    sums, squares, top = np.zeros(3), np.zeros(3), np.full(3, -np.inf)
+    for k in range(0, len(at), 50_000):
+        f = families.phi(x[at[k : k + 50_000, None] + np.arange(64)], names)
+        sums, squares, top = sums + f.sum(0), squares + (f * f).sum(0), np.maximum(top, f.max(0))
+    mean = sums / len(at)
+    assert np.allclose(pooled[:3], mean) and np.allclose(pooled[3:6], np.sqrt(np.maximum(squares / len(at) - mean**2, 0)), atol=1e-5) and np.allclose(pooled[6:], top)
+
+
+def test_minirocket_uses_a_series_for_each_kernel_and_dilation(spark):
+    x = np.random.RandomState(3).randn(700, 64)
+    model = dictionary.fit_arrays(x)
+    for number, (d, n) in enumerate(zip(model.dilations, model.share, strict=True)):
+        for k in (0, 83):
+            r = families.dilated(x[[(k + 84 * number) % 700]], dictionary.kernels()[[k]], int(d))[0, :, 0]
+            assert r.min() <= model.biases[number][k].min() and model.biases[number][k].max() <= r.max()
+    assert dictionary.fit_arrays(x[:5]).width == 1512
+
+
+def test_pairs_at_once(spark):
+    df = spark.createDataFrame([(d, m, round(((d * 7 + k * 13) % 11) / 10, 1)) for d in range(20) for k, m in enumerate("abc")] + [(99, "a", None), (99, "b", 0.5)], "dataset long, method string, accuracy double")
+    for r in evaluation.pair_table(df, [("a", "b"), ("b", "c"), ("a", "c")]).collect():
+        alone = evaluation.wilcoxon(df, r.a, r.b)
+        assert (r.wins, r.ties, r.losses, r.n, r.w_plus, r.w_minus) == tuple(alone[k] for k in ("wins", "ties", "losses", "n", "w_plus", "w_minus"))
+        assert r.mean_difference == pytest.approx(alone["mean_difference"])

@@ -1,4 +1,7 @@
-"""Fit, transform, predict and score on frames of (series_id, x, label), for equal-length series.
+"""Fit, transform, predict and score on frames of (series_id, x, label).
+
+The dictionary needs series of one length, and says so otherwise. Without it (words=0) series may have any
+lengths, or be arrays of channels. Rows without a label neither teach nor count.
 
     model = SeriesClassifier().fit(train)
     model.score(test)
@@ -21,10 +24,11 @@ from wavecrest.functions.banks import load_banks
 from wavecrest.operators import battery, dictionary, embedding, fourspace, heads
 
 
-def from_matrix(spark: SparkSession, x: np.ndarray, labels: Sequence | None = None) -> DataFrame:
-    """A frame of the rows of a matrix, for small inputs at hand; (n, 1, T) arrays lose their channel axis."""
+def from_matrix(spark: SparkSession, x: np.ndarray, labels: Sequence | None = None, scrub: bool = False) -> DataFrame:
+    """A frame of the rows of a matrix, for small inputs at hand; (n, 1, T) arrays lose their channel axis. scrub: NaN and infinities as finite numbers."""
     x = np.asarray(x, float)
     x = x[:, 0] if x.ndim == 3 else x
+    x = np.nan_to_num(x) if scrub else x
     rows = [(i, row.tolist(), None if labels is None else labels[i]) for i, row in enumerate(x)]
     kind = "string" if labels is not None and any(isinstance(v, str) for v in labels) else "int"
     return spark.createDataFrame([(i, v, t if t is None or kind == "string" else int(t)) for i, v, t in rows], f"series_id long, x array<double>, label {kind}")
@@ -50,12 +54,15 @@ class SeriesFeatures:
         """(keep, values); empty series give no row."""
         if self.scaler is None:
             raise ValueError("fit comes first")
+        if not self.rocket:
+            embedded = embedding.embed(rows, self.pooling, column, keep=[k for k in keep if k != "series_id"], banks=self.banks).where("embedding IS NOT NULL")
+            z = heads.scaled(embedded, self.scaler, "embedding", "values", keep)
+            return battery.with_battery(z, "values", output="values", keep=keep, append=True) if self.expand else z
         rocket, scaler, pooling, expand, banks = self.rocket, self.scaler, self.pooling, self.expand, load_banks(self.banks)
 
         def make(x: np.ndarray) -> np.ndarray:
             z = scaler.apply(embedding.embed_matrix(x, pooling, banks))
-            parts = [np.nan_to_num(rocket.features(x))] if rocket else []
-            return np.concatenate([*parts, z, *([battery.battery(z)] if expand else [])], axis=1)
+            return np.concatenate([np.nan_to_num(rocket.features(x)), z, *([battery.battery(z)] if expand else [])], axis=1)
 
         return fourspace.over_series(rows, make, column, keep, rows=64)
 
@@ -68,13 +75,16 @@ class SeriesClassifier:
     errors: dict[float, float] | None = field(default=None, repr=False)
 
     def fit(self, train: DataFrame) -> SeriesClassifier:
-        self.codes = heads.label_codes(train).persist()
+        train = train.where(F.col("label").isNotNull())
+        self.codes = heads.collected(heads.label_codes(train))
         self.features.fit(train)
         made = self.features.transform(train, keep=("series_id", "label")).persist()
-        self.scaler = heads.fit_scaler(made, "values")
-        ready = heads.scaled(heads.encode(made, self.codes), self.scaler, "values", "z", ("series_id", "code"), scrub=True)
-        self.head, self.errors = heads.ridge_cv(ready, self.codes.count(), self.alphas)
-        made.unpersist()
+        try:
+            self.scaler = heads.fit_scaler(made, "values")
+            ready = heads.scaled(heads.encode(made, self.codes), self.scaler, "values", "z", ("series_id", "code"), scrub=True)
+            self.head, self.errors = heads.ridge_cv(ready, self.codes.count(), self.alphas)
+        finally:
+            made.unpersist()
         return self
 
     def predict(self, rows: DataFrame) -> DataFrame:
@@ -86,6 +96,6 @@ class SeriesClassifier:
         return heads.predict(ready, self.head).join(names, "prediction").select("series_id", "predicted")
 
     def score(self, rows: DataFrame) -> float:
-        """Share of right predictions; labels that training never had count as wrong."""
-        joined = rows.select("series_id", "label").join(self.predict(rows), "series_id")
+        """Share of right predictions; labels that training never had count as wrong, as do series without values."""
+        joined = rows.where(F.col("label").isNotNull()).select("series_id", "label").join(self.predict(rows), "series_id", "left")
         return joined.agg(F.avg(F.coalesce(F.col("label") == F.col("predicted"), F.lit(False)).cast("double"))).first()[0]

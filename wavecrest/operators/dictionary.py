@@ -2,8 +2,9 @@
 2 (three of them), log-spaced dilations, biases from quantiles of training
 convolutions, and the proportion of positive values as the only pooling.
 
-Fitting draws its training series by a hash of their key, one for each kernel and
-dilation at most, so what the driver collects has a fixed bound.
+Fitting draws one training series for each kernel and dilation, in the order of a digest
+of their keys (again from the first where there are fewer), so what the driver collects is
+bounded by the kernels, at most 84 * 32 series.
 """
 
 from __future__ import annotations
@@ -15,13 +16,11 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wavecrest.operators.families import dilated
+from wavecrest.operators.families import dilated, matrix
 from wavecrest.operators.fourspace import over_series
 
 TAPS = 9
 TRIPLES = np.array(list(combinations(range(TAPS), 3)))
-#: Training series that biases are taken from.
-BIAS_SERIES = 512
 
 
 def kernels() -> np.ndarray:
@@ -76,9 +75,9 @@ def fit_arrays(x: np.ndarray, features: int = 1512) -> MiniRocket:
     w = kernels()
     dilations, share = dilations_for(x.shape[1], max(1, features // len(w)))
     level, at, biases = golden(len(w) * int(share.sum())), 0, []
-    for d, n in zip(dilations, share, strict=True):
+    for number, (d, n) in enumerate(zip(dilations, share, strict=True)):
         bias = np.empty((len(w), n))
-        pick = (np.arange(len(w)) + 7 * int(d)) % len(x)
+        pick = (np.arange(len(w)) + len(w) * number) % len(x)
         r = dilated(x[pick], w, int(d))[np.arange(len(w)), :, np.arange(len(w))]
         for k in range(len(w)):
             bias[k] = np.quantile(r[k], level[at : at + n])
@@ -88,8 +87,13 @@ def fit_arrays(x: np.ndarray, features: int = 1512) -> MiniRocket:
 
 
 def fit(series: DataFrame, features: int = 1512, column: str = "x", key: str = "series_id") -> MiniRocket:
-    rows = series.where(F.size(column) > 0).orderBy(F.xxhash64(key), key).limit(BIAS_SERIES).select(column).toArrow()
-    return fit_arrays(np.array(rows.column(0).to_pylist(), float), features)
+    known = series.where(F.size(column) > 0)
+    length = known.select(F.size(column)).first()
+    if length is None:
+        raise ValueError("there are no series to fit on")
+    needed = len(TRIPLES) * len(dilations_for(length[0], max(1, features // len(TRIPLES)))[0])
+    rows = known.orderBy(F.md5(F.col(key).cast("string")), key).limit(needed).select(F.col(column).cast("array<double>").alias(column)).toArrow()
+    return fit_arrays(matrix(rows.column(0).combine_chunks()), features)
 
 
 def apply(series: DataFrame, model: MiniRocket, column: str = "x", keep: tuple[str, ...] = ("series_id",)) -> DataFrame:

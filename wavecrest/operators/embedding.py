@@ -26,6 +26,8 @@ PRUNED = {
     "perm_entropy": ("max",), "curvature": ("mean",), "conv_position": ("max",), "ar_residual": ("mean", "max"), "ricker_wavelet": ("mean",), "hydra_compete": ("mean", "std"),
 }
 POOLINGS = {"full": None, "pruned": PRUNED}
+#: Windows after which a block of series is computed; a series with more is pooled in pieces of so many.
+BLOCK_WINDOWS = 4096
 
 
 def output_dim(pooling: str = "full") -> int:
@@ -49,13 +51,18 @@ def _znorm(values: np.ndarray) -> np.ndarray:
     return np.nan_to_num(z)
 
 
-def cut(values: np.ndarray, resample: bool = True) -> np.ndarray:
-    """The 64-sample windows of one channel."""
+def starts(values: np.ndarray, resample: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """One channel, lengthened to a window where it is shorter, and where its windows begin."""
     n = len(values)
     if n < SIZE:
         values = np.interp(np.arange(SIZE) * (n - 1) / (SIZE - 1), np.arange(n), values) if resample and n >= 2 else np.concatenate([np.full(SIZE - n, values[0]), values])
         n = SIZE
-    at = np.unique(np.append(np.arange(0, n - SIZE + 1, HOP), n - SIZE))
+    return values, np.unique(np.append(np.arange(0, n - SIZE + 1, HOP), n - SIZE))
+
+
+def cut(values: np.ndarray, resample: bool = True) -> np.ndarray:
+    """The 64-sample windows of one channel."""
+    values, at = starts(values, resample)
     return values[at[:, None] + np.arange(SIZE)]
 
 
@@ -63,7 +70,11 @@ def _pool(features: np.ndarray, counts: np.ndarray, names: Sequence[str], keep:
     starts = np.concatenate([[0], np.cumsum(counts)[:-1]])
     mean = np.add.reduceat(features, starts) / counts[:, None]
     spread = np.sqrt(np.add.reduceat((features - np.repeat(mean, counts, axis=0)) ** 2, starts) / counts[:, None])
-    by = {"mean": mean, "std": spread, "max": np.maximum.reduceat(features, starts)}
+    return _chosen({"mean": mean, "std": spread, "max": np.maximum.reduceat(features, starts)}, names, keep)
+
+
+def _chosen(by: dict[str, np.ndarray], names: Sequence[str], keep: dict | None) -> np.ndarray:
+    """The pooled columns in output order."""
     if keep is None:
         return np.concatenate([by[o] for o in OPERATIONS], axis=1)
     out, at = [], 0
@@ -73,6 +84,19 @@ def _pool(features: np.ndarray, counts: np.ndarray, names: Sequence[str], keep:
     return np.concatenate(out, axis=1)
 
 
+def _pool_in_pieces(channels: list[tuple[np.ndarray, np.ndarray]], names: Sequence[str], keep: dict | None, banks: dict[str, np.ndarray] | None) -> np.ndarray:
+    """The pooled row of one series with very many windows: BLOCK_WINDOWS of them at a time, their moments merged."""
+    n, mean, about, top = 0, 0.0, 0.0, -np.inf
+    for values, at in channels:
+        for k in range(0, len(at), BLOCK_WINDOWS):
+            part = phi(values[at[k : k + BLOCK_WINDOWS, None] + np.arange(SIZE)], names, banks)
+            m, own = len(part), part.mean(0)
+            off = own - mean
+            about = about + ((part - own) ** 2).sum(0) + off * off * (n * m / (n + m))
+            mean, n, top = mean + off * (m / (n + m)), n + m, np.maximum(top, part.max(0))
+    return _chosen({"mean": mean[None], "std": np.sqrt(about / n)[None], "max": top[None]}, names, keep)
+
+
 def embed_matrix(x: np.ndarray, pooling: str = "full", banks: dict[str, np.ndarray] | None = None, resample: bool = True) -> np.ndarray:
     """Embeddings of equal-length series, as rows."""
     names = list(WIDTHS) if pooling == "full" else [f for f in WIDTHS if f in PRUNED]
@@ -80,10 +104,6 @@ def embed_matrix(x: np.ndarray, pooling: str = "full", banks: dict[str, np.ndarr
     return _pool(phi(np.concatenate(cuts), names, banks or window_banks()), np.array([len(c) for c in cuts]), names, POOLINGS[pooling])
 
 
-#: Windows that one block of series may have; more series wait for the next block.
-BLOCK_WINDOWS = 4096
-
-
 def embed(series: DataFrame, pooling: str = "full", column: str = "x", key: str = "series_id", keep: Sequence[str] = (), resample: bool = True, partitions: int | None = None, banks: dict[str, np.ndarray] | str | None = None) -> DataFrame:
     """(key, keep columns, embedding). banks: own window banks, or an npz file of them. partitions: deal the series anew over so many tasks, where they lie in fewer than there are cores.
 
@@ -116,10 +136,16 @@ def embed(series: DataFrame, pooling: str = "full", column: str = "x", key: str
             for i in range(batch.num_rows):
                 cell = values[i]
                 channels = ([c.values for c in cell.values] if nested else [cell.values]) if cell.is_valid else []
-                own = [cut(_znorm(c.to_numpy(zero_copy_only=False)), resample) for c in channels if c is not None and len(c)]
-                counts.append(sum(map(len, own)))
-                held += own
-                if sum(map(len, held[-64:])) > BLOCK_WINDOWS or len(counts) >= 256:
+                own = [starts(_znorm(c.to_numpy(zero_copy_only=False)), resample) for c in channels if c is not None and len(c)]
+                size = sum(len(at) for _, at in own)
+                # a block and the next series together stay below twice BLOCK_WINDOWS
+                if size > BLOCK_WINDOWS:
+                    flush()
+                    done.append(_pool_in_pieces(own, names, chosen, banks))
+                    continue
+                counts.append(size)
+                held += [x[at[:, None] + np.arange(SIZE)] for x, at in own]
+                if sum(counts) > BLOCK_WINDOWS or len(counts) >= 256:
                     flush()
             flush()
             if done:

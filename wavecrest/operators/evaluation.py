@@ -9,9 +9,12 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wavecrest.operators import heads
+
 #: Studentized range quantiles at 0.05 over the root of 2, for 2 to 20 methods.
 Q_05 = (1.960, 2.343, 2.569, 2.728, 2.850, 2.949, 3.031, 3.102, 3.164, 3.219, 3.268, 3.313, 3.354, 3.391, 3.426, 3.458, 3.489, 3.517, 3.544)
 TIE = 1e-9
@@ -73,6 +76,30 @@ def wilcoxon(results: DataFrame, a: str, b: str) -> dict:
     return {"a": a, "b": b, "p": signed_rank_p(n=n, **sums), "w_plus": sums["w_plus"], "w_minus": sums["w_minus"], "nonzero": n} | counts
 
 
+def pair_table(results: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
+    """(a, b, mean_difference, wins, ties, losses, n, w_plus, w_minus, z) of many pairs of methods in one plan.
+
+    z is Wilcoxon's normal statistic, null below five pairs that differ. Datasets meet by shuffle, the list of pairs is
+    broadcast; equal sizes are counted first, so a pair's ranks are a running sum over its distinct differences.
+    """
+    known = results.where(F.col("accuracy").isNotNull()).select("dataset", "method", "accuracy")
+    names = results.sparkSession.createDataFrame(list(pairs), "a string, b string")
+    left = known.join(F.broadcast(names), F.col("method") == F.col("a")).select("dataset", "a", "b", F.col("accuracy").alias("x"))
+    d = left.join(known.select("dataset", F.col("method").alias("b"), F.col("accuracy").alias("y")), ["dataset", "b"]).select("a", "b", (F.col("x") - F.col("y")).alias("d"))
+    sizes = d.groupBy("a", "b", F.abs("d").alias("size")).agg(F.count("*").alias("t"), F.count(F.when(F.col("d") > 0, 1)).alias("up"), F.sum("d").alias("total"))
+    differ, t, up, nz = F.col("size") > 0, F.col("t"), F.col("up"), F.col("nz")
+    before = F.coalesce(F.sum(F.when(differ, t)).over(Window.partitionBy("a", "b").orderBy("size").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranked = sizes.withColumn("r", before + (t + 1) / F.lit(2.0))
+    of = lambda condition, value: F.coalesce(F.sum(F.when(condition, value)), F.lit(0))
+    sums = ranked.groupBy("a", "b").agg(
+        (F.sum("total") / F.sum("t")).alias("mean_difference"), of(F.col("size") > TIE, up).alias("wins"), of(F.col("size") <= TIE, t).alias("ties"), of(F.col("size") > TIE, t - up).alias("losses"), F.sum("t").alias("n"),
+        of(differ, up * F.col("r")).cast("double").alias("w_plus"), of(differ, (t - up) * F.col("r")).cast("double").alias("w_minus"), of(differ, t).alias("nz"), of(differ, t * t * t - t).alias("tied"),
+    )
+    spread = F.sqrt(nz * (nz + 1) * (2 * nz + 1) / F.lit(24.0) - F.col("tied") / F.lit(48.0))
+    z = (F.least("w_plus", "w_minus") - nz * (nz + 1) / F.lit(4.0)) / spread
+    return sums.withColumn("z", F.when((nz >= 5) & (spread > 0), z)).drop("nz", "tied")
+
+
 def complete(results: DataFrame, methods: Sequence[str] | None = None) -> DataFrame:
     """Rows of datasets that have an accuracy for all (given) methods. Methods are few, datasets may be many."""
     known = results.where(F.col("accuracy").isNotNull())
@@ -181,9 +208,40 @@ def combination_table(results: DataFrame, bases: Sequence[str], additions: Seque
 
 
 def effective_rank(rows: DataFrame, column: str = "x") -> DataFrame:
-    """Participation ratio of the covariance spectrum from the Gram matrix of centred columns, all in Spark."""
-    cells = rows.select("series_id", F.posexplode(column).alias("i", "v"))
-    centred = cells.join(cells.groupBy("i").agg(F.avg("v").alias("m")), "i").select("series_id", "i", (F.col("v") - F.col("m")).alias("v"))
-    other = centred.select("series_id", F.col("i").alias("j"), F.col("v").alias("u"))
-    gram = centred.join(other, "series_id").groupBy("i", "j").agg(F.sum(F.col("v") * F.col("u")).alias("g"))
-    return gram.agg((F.pow(F.sum(F.when(F.col("i") == F.col("j"), F.col("g"))), F.lit(2.0)) / F.sum(F.col("g") * F.col("g"))).alias("effective_rank"))
+    """Participation ratio of the covariance spectrum, from the Gram matrix of centred columns as partial sums over rows."""
+    width = rows.select(F.size(column)).first()[0]
+    n, mean = heads.block_sums(rows, (column,), lambda x: x.sum(0), width)
+    _, gram = heads.block_sums(rows, (column,), lambda x: (x - mean / n).T @ (x - mean / n), width * width)
+    gram = gram.reshape(width, width)
+    return rows.sparkSession.createDataFrame([(float(np.trace(gram) ** 2 / (gram * gram).sum()),)], "effective_rank double")
+
+
+def accuracy_table(results: DataFrame) -> DataFrame:
+    """(dataset, method, accuracy, best, shown): what is best in its dataset is marked, in text too."""
+    best = F.coalesce(F.col("accuracy") == F.max("accuracy").over(Window.partitionBy("dataset")), F.lit(False))
+    shown = F.when(F.col("accuracy").isNotNull(), F.concat(F.format_string("%.4f", "accuracy"), F.when(best, " *").otherwise("")))
+    return results.select("dataset", "method", "accuracy", best.alias("best"), shown.alias("shown"))
+
+
+def rank_summary(results: DataFrame) -> DataFrame:
+    """(method, mean_rank, std_rank, wins) of ordinal ranks, best mean rank first; every method counts in every dataset, a missing accuracy as worst."""
+    cells = results.select("dataset").distinct().crossJoin(F.broadcast(results.select("method").distinct()))  # methods are few
+    full = cells.join(results, ["dataset", "method"], "left")
+    marked = ordinal_ranks(full).withColumn("best", F.col("accuracy") == F.max("accuracy").over(Window.partitionBy("dataset")))
+    return marked.groupBy("method").agg(F.avg("rank").alias("mean_rank"), F.stddev_pop("rank").alias("std_rank"), F.count(F.when(F.col("best"), 1)).alias("wins")).orderBy("mean_rank", "method")
+
+
+def grouped_ranks(results: DataFrame, groups: dict[str, Sequence[str]]) -> DataFrame:
+    """(part, method, mean_rank, datasets, cd): ranks and critical difference within each named group of at least three methods."""
+    known = [r.method for r in results.select("method").distinct().toLocalIterator()]
+    out = None
+    for name, methods in groups.items():
+        chosen = [m for m in methods if m in known]
+        if len(chosen) < 3:
+            continue
+        mean = average_ranks(results, chosen).crossJoin(F.broadcast(critical_difference(results, chosen).select("cd")))
+        part = mean.select(F.lit(name).alias("part"), "method", "mean_rank", F.col("n").alias("datasets"), "cd")
+        out = part if out is None else out.unionByName(part)
+    if out is None:
+        raise ValueError("no group has three methods")
+    return out

@@ -251,9 +251,15 @@ def phi(windows: np.ndarray, names: Sequence[str] = tuple(WIDTHS), banks: dict[s
 
 
 def matrix(column: pa.Array) -> np.ndarray:
-    """A list column of equal lengths as a matrix."""
-    flat = column.flatten().to_numpy(zero_copy_only=False)
-    return flat.reshape(len(column), -1) if len(column) else np.empty((0, 0))
+    """A list column of equal lengths as a matrix; null elements are NaN. Null lists and unequal lengths are errors."""
+    if not len(column):
+        return np.empty((0, 0))
+    if column.null_count:
+        raise ValueError(f"{column.null_count} of {len(column)} series are null; leave them out first")
+    lengths = np.diff(column.offsets.to_numpy())
+    if lengths.min() != lengths.max():
+        raise ValueError(f"series of {lengths.min()} and of {lengths.max()} values meet where all need one length; resample or pad them first (prep), or use the embedding alone, which takes any lengths")
+    return column.flatten().to_numpy(zero_copy_only=False).astype(float, copy=False).reshape(len(column), -1)
 
 
 def vectors(values: np.ndarray) -> pa.Array:

@@ -32,11 +32,15 @@ class FourSpace:
     kernels: int = 500
     transforms: tuple[str, ...] = ("identity",)
     poolings: tuple[str, ...] = ("ppv", "max")
+    #: Features of a fitted dictionary (operators/dictionary.py) instead of all of these, 0 for none.
+    dictionary: int = 0
     seed: int = 42
     name: str = field(default="default", compare=False)
 
     @property
     def width(self) -> int:
+        if self.dictionary:
+            return self.dictionary // 84 * 84
         return self.windows + 2 * self.projections + self.nets + self.kernels * len(self.transforms) * len([p for p in self.poolings if p in POOLS])
 
 
@@ -123,6 +127,8 @@ def kernel_features(x: np.ndarray, weights: np.ndarray, dilations: np.ndarray, t
 
 
 def transform(x: np.ndarray, config: FourSpace) -> np.ndarray:
+    if config.dictionary:
+        raise ValueError("a dictionary is fitted on training series first: dictionary.fit and dictionary.apply")
     length, parts = x.shape[1], []
     if config.windows:
         parts.append(x @ gaussian_windows(length, config.windows, config.seed).T)
@@ -173,9 +179,12 @@ def _configurations() -> dict[str, FourSpace]:
         "full": rest | spaces["kernel"],
         "small": {"windows": 50, "projections": 3, "nets": 50, "kernels": 100, "poolings": ("ppv",)},
         "kernel_700": {"kernels": 700},
+        "minirocket": {"dictionary": 10_000},
     }
     made |= rocket | {f"{k}+nonkernel": v | rest for k, v in rocket.items()}
     return {k: FourSpace(name=k, **(none | v)) for k, v in made.items()}
 
 
 CONFIGURATIONS = _configurations()
+#: The random-kernel baseline of the comparison between methods.
+ROCKET_PPV_MAX = FourSpace(0, 0, nets=0, kernels=5000, name="rocket_5000_ppv+max")

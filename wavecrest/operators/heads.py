@@ -7,6 +7,7 @@ matrices of the feature width, never rows.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -71,7 +72,11 @@ def _sums(rows: DataFrame, column: str, centre: np.ndarray | None) -> tuple[int,
 
 
 def _reduce(parts: DataFrame, column: str) -> tuple[int, np.ndarray]:
-    """Sums arrays of partial results in two rounds, so that no task adds up those of all others."""
+    """Sums arrays of partial results in rounds, so that no task adds up those of all others.
+
+    The first round has as many tasks as the session's shuffles, the next their root, so that with S
+    shuffle partitions and P partial results no task adds more than about max(P / S, root of S) arrays.
+    """
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, out = 0, None
@@ -83,7 +88,10 @@ def _reduce(parts: DataFrame, column: str) -> tuple[int, np.ndarray]:
         if n:
             yield pa.RecordBatch.from_pydict({"n": pa.array([n]), column: vectors(out.reshape(1, -1))})
 
-    rounds = parts.repartition(16).mapInArrow(add, parts.schema).repartition(1).mapInArrow(add, parts.schema)
+    tasks = int(parts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rounds = parts
+    for size in dict.fromkeys([tasks, math.isqrt(tasks) if tasks > 64 else 1, 1]):
+        rounds = rounds.repartition(size).mapInArrow(add, parts.schema)
     row = rounds.first()
     if row is None:
         raise ValueError("there are no rows to fit on")
@@ -148,8 +156,13 @@ def targets(codes: np.ndarray, classes: int) -> np.ndarray:
     return out[:, 1:] if classes == 2 else out
 
 
+def _labelled(rows: DataFrame, features: str, code: str) -> DataFrame:
+    """(features, code) of the rows whose label is known; code -1 teaches nothing."""
+    return rows.where(F.col(code) >= 0).select(features, F.col(code).cast("int"))
+
+
 def _gram(rows: DataFrame, features: str, code: str, classes: int) -> tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """n, mean of features, mean of targets, centred F'F and F'Y, from partial sums."""
+    """n, mean of features, mean of targets, centred F'F and F'Y, from partial sums; rows with code -1 or null are left out."""
     outputs = 1 if classes == 2 else classes
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,7 +177,7 @@ def _gram(rows: DataFrame, features: str, code: str, classes: int) -> tuple[int,
             # the upper triangle says it all
             yield pa.RecordBatch.from_pydict({"n": pa.array([n]), "sums": vectors(out[np.triu_indices(len(out))].reshape(1, -1))})
 
-    n, flat = _reduce(rows.select(features, F.col(code).cast("int")).mapInArrow(work, "n long, sums array<double>"), "sums")
+    n, flat = _reduce(_labelled(rows, features, code).mapInArrow(work, "n long, sums array<double>"), "sums")
     m = int((np.sqrt(8 * len(flat) + 1) - 1) / 2)
     full = np.zeros((m, m))
     full[np.triu_indices(m)] = flat
@@ -206,7 +219,7 @@ def ridge_cv(rows: DataFrame, classes: int, alphas: Sequence[float] = ALPHAS, fe
         if count:
             yield pa.RecordBatch.from_pydict({"n": pa.array([count]), "sums": vectors(out.reshape(1, -1))})
 
-    _, errors = _reduce(rows.select(features, F.col(code).cast("int")).mapInArrow(work, "n long, sums array<double>"), "sums")
+    _, errors = _reduce(_labelled(rows, features, code).mapInArrow(work, "n long, sums array<double>"), "sums")
     errors = errors / (n * turned.shape[1])
     best = int(np.argmin(errors))
     weights = basis @ (inverse[best][:, None] * turned)
@@ -248,24 +261,34 @@ def accuracy(predicted: DataFrame, code: str = "code", prediction: str = "predic
 
 
 def classify(train: DataFrame, test: DataFrame, features: str, label: str = "label", key: str = "series_id", alphas: Sequence[float] = ALPHAS) -> DataFrame:
-    """End to end: scaler and ridge fitted on train; one row with test accuracy, width, alpha and class count."""
+    """End to end: scaler and ridge fitted on train; one row with test accuracy, width, alpha and class count.
+
+    Rows without a label neither teach nor count; test labels that training never had count as wrong.
+    """
     spark = train.sparkSession
-    codes = label_codes(train, label).persist()
+    train, test = (part.where(F.col(label).isNotNull()) for part in (train, test))
+    codes = collected(label_codes(train, label))
     scaler = fit_scaler(train, features)
     fitted = scaled(encode(train, codes, label), scaler, features, "z", (key, "code"), scrub=True).persist()
     classes = codes.count()
-    model, _ = ridge_cv(fitted, classes, alphas)
+    try:
+        model, _ = ridge_cv(fitted, classes, alphas)
+    finally:
+        fitted.unpersist()
     held = scaled(encode(test, codes, label), scaler, features, "z", (key, "code"), scrub=True)
     row = accuracy(predict(held, model, keep=(key, "code"))).first()
-    fitted.unpersist()
-    codes.unpersist()
     return spark.createDataFrame([(row.accuracy, row.n, len(scaler.mean), model.alpha, classes)], "accuracy double, n_test long, n_features int, alpha double, n_classes int")
 
 
+def collected(codes: DataFrame) -> DataFrame:
+    """The label codes as a small table of their own, not computed again: one row for each class."""
+    return codes.sparkSession.createDataFrame(codes.collect(), codes.schema)
+
+
 # regression between blocks, and gradient-boosted or logistic heads
 
 
-def _block_sums(rows: DataFrame, columns: Sequence[str], function, width: int) -> tuple[int, np.ndarray]:
+def block_sums(rows: DataFrame, columns: Sequence[str], function, width: int) -> tuple[int, np.ndarray]:
     """Rows and the sum over batches of function(matrices of the columns), flattened to `width` numbers."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -290,7 +313,7 @@ def unexplained_variance(train: DataFrame, test: DataFrame, source: str = "a", t
         wide = np.concatenate([a, b, np.ones((len(a), 1))], axis=1)
         return wide.T @ wide
 
-    n, flat = _block_sums(train, (source, target), joint, (p + q + 1) ** 2)
+    n, flat = block_sums(train, (source, target), joint, (p + q + 1) ** 2)
     full = flat.reshape(p + q + 1, -1)
     mean = full[:-1, -1] / n
     centred = full[:-1, :-1] - n * np.outer(mean, mean)
@@ -300,16 +323,16 @@ def unexplained_variance(train: DataFrame, test: DataFrame, source: str = "a", t
         about = b - mean[p:]
         return ((about - (a - mean[:p]) @ weights) ** 2).sum(), (about**2).sum()
 
-    _, (rest, total) = _block_sums(test, (source, target), left, 2)
+    _, (rest, total) = block_sums(test, (source, target), left, 2)
     return float(rest / total)
 
 
 def spectrum_ranks(rows: DataFrame, column: str = "x") -> tuple[float, float]:
     """Participation ratio and entropy rank of the centred rows, from the eigenvalues of their Gram matrix."""
     width = rows.select(F.size(column)).first()[0]
-    _, mean = _block_sums(rows, (column,), lambda x: x.sum(0), width)
+    _, mean = block_sums(rows, (column,), lambda x: x.sum(0), width)
     n = rows.count()
-    _, flat = _block_sums(rows, (column,), lambda x: (x - mean / n).T @ (x - mean / n), width * width)
+    _, flat = block_sums(rows, (column,), lambda x: (x - mean / n).T @ (x - mean / n), width * width)
     size = np.maximum(np.linalg.eigvalsh(flat.reshape(width, width)), 0)
     s = np.sqrt(size[size > 1e-12 * size.max()])
     share = s / s.sum()
@@ -328,8 +351,8 @@ def logistic_head(train: DataFrame, features: str = "z", code: str = "code"):
     return LogisticRegression(featuresCol="v", labelCol=code, maxIter=50, regParam=1e-3).fit(train.select(array_to_vector(features).alias("v"), F.col(code).cast("double").alias(code)))
 
 
-def boosted_head(train: DataFrame, features: str = "z", code: str = "code", rounds: int = 20):
-    """Gradient-boosted trees, one against the rest, without looking at the test rows."""
+def boosted_head(train: DataFrame, features: str = "z", code: str = "code", rounds: int = 300):
+    """Gradient-boosted trees, one against the rest, without looking at the test rows; all rounds, none stopped early."""
     from pyspark.ml.classification import GBTClassifier, OneVsRest
     from pyspark.ml.functions import array_to_vector
 

@@ -18,6 +18,26 @@ from wavecrest.sources import results, series
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
+#: Frames that the last query keeps in memory because it reads them more than once; the next query lets them go.
+_HELD: list[DataFrame] = []
+
+
+def hold(df: DataFrame) -> DataFrame:
+    _HELD.append(df.persist())
+    return df
+
+
+def release() -> None:
+    while _HELD:
+        _HELD.pop().unpersist()
+
+
+def _alone(function: Query) -> Query:
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        release()
+        return function(spark, sf)
+
+    return run
 
 
 def add(name: str, query: Query, oracle: str | None = None) -> None:
@@ -35,7 +55,7 @@ def query(name: str, oracle: str | None = None):
 
 
 def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
+    return {name: _alone(function) for name, function in _QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -111,8 +131,7 @@ def window_family(source, names):
 
 for _name in families.WIDTHS:
     add(f"fam_{_name}", window_family(series.vectors, [_name]), sql.family_query(_name, sql.S1))
-    if _name not in ("hydra_compete", "crf_max"):
-        add(f"fam_{_name}_users", window_family(series.user_values, [_name]), sql.family_query(_name, sql.S2))
+    add(f"fam_{_name}_users", window_family(series.user_values, [_name]), sql.family_query(_name, sql.S2))
 
 
 def _pooled(frame: DataFrame) -> DataFrame:
@@ -159,13 +178,13 @@ def _pruned_sql(source: str) -> str:
 
 add("embed519", lambda spark, sf: long(embedding.embed(series.vectors(spark, sf)).select("series_id", F.col("embedding").alias("values")), ["series_id"]), _embedding_sql())
 add("embed211", lambda spark, sf: long(embedding.embed(series.user_values(spark, sf), "pruned").select("series_id", F.col("embedding").alias("values")), ["series_id"]), _pruned_sql(sql.S2))
-add("embed519_suppliers", lambda spark, sf: long(embedding.embed(series.supplier_prices(spark, sf)).select("series_id", F.col("embedding").alias("values")), ["series_id"]))
+add("embed519_suppliers", lambda spark, sf: long(embedding.embed(series.supplier_prices(spark, sf)).select("series_id", F.col("embedding").alias("values")), ["series_id"]), sql.embedding_query(sql.S3))
 add("embed519_multichannel", lambda spark, sf: long(embedding.embed(series.supplier_channels(spark, sf), column="channels").select("series_id", F.col("embedding").alias("values")), ["series_id"]))
 
 
 def star(spark: SparkSession, sf: str) -> DataFrame:
     """(series_id, label, z): the 519 columns scaled by training rows, and 241 battery columns."""
-    embedded = embedding.embed(series.vectors(spark, sf), keep=("label",)).persist()
+    embedded = hold(embedding.embed(series.vectors(spark, sf), keep=("label",)))
     scaler = heads.fit_scaler(embedded.where(~series.is_test(F.col("series_id"))), "embedding")
     scaled = heads.scaled(embedded, scaler, "embedding", "z", ("series_id", "label"))
     return bat.with_battery(scaled, "z", output="values", keep=("series_id", "label"), append=True)
@@ -220,14 +239,31 @@ for _pool in fourspace.POOLS:
     add(f"four_kernel_{_pool}", _kernels("identity", _pool), sql.kernel_query(_pool))
 for _transform in ("diff", "hilbert"):
     add(f"four_kernel_{_transform}", _kernels(_transform, "max"), sql.kernel_query("max", _transform))
-add("four_concat1410", lambda spark, sf: long(fourspace.four_space(series.vectors(spark, sf)), ["series_id"]))
+    for _pool in ("ppv", "mpv", "mipv"):
+        add(f"four_kernel_{_transform}_{_pool}", _kernels(_transform, _pool), sql.kernel_query(_pool, _transform))
+add("four_concat1410", lambda spark, sf: long(fourspace.four_space(series.vectors(spark, sf)), ["series_id"]), sql.four_space_query())
 
+# windows, projections, nets, kernels, transforms, poolings, dictionary features of each configuration, as published
+_CONFIGS = """VALUES ('temporal_only', 200, 0, 0, 0, 1, 2, 0), ('fourier_only', 0, 5, 0, 0, 1, 2, 0), ('statistic_only', 0, 0, 200, 0, 1, 2, 0), ('kernel_only', 0, 0, 0, 500, 1, 2, 0),
+('temporal+fourier', 200, 5, 0, 0, 1, 2, 0), ('temporal+statistic', 200, 0, 200, 0, 1, 2, 0), ('temporal+kernel', 200, 0, 0, 500, 1, 2, 0), ('fourier+statistic', 0, 5, 200, 0, 1, 2, 0), ('fourier+kernel', 0, 5, 0, 500, 1, 2, 0), ('statistic+kernel', 0, 0, 200, 500, 1, 2, 0),
+('temporal+fourier+statistic', 200, 5, 200, 0, 1, 2, 0), ('full', 200, 5, 200, 500, 1, 2, 0), ('small', 50, 3, 50, 100, 1, 1, 0), ('kernel_700', 0, 0, 0, 700, 1, 2, 0), ('minirocket', 0, 0, 0, 0, 1, 2, 10000),
+('rocket_ppv', 0, 0, 0, 10000, 1, 1, 0), ('rocket_ppv+mpv', 0, 0, 0, 10000, 1, 2, 0), ('rocket_full', 0, 0, 0, 10000, 2, 3, 0),
+('rocket_ppv+nonkernel', 200, 5, 200, 10000, 1, 1, 0), ('rocket_ppv+mpv+nonkernel', 200, 5, 200, 10000, 1, 2, 0), ('rocket_full+nonkernel', 200, 5, 200, 10000, 2, 3, 0), ('rocket_5000_ppv+max', 0, 0, 0, 5000, 1, 2, 0)"""
 
-@query("four_configurations")
+
+@query("four_configurations", f"SELECT *, (CASE WHEN dictionary > 0 THEN dictionary // 84 * 84 ELSE windows + 2 * projections + nets + kernels * transforms * poolings END)::INT AS width FROM ({_CONFIGS}) t(config, windows, projections, nets, kernels, transforms, poolings, dictionary)")
 def four_configurations(spark, sf):
-    """Each ablation configuration and the width that its transform has."""
-    rows = [(c.name, c.windows, c.projections, c.nets, c.kernels, ",".join(c.transforms), ",".join(c.poolings), c.width) for c in fourspace.CONFIGURATIONS.values()]
-    return spark.createDataFrame(rows, "config string, windows int, projections int, nets int, kernels int, transforms string, poolings string, width int")
+    """Each ablation configuration, the random-kernel baseline, and the widths that their transforms have."""
+    every = [*fourspace.CONFIGURATIONS.values(), fourspace.ROCKET_PPV_MAX]
+    rows = [(c.name, c.windows, c.projections, c.nets if c.nets else 0, c.kernels, len(c.transforms), len(c.poolings), c.dictionary, c.width) for c in every]
+    return spark.createDataFrame(rows, "config string, windows int, projections int, nets int, kernels int, transforms int, poolings int, dictionary int, width int")
+
+
+@query("four_rocket5000")
+def four_rocket5000(spark, sf):
+    """The baseline of 5,000 random kernels with two poolings: each vector's width and total."""
+    made = fourspace.four_space(series.vectors(spark, sf), fourspace.ROCKET_PPV_MAX)
+    return made.select("series_id", F.size("values").alias("width"), rounded(F.aggregate("values", F.lit(0.0), lambda a, v: a + v), 4).alias("total"))
 
 
 # dictionary
@@ -241,6 +277,13 @@ def dict_minirocket(spark, sf):
     return long(dictionary.apply(source, dictionary.fit(source.where(~series.is_test(F.col("series_id"))))), ["series_id"])
 
 
+@query("dict_minirocket168", sql.fitted_rocket_query())
+def dict_minirocket168(spark, sf):
+    """Biases from training vectors, and both paddings, at two dilations."""
+    source = series.vectors(spark, sf)
+    return long(dictionary.apply(source, dictionary.fit(source.where(~series.is_test(F.col("series_id"))), 168)), ["series_id"])
+
+
 # models
 
 _SPLIT = "SELECT vec_id AS id, embedding::DOUBLE[] AS x, label, vec_id % 5 = 0 AS test FROM embeddings"
@@ -303,6 +346,52 @@ def model_ridge3(spark, sf):
     return spark.createDataFrame([(i, float(v)) for i, v in enumerate(model.weights[:, 0])], "col int, val double").withColumn("val", rounded(F.col("val")))
 
 
+_HALF3 = f"""{_CELLS}, f AS (SELECT id, test, CASE WHEN any_value(label) < 5 THEN 1e0 ELSE -1e0 END AS y, sum(CASE WHEN t = 0 THEN (v - mean) / std END) AS a, sum(CASE WHEN t = 1 THEN (v - mean) / std END) AS b, sum(CASE WHEN t = 2 THEN (v - mean) / std END) AS c FROM r JOIN mo USING (t) WHERE t < 3 GROUP BY id, test),
+mm AS (SELECT avg(a) AS ma, avg(b) AS mb, avg(c) AS mc, avg(y) AS my FROM f WHERE NOT test), g AS (SELECT id, test, y AS target, a - ma AS a, b - mb AS b, c - mc AS c, y - my AS y, my FROM f, mm),
+m AS (SELECT count(*) AS n, sum(a*a) AS aa, sum(a*b) AS ab, sum(a*c) AS ac, sum(b*b) AS bb, sum(b*c) AS bc, sum(c*c) AS cc, sum(a*y) AS ay, sum(b*y) AS yb, sum(c*y) AS cy FROM g WHERE NOT test),
+q AS (SELECT n, ay, yb, cy, k, alpha, aa + alpha AS p, ab AS q, ac AS r, bb + alpha AS s, bc AS u, cc + alpha AS w FROM m, (SELECT unnest(range(13)) AS k, unnest({sql.numbers(heads.ALPHAS)}) AS alpha)),
+d AS (SELECT *, p*(s*w - u*u) - q*(q*w - u*r) + r*(q*u - s*r) AS det FROM q), i AS (SELECT *, (s*w - u*u) / det AS i1, (r*u - q*w) / det AS i2, (q*u - r*s) / det AS i3, (p*w - r*r) / det AS i4, (q*r - p*u) / det AS i5, (p*s - q*q) / det AS i6 FROM d),
+be AS (SELECT *, i1*ay + i2*yb + i3*cy AS wa, i2*ay + i4*yb + i5*cy AS wb, i3*ay + i5*yb + i6*cy AS wc FROM i),
+er AS (SELECT k, alpha, avg(((g.y - wa*g.a - wb*g.b - wc*g.c) / (1 - 1e0 / n - (i1*g.a*g.a + i4*g.b*g.b + i6*g.c*g.c + 2*i2*g.a*g.b + 2*i3*g.a*g.c + 2*i5*g.b*g.c)))**2) AS error FROM g, be WHERE NOT test GROUP BY ALL),
+pr AS (SELECT id AS series_id, (target > 0)::INT AS code, (my + wa*a + wb*b + wc*c > 0)::INT AS prediction FROM g, be WHERE test AND k = (SELECT k FROM er ORDER BY error, k LIMIT 1))"""
+
+
+def _half3(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Training and test rows of three scaled columns, and whether the label is below 5."""
+    train, test = _split(spark, sf)
+    scaler = heads.fit_scaler(train)
+    made = [heads.scaled(part, scaler, keep=("series_id", "label")).select("series_id", F.slice("z", 1, 3).alias("z"), (F.col("label") < 5).cast("int").alias("code")) for part in (train, test)]
+    return made[0], made[1]
+
+
+@query("model_ridge3_gcv", f"WITH {_HALF3} SELECT alpha, round(error, 6) AS error, k = (SELECT k FROM er ORDER BY error, k LIMIT 1) AS chosen FROM er")
+def model_ridge3_gcv(spark, sf):
+    """Leave-one-out errors of all alphas on three columns, which SQL has in closed form."""
+    model, errors = heads.ridge_cv(_half3(spark, sf)[0], 2)
+    return spark.createDataFrame([(a, float(e), a == model.alpha) for a, e in errors.items()], "alpha double, error double, chosen boolean").withColumn("error", F.round("error", 6))
+
+
+@query("model_predict3", f"WITH {_HALF3} SELECT * FROM pr")
+def model_predict3(spark, sf):
+    train, test = _half3(spark, sf)
+    return heads.predict(test, heads.ridge_cv(train, 2)[0], keep=("series_id", "code"))
+
+
+@query("model_accuracy3", f"WITH {_HALF3} SELECT avg((code = prediction)::INT::DOUBLE) AS accuracy, count(*)::BIGINT AS n FROM pr")
+def model_accuracy3(spark, sf):
+    return heads.accuracy(model_predict3(spark, sf))
+
+
+@query("model_boosted")
+def model_boosted(spark, sf):
+    """A few rounds of the boosted head on the three columns."""
+    from pyspark.ml.functions import array_to_vector
+
+    train, test = _half3(spark, sf)
+    fitted = heads.boosted_head(train, rounds=5)
+    return heads.accuracy(fitted.transform(test.select(F.col("code").cast("double").alias("code"), array_to_vector("z").alias("v"))))
+
+
 def _coded(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, int]:
     train, test = _split(spark, sf)
     codes, scaler = heads.label_codes(train), heads.fit_scaler(train)
@@ -330,13 +419,13 @@ def model_accuracy(spark, sf):
 
 @query("model_classify_star")
 def model_classify_star(spark, sf):
-    rows, test = star(spark, sf).persist(), series.is_test(F.col("series_id"))
+    rows, test = hold(star(spark, sf)), series.is_test(F.col("series_id"))
     return heads.classify(rows.where(~test), rows.where(test), "values")
 
 
 @query("model_classify_full")
 def model_classify_full(spark, sf):
-    rows, test = full_features(spark, sf).persist(), series.is_test(F.col("series_id"))
+    rows, test = hold(full_features(spark, sf)), series.is_test(F.col("series_id"))
     return heads.classify(rows.where(~test), rows.where(test), "values")
 
 
@@ -366,15 +455,15 @@ def _blocks(spark: SparkSession, sf: str) -> DataFrame:
 @query("eval_unexplained_variance")
 def eval_unexplained_variance(spark, sf):
     """How much of the window block, and of an equally wide mixture of the kernel block, a ridge from the kernel block leaves."""
-    rows, test = _blocks(spark, sf).persist(), series.is_test(F.col("series_id"))
-    mixed = fourspace.over_series(rows, lambda x: heads.spanned_control(x, embedding.output_dim("pruned")), "a", ("series_id", "a")).withColumnRenamed("values", "b").persist()
+    rows, test = hold(_blocks(spark, sf)), series.is_test(F.col("series_id"))
+    mixed = hold(fourspace.over_series(rows, lambda x: heads.spanned_control(x, embedding.output_dim("pruned")), "a", ("series_id", "a")).withColumnRenamed("values", "b"))
     made = [(name, round(heads.unexplained_variance(r.where(~test), r.where(test)), 6)) for name, r in (("window_block", rows), ("spanned_control", mixed))]
     return spark.createDataFrame(made, "block string, unexplained double")
 
 
 @query("eval_entropy_rank")
 def eval_entropy_rank(spark, sf):
-    rows = _blocks(spark, sf).persist()
+    rows = hold(_blocks(spark, sf))
     made = [(name, *(round(v, 6) for v in heads.spectrum_ranks(rows.select(c.alias("x"))))) for name, c in (("kernel_block", F.col("a")), ("both_blocks", F.concat("a", "b")))]
     return spark.createDataFrame(made, "block string, participation double, entropy double")
 
@@ -384,7 +473,7 @@ def eval_complementarity(spark, sf):
     """Accuracy of the kernel block alone and with the window block appended."""
     rows, test = series.vectors(spark, sf), series.is_test(F.col("series_id"))
     base = dictionary.ppv_at_zero(rows, keep=("series_id", "label")).withColumnRenamed("values", "base")
-    both = base.join(embedding.embed(rows, "pruned"), "series_id").select("series_id", "label", "base", F.concat("base", "embedding").alias("extended")).persist()
+    both = hold(base.join(embedding.embed(rows, "pruned"), "series_id").select("series_id", "label", "base", F.concat("base", "embedding").alias("extended")))
     out = None
     for name in ("base", "extended"):
         part = heads.classify(both.where(~test), both.where(test), name).withColumn("features", F.lit(name))
@@ -444,12 +533,40 @@ for _kind, _frame, _base, _table in (("", missing, _MISSING, "mis"), ("_tied", t
     )
 
 
-@query("eval_wilcoxon_table")
+def _signed_ranks(pairs: str) -> str:
+    """CTEs up to sr (a, b, w_plus, w_minus, nz, tied, z) of a table (a, b, dataset, d)."""
+    return f"""pp AS ({pairs}), rk0 AS (SELECT *, rank() OVER (PARTITION BY a, b ORDER BY abs(d)) + (count(*) OVER (PARTITION BY a, b, abs(d)) - 1) / 2e0 AS r, count(*) OVER (PARTITION BY a, b, abs(d)) AS t FROM pp WHERE d <> 0),
+s0 AS (SELECT a, b, coalesce(sum(r) FILTER (d > 0), 0)::DOUBLE AS w_plus, coalesce(sum(r) FILTER (d < 0), 0)::DOUBLE AS w_minus, count(*)::BIGINT AS nz, sum(t * t - 1) AS tied FROM rk0 GROUP BY a, b),
+sr AS (SELECT *, (least(w_plus, w_minus) - nz * (nz + 1) / 4e0) / sqrt(nz * (nz + 1) * (2 * nz + 1) / 24e0 - tied / 48e0) AS z FROM s0),
+co AS (SELECT a, b, {_WTL}, avg(d) AS mean_difference, count(*)::BIGINT AS n FROM pp GROUP BY a, b)"""
+
+
+#: How many subsets of the ranks 1..r have each sum: the exact distribution for up to 50 pairs.
+_WAYS = "ways AS (SELECT 0 AS r, [1e0] AS w UNION ALL SELECT r + 1, list_transform(range(0, (r + 1) * (r + 2) // 2 + 1), lambda i: coalesce(w[i + 1], 0e0) + CASE WHEN i >= r + 1 THEN coalesce(w[i - r], 0e0) ELSE 0e0 END) FROM ways WHERE r < 50)"
+_P = f"CASE WHEN nz <= 50 AND tied = 0 THEN least(1e0, 2 * list_sum(list_slice((SELECT w FROM ways WHERE r = nz), 1, floor(least(w_plus, w_minus))::INT + 1)) / pow(2e0, nz)) ELSE {sql.erfc('greatest(abs(z), 1e-300) / sqrt(2e0)')} END"
+_FIRST = "SELECT 'AF' AS a, y.method AS b, x.dataset, x.accuracy - y.accuracy AS d FROM res x JOIN res y USING (dataset) WHERE x.method = 'AF' AND y.method <> 'AF'"
+
+
+@query("eval_wilcoxon_table", f"WITH RECURSIVE {_WAYS}, {_R}, {_signed_ranks(_FIRST)} SELECT a, b, round({_P}, 6) AS p, wins, ties, losses, n FROM sr JOIN co USING (a, b)")
 def eval_wilcoxon_table(spark, sf):
     """Two-sided p-values of every method against the first."""
-    held = frame(spark, sf).persist()
+    held = hold(frame(spark, sf))
     rows = [evaluation.wilcoxon(held, "AF", m) for m in ("AO", "NF", "NO", "RF", "RO")]
-    return spark.createDataFrame([(r["a"], r["b"], round(r["p"], 6), r["wins"], r["ties"], r["losses"], r["n"]) for r in rows], "a string, b string, p double, wins long, ties long, losses long, n long")
+    made = spark.createDataFrame([(r["a"], r["b"], r["p"], r["wins"], r["ties"], r["losses"], r["n"]) for r in rows], "a string, b string, p double, wins long, ties long, losses long, n long")
+    return made.withColumn("p", F.round("p", 6))
+
+
+METHODS = ("AF", "AO", "NF", "NO", "RF", "RO")
+#: Thirteen of the pairs of methods.
+PAIRS = [(a, b) for i, a in enumerate(METHODS) for b in METHODS[i + 1 :]][:13]
+_IN_PAIRS = "SELECT x.method AS a, y.method AS b, x.dataset, x.accuracy - y.accuracy AS d FROM mis x JOIN mis y USING (dataset) WHERE x.method < y.method AND x.method || y.method NOT IN ('NORO', 'RFRO')"
+
+
+@query("eval_pair_table", f"WITH {_MISSING}, {_signed_ranks(_IN_PAIRS)} SELECT a, b, round(mean_difference, 6) + 0.0 AS mean_difference, wins, ties, losses, n, w_plus, w_minus, CASE WHEN nz >= 5 THEN round(z, 6) END AS z FROM sr JOIN co USING (a, b)")
+def eval_pair_table(spark, sf):
+    """Thirteen pairs of methods at once, datasets without either left out."""
+    made = evaluation.pair_table(missing(spark, sf), PAIRS)
+    return made.withColumns({"mean_difference": rounded(F.col("mean_difference")), "z": F.round("z", 6)})
 
 
 _RANKED = "rk AS (SELECT *, rank() OVER (PARTITION BY dataset ORDER BY accuracy DESC) + (count(*) OVER (PARTITION BY dataset, accuracy) - 1) / 2e0 AS rank FROM {t})"
@@ -514,6 +631,50 @@ def eval_combination_table(spark, sf):
     return evaluation.combination_table(renamed, ("A", "B"), ("x", "y")).withColumn("gain", rounded(F.col("gain")))
 
 
+# five bases with three additions each: lines by number and part
+_GRID = "g0 AS (SELECT l_suppkey AS dataset, 'B' || (l_linenumber % 5) || ['', '+x', '+y', '+z'][l_partkey % 4 + 1] AS method, sum(round(l_discount * 100)::BIGINT)::BIGINT AS k, count(*) AS n FROM lineitem GROUP BY ALL), grd AS (SELECT dataset, method, ((2000 * k + n) // (2 * n)) / 10000e0 AS accuracy FROM g0)"
+
+
+@query(
+    "eval_combination_table15",
+    f"WITH {_GRID}, p AS (SELECT b.method AS base, substr(c.method, 4) AS addition, c.accuracy - b.accuracy AS d FROM grd b JOIN grd c ON b.dataset = c.dataset AND c.method LIKE b.method || '+%') SELECT base, addition, round(avg(d), 6) + 0.0 AS gain, {_WTL} FROM p GROUP BY base, addition",
+)
+def eval_combination_table15(spark, sf):
+    """Five bases and three additions."""
+    suffix = F.element_at(F.array(*[F.lit(x) for x in ("", "+x", "+y", "+z")]), (F.col("l_partkey") % 4 + 1).cast("int"))
+    method = F.concat(F.lit("B"), (F.col("l_linenumber") % 5).cast("string"), suffix)
+    lines = spark.read.parquet(f"{sf}/lineitem.parquet").select(F.col("l_suppkey").alias("dataset"), method.alias("method"), F.round(F.col("l_discount") * 100).cast("long").alias("d"))
+    sums = lines.groupBy("dataset", "method").agg(F.sum("d").alias("k"), F.count("*").alias("n"))
+    grid = sums.select("dataset", "method", (F.expr("(2000 * k + n) div (2 * n)") / F.lit(10000.0)).alias("accuracy"))
+    return evaluation.combination_table(grid, [f"B{i}" for i in range(5)], ("x", "y", "z")).withColumn("gain", rounded(F.col("gain")))
+
+
+GROUPS = {"first": ("AF", "AO", "NF"), "other": ("NO", "RF", "RO", "AF"), "all": METHODS, "too few": ("AF", "AO")}
+
+
+def _group_sql(name: str, methods: tuple[str, ...]) -> str:
+    chosen, k = ", ".join(f"'{m}'" for m in methods), len(methods)
+    ranked = f"SELECT method, rank() OVER (PARTITION BY dataset ORDER BY accuracy DESC) + (count(*) OVER (PARTITION BY dataset, accuracy) - 1) / 2e0 AS rank FROM mis WHERE method IN ({chosen}) QUALIFY count(*) OVER (PARTITION BY dataset) = {k}"
+    return f"SELECT '{name}' AS part, method, round(avg(rank), 6) AS mean_rank, count(*)::BIGINT AS datasets, round({evaluation.Q_05[k - 2]} * sqrt({k} * {k + 1} / (6e0 * count(*))), 6) AS cd FROM ({ranked}) GROUP BY method"
+
+
+@query("eval_cd_groups", f"WITH {_MISSING} " + " UNION ALL ".join(_group_sql(n, m) for n, m in GROUPS.items() if len(m) > 2))
+def eval_cd_groups(spark, sf):
+    """Mean ranks and critical difference within named groups of methods, each over its own complete datasets."""
+    return evaluation.grouped_ranks(missing(spark, sf), GROUPS).withColumns({"mean_rank": F.round("mean_rank", 6), "cd": F.round("cd", 6)})
+
+
+add(
+    "eval_accuracy_table",
+    lambda spark, sf: evaluation.accuracy_table(tied(spark, sf)),
+    f"WITH {_TIED}, m AS (SELECT *, accuracy = max(accuracy) OVER (PARTITION BY dataset) AS best FROM tie) SELECT dataset, method, accuracy, best, printf('%.4f', accuracy) || CASE WHEN best THEN ' *' ELSE '' END AS shown FROM m",
+)
+add(
+    "eval_rank_summary",
+    lambda spark, sf: evaluation.rank_summary(missing(spark, sf)).withColumns({"mean_rank": F.round("mean_rank", 6), "std_rank": F.round("std_rank", 6)}),
+    f"WITH {_MISSING}, c AS (SELECT d.dataset, q.method, mis.accuracy FROM (SELECT DISTINCT dataset FROM mis) d CROSS JOIN (SELECT DISTINCT method FROM mis) q LEFT JOIN mis ON mis.dataset = d.dataset AND mis.method = q.method), k AS (SELECT *, row_number() OVER (PARTITION BY dataset ORDER BY coalesce(accuracy, -1) DESC, method) AS rank, accuracy = max(accuracy) OVER (PARTITION BY dataset) AS best FROM c) "
+    "SELECT method, round(avg(rank), 6) AS mean_rank, round(stddev_pop(rank), 6) AS std_rank, count(*) FILTER (best)::BIGINT AS wins FROM k GROUP BY method",
+)
 _PIVOT = ", ".join(f"max(accuracy) FILTER (method = '{m}') AS {m}" for m in ("AF", "AO", "NF", "NO", "RF", "RO"))
 add("res_pivot", lambda spark, sf: results.to_wide(missing(spark, sf), ("AF", "AO", "NF", "NO", "RF", "RO")), f"WITH {_MISSING} SELECT dataset, {_PIVOT} FROM mis GROUP BY dataset")
 add("res_remaining", lambda spark, sf: results.remaining(frame(spark, sf), missing(spark, sf)), f"WITH {_MISSING} SELECT r.* FROM res r ANTI JOIN mis m ON r.dataset = m.dataset AND r.method = m.method")
@@ -544,10 +705,11 @@ add(
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 760-column embedding of the vectors with a cross-validated ridge on it: a prediction for each test series."""
+    release()
     rows, test = star(spark, sf_dir), series.is_test(F.col("series_id"))
     codes = heads.label_codes(rows.where(~test))
     coded = heads.encode(rows, codes)
     scaler = heads.fit_scaler(rows.where(~test), "values")
-    ready = heads.scaled(coded, scaler, "values", "z", ("series_id", "code"), scrub=True).persist()
+    ready = hold(heads.scaled(coded, scaler, "values", "z", ("series_id", "code"), scrub=True))
     model, _ = heads.ridge_cv(ready.where(~test), codes.count())
     return heads.predict(ready.where(test), model, keep=("series_id", "code"))

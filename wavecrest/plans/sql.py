@@ -10,7 +10,8 @@ import numpy as np
 
 from wavecrest.functions.banks import battery_banks, fourier_projections, gaussian_windows, random_kernels, statistic_nets, window_banks
 from wavecrest.operators.dictionary import kernels as rocket_kernels
-from wavecrest.operators.families import ricker_kernels
+from wavecrest.operators.dictionary import dilations_for, golden
+from wavecrest.operators.families import WIDTHS, ricker_kernels
 
 EPS = "1e-8"
 LINES = "l_shipdate, l_orderkey, l_linenumber, l_partkey, l_quantity, l_extendedprice, l_discount, l_tax"
@@ -162,6 +163,17 @@ def pooled_query(name: str, source: str, operations: tuple[str, ...] = ("mean",
     return f"WITH {windows(source)}{', ' + more if more else ''}, ph AS ({query}) " + clean(rows, "series_id, op")
 
 
+def embedding_query(source: str, bag: str = "id") -> str:
+    """All 519 columns from the windows of every series: mean, std and max of each family."""
+    parts, at, width = [], 0, sum(WIDTHS.values())
+    for name, own in WIDTHS.items():
+        more, inner = family(name)
+        cols = ", ".join(f"{k * width + at} + col" for k in range(3))
+        parts.append(f"SELECT {bag} AS series_id, unnest([{cols}]) AS col, unnest([avg(val), stddev_pop(val), max(val)]) AS val FROM (WITH _d AS (SELECT 1){', ' + more if more else ''} {inner}) GROUP BY {bag}, col")
+        at += own
+    return f"WITH {windows(source)} " + clean(" UNION ALL ".join(parts))
+
+
 # battery, over columns of S1 scaled by mean and population std
 
 BATTERY_BASE = f"""WITH {rows(S1)}, zs AS (SELECT id, t::INT AS t, (v - avg(v) OVER p) / stddev_pop(v) OVER p AS z FROM r WINDOW p AS (PARTITION BY t)),
@@ -247,3 +259,51 @@ def kernel_query(pooling: str, transform: str = "identity", count: int = 6) -> s
 def rocket_query(dilations: tuple[int, ...] = (1, 2)) -> str:
     parts = " UNION ALL ".join(f"SELECT id, {i} * 84 + kb.r // 9 AS col, t - (kb.r % 9 - 4) * {d} AS p, sum(v * wt) AS r FROM r JOIN kb ON t - (kb.r % 9 - 4) * {d} BETWEEN 0 AND 63 GROUP BY ALL" for i, d in enumerate(dilations))
     return f"WITH {rows(S1)}, {bank('kb', rocket_kernels())}, cv AS ({parts}) " + clean("SELECT id AS series_id, col, sum(CASE WHEN r > 0 THEN 1 ELSE 0 END) / 64e0 AS val FROM cv GROUP BY ALL")
+
+
+def fitted_rocket_query(features: int = 168) -> str:
+    """The dictionary with one feature for each kernel and dilation, fitted on the training vectors in SQL."""
+    dilations, share = dilations_for(64, features // 84)
+    assert (share == 1).all()
+    train = f"tr AS (SELECT id, row_number() OVER (ORDER BY md5(id::VARCHAR), id) - 1 AS place FROM s WHERE id % 5 <> 0 QUALIFY place < {84 * len(dilations)}), nt AS (SELECT count(*) AS nt FROM tr)"
+    parts = " UNION ALL ".join(f"SELECT id, {j} AS j, {d} AS dil, kb.r // 9 AS k, t - (kb.r % 9 - 4) * {d} AS p, sum(v * wt) AS r FROM r JOIN kb ON t - (kb.r % 9 - 4) * {d} BETWEEN 0 AND 63 GROUP BY ALL" for j, d in enumerate(dilations))
+    levels = f"lv AS (SELECT unnest(range({84 * len(dilations)})) AS f, unnest({numbers(golden(84 * len(dilations)))}) AS level)"
+    bias = "sr AS (SELECT j, k, list_sort(list(r)) AS o FROM cv JOIN tr USING (id), nt WHERE tr.place = (k + 84 * j) % nt.nt GROUP BY j, k), bi AS (SELECT j, k, o[floor(63 * level)::INT + 1] + (o[least(floor(63 * level)::INT + 2, 64)] - o[floor(63 * level)::INT + 1]) * (63 * level - floor(63 * level)) AS bias FROM sr JOIN lv ON lv.f = j * 84 + k)"
+    inner = "(k + j) % 2 = 0 OR 8 * dil >= 64 OR p BETWEEN 4 * dil AND 63 - 4 * dil"
+    return f"WITH {rows(S1)}, {bank('kb', rocket_kernels())}, cv AS MATERIALIZED ({parts}), {train}, {levels}, {bias} " + clean(f"SELECT id AS series_id, j * 84 + k AS col, avg(CASE WHEN r > bias THEN 1e0 ELSE 0e0 END) AS val FROM cv JOIN bi USING (j, k) WHERE {inner} GROUP BY ALL")
+
+
+def four_space_query(windows_: int = 200, projections: int = 5, dims: int = 256, nets: int = 200, kernels: int = 500, seed: int = 42) -> str:
+    """The default transform as one table: windows, projections, nets, then the kernels of each dilation by pooling."""
+    fp = fourier_projections(64, projections, dims, seed + 100)
+    w, b, u = statistic_nets(nets, seed=seed + 200)
+    weights, dilations = random_kernels(64, kernels, seed=seed + 300)
+    place, at = {}, windows_ + 2 * projections + nets
+    for d in np.unique(dilations):
+        own = np.flatnonzero(dilations == d)
+        for i, k in enumerate(own):
+            place[int(k)] = (at + i, at + len(own) + i)
+        at += 2 * len(own)
+    ctes = ", ".join(f"{bank(f'w{i}', x)}, {bank(f'b{i}', y)}" for i, (x, y) in enumerate(fp))
+    waves = " UNION ALL ".join(f"SELECT id, {i} AS p, cos(q + b{i}.wt) AS c FROM (SELECT id, w{i}.r % {dims} AS d, sum(v * wt) AS q FROM r JOIN w{i} ON w{i}.r // {dims} = t GROUP BY ALL) JOIN b{i} ON b{i}.r = d" for i in range(projections))
+    shape = "t - (kb.r % 9 - 4) * dil"
+    dl = f"dl AS (SELECT unnest(range({kernels})) AS k, unnest({[int(d) for d in dilations]}) AS dil, unnest({[place[k][0] for k in range(kernels)]}) AS c0, unnest({[place[k][1] for k in range(kernels)]}) AS c1)"
+    taps = "tp AS (SELECT k, sum(greatest(c, 1)) AS taps FROM (SELECT k, t, count(*) FILTER (t + (j - 4) * dil BETWEEN 0 AND 63) AS c FROM dl CROSS JOIN range(64) x(t) CROSS JOIN range(9) q(j) GROUP BY k, t) GROUP BY k)"
+    cv = f"cv AS (SELECT id, k, {shape} AS p, sum(v * wt) AS r FROM r JOIN (kb JOIN dl ON dl.k = kb.r // 9) ON {shape} BETWEEN 0 AND 63 GROUP BY ALL), kv AS (SELECT id, k, sum(CASE WHEN r > 0 THEN 1 ELSE 0 END) AS pos, max(r) AS top FROM cv GROUP BY id, k)"
+    clamp = lambda x: f"least(greatest({x}, 1e-8), 1e6)"
+    width = w.shape[1] if w.ndim == 3 else 8
+    parts = [
+        f"SELECT id, g.r // 64 AS col, sum(v * wt) AS val FROM r JOIN g ON g.r % 64 = t GROUP BY ALL",
+        f"SELECT id, unnest([{windows_} + 2 * p, {windows_ + 1} + 2 * p]), unnest([avg(c), stddev_samp(c)]) FROM cs GROUP BY id, p",
+        f"SELECT id, {windows_ + 2 * projections} + u // {width} AS col, sum(greatest(h + bb.wt, 0) * bu.wt) FROM h JOIN bb ON bb.r = u JOIN bu ON bu.r = u GROUP BY ALL",
+        f"SELECT id, unnest([c0, c1]), unnest([{clamp('pos / taps::DOUBLE')}, {clamp('top')}]) FROM kv JOIN dl USING (k) JOIN tp USING (k)",
+    ]
+    return (
+        f"WITH {rows(S1)}, {bank('g', gaussian_windows(64, windows_, seed))}, {ctes}, cs AS ({waves}), {RAW_STATS}, {bank('bw', w)}, {bank('bb', b)}, {bank('bu', u)}, h AS (SELECT id, bw.r // 12 AS u, sum(val * wt) AS h FROM st JOIN bw ON bw.r % 12 = col GROUP BY ALL), "
+        f"{bank('kb', weights)}, {dl}, {taps}, {cv} " + clean("SELECT id AS series_id, col, val FROM (" + " UNION ALL ".join(parts) + ")")
+    )
+
+
+def erfc(x: str) -> str:
+    """The complementary error function of a positive expression, by the series of erf without cancelling terms."""
+    return f"1 - 2 / sqrt(pi()) * exp(-({x}) * ({x})) * list_sum(list_transform(range(0, 300), lambda k: exp((2 * k + 1) * ln({x}) + 2 * k * ln(2e0) + lgamma(k + 1) - lgamma(2 * k + 2))))"
