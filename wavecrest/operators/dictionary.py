@@ -16,11 +16,13 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wavecrest.operators.families import dilated, matrix
+from wavecrest.operators.families import dilated, matrix, responses
 from wavecrest.operators.fourspace import over_series
 
 TAPS = 9
 TRIPLES = np.array(list(combinations(range(TAPS), 3)))
+#: Series whose responses are held at a time, so that they stay in cache.
+CHUNK = 16
 
 
 def kernels() -> np.ndarray:
@@ -56,18 +58,20 @@ class MiniRocket:
         return int(len(TRIPLES) * self.share.sum())
 
     def features(self, x: np.ndarray) -> np.ndarray:
-        out, w = [], kernels()
+        return np.concatenate([self._some(x[k : k + CHUNK]) for k in range(0, len(x), CHUNK)]) if len(x) else np.empty((0, self.width))
+
+    def _some(self, x: np.ndarray) -> np.ndarray:
+        out, w, length = [], kernels(), x.shape[1]
         for number, (d, bias) in enumerate(zip(self.dilations, self.biases, strict=True)):
-            r = dilated(x, w, int(d))
-            pad = int(d) * (TAPS // 2)
-            inner = r[:, pad : r.shape[1] - pad] if 2 * pad < r.shape[1] else r
+            r, pad = responses(x, w, int(d)), int(d) * (TAPS // 2)
+            inner = slice(pad, length - pad) if 2 * pad < length else slice(None)
+            made = np.empty((len(w), bias.shape[1], len(x)))
             # kernels take turns between all positions and those whose taps all lie inside
-            full = (np.arange(len(w)) + number) % 2 == 0
-            made = np.empty((len(x), len(w), bias.shape[1]))
-            for k in range(bias.shape[1]):
-                made[:, full, k] = (r[:, :, full] > bias[full, k]).mean(1)
-                made[:, ~full, k] = (inner[:, :, ~full] > bias[~full, k]).mean(1)
-            out.append(made.reshape(len(x), -1))
+            for first, span in ((number % 2, slice(None)), (1 - number % 2, inner)):
+                part = r[first::2, :, span]
+                for k in range(bias.shape[1]):
+                    made[first::2, k] = np.count_nonzero(part > bias[first::2, k, None, None], axis=2) / part.shape[2]
+            out.append(made.reshape(-1, len(x)).T)
         return np.concatenate(out, axis=1)
 
 
