@@ -126,13 +126,15 @@ class Families:
 
     @cached_property
     def spectral(self) -> np.ndarray:
-        p = self.spectrum / (self.spectrum.sum(1, keepdims=True) + EPS)
-        return np.column_stack([p @ np.arange(p.shape[1]), -(p * np.log(p + 1e-12)).sum(1)])
+        """Centre and entropy of the magnitudes as a distribution over bins."""
+        weight = self.spectrum.T / (self.spectrum.sum(1) + EPS)
+        return np.stack([np.tensordot(np.arange(len(weight)), weight, 1), -np.einsum("kn,kn->n", weight, np.log(weight + 1e-12))], axis=1)
 
     @cached_property
     def turning(self) -> np.ndarray:
-        d = self.step
-        return np.column_stack([(d[:, 1:] * d[:, :-1] < 0).mean(1), (d > 0).mean(1)])
+        """Shares of neighbouring steps in opposite directions, and of rising steps."""
+        way = np.sign(self.step).astype(np.int8)
+        return np.stack([np.count_nonzero(way[:, 1:] * way[:, :-1] == -1, axis=1) / (SIZE - 2), np.count_nonzero(way == 1, axis=1) / (SIZE - 1)], axis=1)
 
     @cached_property
     def trf_gausswin(self) -> np.ndarray:
@@ -199,27 +201,32 @@ class Families:
         return np.column_stack(out)
 
     @cached_property
-    def acf_first_min(self) -> np.ndarray:
-        energy = self.lagged_energy + EPS
-        acf = np.stack([self.lagged(k) / energy for k in range(1, 33)], axis=1)
-        dip = (acf[:, 1:-1] < acf[:, :-2]) & (acf[:, 1:-1] <= acf[:, 2:])
-        first = dip.argmax(1)
-        below = acf < 0
-        return np.column_stack([np.where(dip.any(1), first + 2, 32) / SIZE, below.argmax(1) / SIZE, np.take_along_axis(acf, first[:, None] + 1, axis=1)])
+    def correlogram(self) -> np.ndarray:
+        """Autocorrelations at lags 1 to 32, all at once from the power spectrum of the padded window."""
+        power = np.abs(np.fft.rfft(self.centred, 2 * SIZE, axis=1)) ** 2
+        every = np.fft.irfft(power, axis=1)
+        return every[:, 1 : SIZE // 2 + 1] / (every[:, :1] + EPS)
 
     @cached_property
-    def lagged_energy(self) -> np.ndarray:
-        return np.einsum("nt,nt->n", self.centred, self.centred)
+    def acf_first_min(self) -> np.ndarray:
+        """Where the correlogram first dips (32 if it never does), where it first is negative, and its value at the dip."""
+        r = self.correlogram
+        falls = np.diff(r, axis=1) < 0
+        dips = np.pad(falls[:, :-1] & ~falls[:, 1:], ((0, 0), (1, 1)))
+        lag = np.argmax(dips, axis=1)
+        never = lag == 0
+        at = np.where(never, 1, lag)
+        return np.stack([np.where(never, SIZE // 2, lag + 1) / SIZE, np.argmax(r < 0, axis=1) / SIZE, r[np.arange(len(r)), at]], axis=1)
 
     @cached_property
     def histogram_mode(self) -> np.ndarray:
-        z = self.centred / np.maximum(np.sqrt(_ddof1(self.w)), 1e-6)[:, None]
-        centres = np.linspace(-2.5, 2.5, 10)
-        mass = 4 * np.stack([np.exp(-0.5 * ((m - z) * 1.8) ** 2).sum(1) for m in centres], axis=1)
-        soft = np.exp(mass - mass.max(1, keepdims=True))
-        mode = (soft @ centres) / soft.sum(1)
-        middle = np.partition(z, SIZE // 2 - 1, axis=1)[:, SIZE // 2 - 1]
-        return np.column_stack([mode, mode - middle, (np.abs(z) < 0.5).mean(1)])
+        """Mode of a softened ten-bin histogram, its distance from the lower median, and the share of central values."""
+        z = np.sort(self.centred, axis=1) / np.maximum(np.sqrt(_ddof1(self.w)), 1e-6)[:, None]
+        bins = np.linspace(-2.5, 2.5, 10)
+        height = np.stack([np.exp(-1.62 * np.square(z - b)).sum(1) for b in bins])
+        weight = np.exp(4 * (height - height.max(0)))
+        mode = bins @ weight / weight.sum(0)
+        return np.stack([mode, mode - z[:, SIZE // 2 - 1], np.count_nonzero(np.abs(z) < 0.5, axis=1) / SIZE], axis=1)
 
     @cached_property
     def ricker_wavelet(self) -> np.ndarray:
