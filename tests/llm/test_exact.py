@@ -107,6 +107,25 @@ def test_warc_gzip_members_with_several_records(tmp_path):
         list(warc.records_gz(file))
 
 
+def test_warc_hard_pages_against_sql(spark, tmp_path):
+    """A very long payload, ties, null and repeated ids, and extra columns with the names of the archive's own."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    long = "é<p>" + "abcdefghij" * 1_500_000
+    pages = [(1, "x"), (2, "x"), (2, "x"), (3, None), (4, ""), (5, long), (6, long), (None, "x"), (None, "only"), (None, "only"), (7, "y\r\n\r\nWARC/1.0\r\n")]
+    n = len(pages)
+    clash = {c: [str(i) for i in range(n)] for c in ("record_type", "payload_digest", "payload", "refers_to")} | {"payload_bytes": list(range(n))}
+    pq.write_table(pa.table({"page_id": pa.array([p[0] for p in pages], pa.int64()), "url": [f"http://{i}/" for i in range(n)], "html": [p[1] for p in pages], **clash}), tmp_path / "pages.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{tmp_path}/pages.parquet')")
+    got = con.execute(warc.OP1_SQL)
+    names = [d[0] for d in got.description]
+    want = sorted((tuple(r[names.index(c)] for c in sorted(names)) for r in got.fetchall()), key=repr)
+    rows = warc.op1_warc(spark, f"file://{tmp_path}").collect()
+    assert sorted((tuple(r[c] for c in sorted(names)) for r in rows), key=repr) == want and len(want) == n
+
+
 def test_warc_empty(spark, tmp_path):
     warc.write_archive(spark.createDataFrame([], "page_id long, url string, html string"), f"file://{tmp_path}/e")
     assert warc.read_archive(spark, f"file://{tmp_path}/e").count() == 0
