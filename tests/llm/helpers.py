@@ -35,5 +35,5 @@ def table(spark, rows: list[tuple], extra: bool = False):
     if extra:
         from pyspark.sql import functions as F
 
-        df = df.select("*", *[F.lit(7).alias(c) for c in ("n", "h", "row", "rep", "component", "kept", "n_lines", "score", "label", "p", "spans", "key", "id", "value")])
+        df = df.select("*", *[F.lit(7).alias(c) for c in ("n", "h", "rep", "component", "kept", "n_lines", "score", "label", "p", "spans", "key", "id", "value", "slot__", "lost_id__", "gone__", "places__", "row", "item", "odd.name")])
     return df

@@ -351,16 +351,16 @@ def _found(docs: DataFrame, items: DataFrame, width: int, run_words: int, scratc
 
 def find_leaks(docs: DataFrame, items: DataFrame, width: int = 8, run_words: int = 13) -> DataFrame:
     """(doc_id, item_id, matched_words, item_words, found_as) for each contaminated document and item."""
-    base = docs.select(F.xxhash64("doc_id", "text").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    base = docs.select(F.xxhash64(F.col("doc_id"), F.col("text").cast("string")).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return _found(base, items, width, run_words, Scratch(docs.sparkSession, "leaks")).drop("row")
 
 
 def remove_contaminated(docs: DataFrame, items: DataFrame, width: int = 8, run_words: int = 13) -> DataFrame:
     """docs without the contaminated documents; all columns stay as they are."""
-    base = docs.withColumn("text", F.col("text").cast("string")).withColumn("leak_row__", F.xxhash64("doc_id", "text"))
-    narrow = base.select(F.col("leak_row__").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    row = F.xxhash64(F.col("doc_id"), F.col("text").cast("string"))
+    narrow = docs.select(row.alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     found = _found(narrow, items, width, run_words, Scratch(docs.sparkSession, "leaks"))
-    return without(base, found.select(F.col("row").alias("leak_row__")), "leak_row__").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return without(docs.withColumn("text", F.col("text").cast("string")), found.select("row"), row)
 
 
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

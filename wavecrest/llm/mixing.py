@@ -36,6 +36,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from wavecrest.llm import labelled, quality, toxicity
+from wavecrest.llm._lists import shielded
 from wavecrest.llm._scratch import Scratch
 from wavecrest.llm._text import as_bytes, slices
 
@@ -138,8 +139,12 @@ def rates(table: DataFrame, targets: dict[str, float] = TARGETS, budget: float =
 def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, budget: float = 1.0, eligible: Column | None = None, columns: Sequence[str] = ("doc_id",)) -> DataFrame:
     """The named columns of docs, n_tokens, p_clean, p_toxic, p_junk, rate and draws; own columns take the place of equal names."""
     scratch = Scratch(docs.sparkSession, "mixing")
-    rated = rates(scratch.cut(posteriors(docs, labels, eligible, columns), "posteriors"), targets, budget)
-    return rated.withColumn("draws", draws(rated))
+    names = shielded(docs, "doc_id", "text")
+    safe = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()])
+    kept = [c for c in columns if c not in MADE]
+    rated = rates(scratch.cut(posteriors(safe, labels, eligible, [names[c] for c in kept]), "posteriors"), targets, budget)
+    rated = rated.withColumn("draws", draws(rated))
+    return rated.select(*[F.col(names[c]).alias(c) for c in kept], *MADE)
 
 
 def draws(rated: DataFrame) -> Column:

@@ -40,6 +40,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from wavecrest.llm import labelled
+from wavecrest.llm._lists import shielded
 from wavecrest.llm._scratch import Scratch
 from wavecrest.llm._text import as_bytes, slices
 
@@ -205,10 +206,12 @@ def score(docs: DataFrame, labels: DataFrame, host: str = "source", path: str =
     """The given columns of docs (all by default) and posterior__."""
     scratch = Scratch(docs.sparkSession, "quality")
     model = train(docs, labels, eligible)
-    table = sites(docs, model, host, path, scratch)
-    wanted = columns or docs.columns
-    scored = with_evidence(docs, model, list(dict.fromkeys([*wanted, host, path])))
-    return posterior(scored, table, host, path, model.prior).select(*[F.col(f"`{c}`") for c in wanted], "posterior__")
+    names = shielded(docs, "doc_id", "text")
+    safe = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()])
+    host, path, wanted = names[host], names[path], columns or docs.columns
+    table = sites(safe, model, host, path, scratch)
+    scored = with_evidence(safe, model, list(dict.fromkeys([*(names[c] for c in wanted), host, path])))
+    return posterior(scored, table, host, path, model.prior).select(*[F.col(names[c]).alias(c) for c in wanted], "posterior__")
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
