@@ -86,17 +86,7 @@ def test_sites_shrink(spark):
     rows += [(5000, "big", "x", 0.6), (5001, "good", "x", 0.6), (5002, "alone", "x", 0.6), (5003, None, None, 0.6)]
     scored = spark.createDataFrame(rows, "doc_id long, source string, lang string, p__ double")
 
-    class Given(quality.Logistic):
-        pass
-
-    def scorer(docs, model, columns):
-        return docs.select(*columns, "p__")
-
-    original, quality.with_evidence = quality.with_evidence, scorer
-    try:
-        table_ = quality.sites(scored, Given(None, None, None, 0.5), "source", "lang", Scratch(spark, "test"))
-    finally:
-        quality.with_evidence = original
+    table_ = quality.sites(scored, 0.5, "source", "lang", Scratch(spark, "test"))
     out = {r.doc_id: r.posterior__ for r in quality.posterior(scored, table_, "source", "lang", 0.5).where("doc_id >= 5000").collect()}
     assert out[5000] < 0.2 < 0.45 < out[5002] < out[5001] and abs(out[5003] - out[5002]) < 0.1
 
@@ -130,11 +120,7 @@ def test_quality_posterior_against_brute_force(spark):
         host = rng.choice(["a", "b", "c", None, "d"])
         rows.append((i, host, rng.choice(["x", "y", None]) if host != "d" else f"only{i}", min(1 - 1e-6, max(1e-6, rng.betavariate(2, 1) * (0.3 if host == "b" else 1)))))
     scored = spark.createDataFrame(rows, "doc_id long, source string, lang string, p__ double")
-    original, quality.with_evidence = quality.with_evidence, lambda docs, model, columns: docs.select(*columns, "p__")
-    try:
-        made = quality.sites(scored, quality.Logistic(None, None, None, 0.7), "source", "lang", Scratch(spark, "test"))
-    finally:
-        quality.with_evidence = original
+    made = quality.sites(scored, 0.7, "source", "lang", Scratch(spark, "test"))
     got = {r.doc_id: r.posterior__ for r in quality.posterior(scored, made, "source", "lang", 0.7).collect()}
 
     def kappa(site):

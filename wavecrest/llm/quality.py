@@ -16,9 +16,9 @@ is taken out of its sites' sums. Its posterior log odds are its own evidence plu
 log odds of its path against those of the training rows, so a sparse site hardly
 moves a document and a rich site of mostly bad documents does.
 
-Plan: one scan aggregates per path (pre-aggregated, one row for each path and task). A
-second scan scores again and joins the written path table on plain columns; Spark
-broadcasts it below its own checked threshold and otherwise splits a hot site's
+Plan: one scan scores the texts and writes p with the wanted columns. Paths are
+aggregated from it (pre-aggregated, one row for each path and task), and the written path
+table joins it on plain columns; Spark broadcasts that below its own checked threshold and otherwise splits a hot site's
 partition.
 
 Defined cases: null and empty texts are scored by the features of an empty text. Null
@@ -180,15 +180,15 @@ class Sites:
     path_kappa: float
 
 
-def sites(docs: DataFrame, model: Logistic, host: str, path: str, scratch: Scratch) -> Sites:
-    scored = with_evidence(docs, model, list(dict.fromkeys([host, path])))
+def sites(scored: DataFrame, prior: float, host: str, path: str, scratch: Scratch) -> Sites:
+    """scored: host, path and p__ of every document; prior: the mean where there are none."""
     sums = [F.count("*").alias("n"), F.sum("p__").alias("s"), F.sum(F.col("p__") * F.col("p__")).alias("q")]
     paths = scratch.cut(scored.groupBy(F.col(f"`{host}`").alias("host__"), F.col(f"`{path}`").alias("path__")).agg(*sums), "paths")
     hosts = scratch.cut(paths.groupBy("host__").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q")), "hosts")
     total = paths.agg(F.sum("n"), F.sum("s")).first()
     both = paths.alias("p").join(hosts.alias("h"), F.col("p.host__").eqNullSafe(F.col("h.host__")))
     both = both.select(F.col("p.host__").alias("host__"), F.col("p.path__").alias("path__"), F.col("p.n").alias("path_n__"), F.col("p.s").alias("path_s__"), F.col("h.n").alias("host_n__"), F.col("h.s").alias("host_s__"))
-    return Sites(scratch.cut(both, "sites"), total[1] / total[0] if total[0] else model.prior, _kappa(hosts), _kappa(paths))
+    return Sites(scratch.cut(both, "sites"), total[1] / total[0] if total[0] else prior, _kappa(hosts), _kappa(paths))
 
 
 def posterior(scored: DataFrame, of: Sites, host: str, path: str, prior: float) -> DataFrame:
@@ -209,8 +209,8 @@ def score(docs: DataFrame, labels: DataFrame, host: str = "source", path: str =
     names = shielded(docs, "doc_id", "text")
     safe = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()])
     host, path, wanted = names[host], names[path], columns or docs.columns
-    table = sites(safe, model, host, path, scratch)
-    scored = with_evidence(safe, model, list(dict.fromkeys([*(names[c] for c in wanted), host, path])))
+    scored = scratch.cut(with_evidence(safe, model, list(dict.fromkeys([*(names[c] for c in wanted), host, path]))), "scored")
+    table = sites(scored, model.prior, host, path, scratch)
     return posterior(scored, table, host, path, model.prior).select(*[F.col(names[c]).alias(c) for c in wanted], "posterior__")
 
 
