@@ -7,8 +7,8 @@ lower-cased. Keys of at least `min_chars` code points that occur in at least
 Method. First scan: every task enters the hashes of its keys into two Bloom
 filters, seen once and seen twice (in different rows); the tasks' filters are merged
 shard by shard, where a bit set in two tasks' once-filters counts as seen twice.
-The merged twice-filter has no false negatives. Its size follows from a count of the
-lines, up to the documented FILTER_BITS, so what is broadcast is bounded; on larger inputs
+The merged twice-filter has no false negatives. Its size follows from the bytes of all
+texts, up to the documented FILTER_BITS, so what is broadcast is bounded; on larger inputs
 it lets more through, which costs shuffle, never a result. Second scan: only lines in the
 twice-filter shuffle, as 128-bit hashes with their document. Exact counts per hash
 confirm the repeats and choose the document that keeps the line. Counting is
@@ -40,8 +40,8 @@ from wavecrest.llm._scratch import Scratch
 from wavecrest.llm._text import as_bytes, mix, slices
 
 SPACE = b" \t\n\x0b\x0c\r"
-#: Bits of each Bloom filter for each line of the input, up to FILTER_BITS: 128 MB, the most that is broadcast.
-LINE_BITS = 16
+#: Bytes of text for each bit of a Bloom filter (16 bits for a line of 128 bytes), up to FILTER_BITS: 128 MB, the most that is broadcast.
+BIT_BYTES = 8
 FILTER_BITS = 1 << 30
 SHARD_BITS = 1 << 22
 PROBES = 3
@@ -124,9 +124,8 @@ SHARDS = "shard int, task int, once binary, twice binary"
 
 def bits_for(docs: DataFrame) -> int:
     """Bits of a filter for all lines of docs: a power of two, from 2^22 to FILTER_BITS."""
-    text = F.col("text").cast("string")
-    lines = docs.agg(F.coalesce(F.sum(1 + F.length(text) - F.length(F.translate(text, "\n", ""))), F.lit(0))).first()[0]
-    return min(FILTER_BITS, 1 << max(22, (LINE_BITS * lines).bit_length()))
+    size = docs.agg(F.coalesce(F.sum(F.octet_length(F.col("text").cast("string"))), F.lit(0))).first()[0]
+    return min(FILTER_BITS, 1 << max(22, (size // BIT_BYTES).bit_length()))
 
 
 def twice_filter(docs: DataFrame, min_chars: int, bits: int) -> np.ndarray:
@@ -161,7 +160,7 @@ def _suspects(batches: Iterator[pa.RecordBatch], twice, min_chars: int, bits: in
 
 
 def removals(docs: DataFrame, scratch: Scratch, min_chars: int = 20, min_docs: int = 3, bits: int | None = None) -> DataFrame:
-    """(doc_id, h1, h2): the keys that each document loses. bits: of each filter, instead of as many as the lines ask for."""
+    """(doc_id, h1, h2): the keys that each document loses. bits: of each filter, instead of as many as the texts ask for."""
     spark = docs.sparkSession
     bits = bits or bits_for(docs)
     twice = spark.sparkContext.broadcast(twice_filter(docs, min_chars, bits))
