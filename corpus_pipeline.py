@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wavecrest.llm import decontaminate, lines, mixing, neardup, quality
+from wavecrest.llm._lists import without
 from wavecrest.llm._scratch import Scratch
 
 ORACLE_SQL = None
@@ -55,8 +56,9 @@ def stage_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def stage_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     safe, names = _shield(docs)
-    gone = neardup.near_duplicates(safe, width=5, percent=80).where("NOT kept").select("doc_id").distinct()
-    return _unshield(safe.join(gone, "doc_id", "left_anti"), names)
+    gone = neardup.near_duplicates(safe, width=5, percent=80).where("NOT kept").select(F.col("doc_id").alias("row"))
+    # only texts that may go shuffle
+    return _unshield(without(safe, gone, F.col("doc_id").cast("long")), names)
 
 
 def stage_decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
