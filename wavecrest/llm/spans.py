@@ -17,9 +17,10 @@ end, and no part has more than PART words; so every repeated passage of 4 PART +
 words (with 15 words a span, and line ends alike) is found. Up to 16 words at its beginning and 17 at its end stay
 where its first and last parts reach beyond it.
 
-Plan: one scan writes (hash, document, position) rows. Counts by hash are pre-aggregated and
-written for repeated hashes only. Of the span rows a filter of bounded size leaves out those
-that are not repeated; the join back reads two plain shuffles, so that adaptive execution
+Plan: a first scan counts spans by the first 64 bits of their hash, pre-aggregated, and leaves a
+filter of bounded size of those that occur again. A second scan writes (hash, document,
+position) rows of the spans in the filter only; hashes are confirmed, and the occurrence that stays is chosen, by
+aggregation over them, and the join back reads two plain shuffles, so that adaptive execution
 splits a passage that a third of all documents hold. Each document's list of covered spans,
 bounded by its own parts, then joins its text; texts that lose nothing don't shuffle
 (`_lists`). Spans are known by 128 bits: two sums of the parts' hashes with different
@@ -72,7 +73,7 @@ class Marked(WordHashes):
         return out
 
 
-def parts_of(texts: list[bytes], hashes: WordHashes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def parts_of(texts: list[bytes], hashes: WordHashes, seeds: tuple[np.uint64, ...] = SEEDS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(end offset, words, two hashes) of the parts of all texts, and where each text's parts begin and the last one's end.
 
     Each part begins where the one before in its text ends.
@@ -84,7 +85,7 @@ def parts_of(texts: list[bytes], hashes: WordHashes) -> tuple[np.ndarray, np.nda
     h = hashes.of(joined.lower().split())
     n, none = len(h), np.empty(0, np.int64)
     if not n:
-        return none, none, np.empty((2, 0), np.uint64), np.zeros(len(texts) + 1, np.int64)
+        return none, none, np.empty((len(seeds), 0), np.uint64), np.zeros(len(texts) + 1, np.int64)
     stop = (h & np.uint64(1)) == 1
     lines = np.flatnonzero(raw == 10)
     before = np.searchsorted(starts, lines) - 1
@@ -113,7 +114,7 @@ def parts_of(texts: list[bytes], hashes: WordHashes) -> tuple[np.ndarray, np.nda
     first = np.concatenate([[0], last[:-1] + 1])
     words = last - first + 1
     place = np.arange(n) - np.repeat(first, words)
-    own = np.stack([mix(np.add.reduceat(mix(h + seed) * power[place], first) + words.astype(np.uint64) * LENGTH) for seed, power in zip(SEEDS, POWERS, strict=True)])
+    own = np.stack([mix(np.add.reduceat(mix(h + seed) * power[place], first) + words.astype(np.uint64) * LENGTH) for seed, power in zip(seeds, POWERS, strict=False)])
     bounds = np.searchsorted(last, word)
     return ends[last] - np.repeat(begin[:-1], np.diff(bounds)), words, own, bounds
 
@@ -139,38 +140,48 @@ def runs(words: np.ndarray, bounds: np.ndarray, least_sentences: int, least_word
 
 def run_hashes(hashes: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
     """Two hashes of each run's sequence of part hashes, from prefix sums of a polynomial modulo 2^64."""
-    n, out = hashes.shape[1], []
-    for own, step in zip(hashes, STEPS, strict=True):
-        power, back = _powers(step, n), _powers(np.uint64(pow(int(step), -1, 1 << 64)), n)
-        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(own) * power[:n])])
-        # divided by the power of the first place, equal runs agree wherever they stand
-        out.append(mix((total[last + 1] - total[first]) * back[first] + (last - first + 1).astype(np.uint64) * LENGTH))
-    return np.stack(out)
+    return np.stack([run_hash(own, step, first, last) for own, step in zip(hashes, STEPS, strict=True)])
 
 
-def _spans(batches: Iterator[pa.RecordBatch], least_sentences: int, least_words: int) -> Iterator[pa.RecordBatch]:
-    """(h1, h2, document, place) of the spans."""
+def run_hash(own: np.ndarray, step: np.uint64, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    n = len(own)
+    power, back = _powers(step, n), _powers(np.uint64(pow(int(step), -1, 1 << 64)), n)
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(own) * power[:n])])
+    # divided by the power of the first place, equal runs agree wherever they stand
+    return mix((total[last + 1] - total[first]) * back[first] + (last - first + 1).astype(np.uint64) * LENGTH)
+
+
+def _first_hashes(batches: Iterator[pa.RecordBatch], least_sentences: int, least_words: int) -> Iterator[pa.RecordBatch]:
+    """The first hash of every span."""
     marked = Marked()
+    for part in slices(batches, "text"):
+        _, words, own, bounds = parts_of(as_bytes(part.column(0)), marked, SEEDS[:1])
+        first, last = runs(words, bounds, least_sentences, least_words)
+        if len(first):
+            yield pa.RecordBatch.from_pydict({"h1": pa.array(run_hash(own[0], STEPS[0], first, last).view(np.int64))})
+
+
+def _spans(batches: Iterator[pa.RecordBatch], least_sentences: int, least_words: int, needed) -> Iterator[pa.RecordBatch]:
+    """(h1, h2, document, place) of the spans whose first hash is in the filter."""
+    marked, bits = Marked(), needed.value
     for part in slices(batches, "text"):
         _, words, own, bounds = parts_of(as_bytes(part.column(1)), marked)
         first, last = runs(words, bounds, least_sentences, least_words)
         if not len(first):
             continue
-        h = run_hashes(own, first, last)
+        h1 = run_hash(own[0], STEPS[0], first, last)
+        hit = chosen((h1 & np.uint64(NEED_BITS - 1)).astype(np.int64), bits)
+        if not hit.any():
+            continue
+        h1, first, last = h1[hit], first[hit], last[hit]
+        h2 = run_hash(own[1], STEPS[1], first, last)
         owner = np.searchsorted(bounds, first, side="right") - 1
-        order = np.lexsort((h[1], h[0], owner))
+        # spans come in the order of their texts, which a stable sort keeps among equal hashes
+        order = np.argsort(h1, kind="stable")
         again = np.zeros(len(first), np.int64)
-        again[order[1:]] = (h[:, order[1:]] == h[:, order[:-1]]).all(0) & (owner[order[1:]] == owner[order[:-1]])
+        again[order[1:]] = (h1[order[1:]] == h1[order[:-1]]) & (h2[order[1:]] == h2[order[:-1]]) & (owner[order[1:]] == owner[order[:-1]])
         place = ((first - bounds[owner]) << 13) | ((last - first) << 1) | again
-        yield pa.RecordBatch.from_pydict({"h1": pa.array(h[0].view(np.int64)), "h2": pa.array(h[1].view(np.int64)), "doc_id": part.column(0).take(pa.array(owner)), "place": pa.array(place)})
-
-
-def _likely(batches: Iterator[pa.RecordBatch], needed) -> Iterator[pa.RecordBatch]:
-    """The span rows whose hash is in the filter."""
-    for batch in batches:
-        hit = chosen(batch.column(0).to_numpy() & (NEED_BITS - 1), needed.value)
-        if hit.any():
-            yield batch.filter(pa.array(hit))
+        yield pa.RecordBatch.from_pydict({"h1": pa.array(h1.view(np.int64)), "h2": pa.array(h2.view(np.int64)), "doc_id": part.column(0).take(pa.array(owner)), "place": pa.array(place)})
 
 
 def _apply(batches: Iterator[pa.RecordBatch], schema: pa.Schema, digest_only: bool) -> Iterator[pa.RecordBatch]:
@@ -213,13 +224,13 @@ def remove_repeats(docs: DataFrame, least_sentences: int = 2, least_words: int =
     """
     scratch = Scratch(docs.sparkSession, "spans")
     texts = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    columns = "h1 long, h2 long, doc_id long, place long"
-    spans = scratch.cut(texts.mapInArrow(lambda b: _spans(b, least_sentences, least_words), columns), "spans")
+    counts = texts.select("text").mapInArrow(lambda b: _first_hashes(b, least_sentences, least_words), "h1 long").groupBy("h1").agg(F.count("*").alias("n"))
+    needed = docs.sparkSession.sparkContext.broadcast(filter_bits(counts.where("n > 1").select(F.col("h1").alias("id")), hash_slot))
+    spans = scratch.cut(texts.mapInArrow(lambda b: _spans(b, least_sentences, least_words, needed), "h1 long, h2 long, doc_id long, place long"), "spans")
     again = F.col("place").bitwiseAND(F.lit(1)).cast("long")
     repeated = spans.groupBy("h1", "h2").agg(F.min("doc_id").alias("keeper"), F.max("doc_id").alias("most"), F.max(again).alias("again")).where("keeper <> most OR again = 1")
     repeated = scratch.cut(repeated.select("h1", "h2", "keeper"), "repeated")
-    needed = docs.sparkSession.sparkContext.broadcast(filter_bits(repeated.select(F.col("h1").alias("id")), hash_slot))
-    lost = spans.mapInArrow(lambda b: _likely(b, needed), columns).join(repeated, ["h1", "h2"]).where((F.col("doc_id") != F.col("keeper")) | (again == 1))
+    lost = spans.join(repeated, ["h1", "h2"]).where((F.col("doc_id") != F.col("keeper")) | (again == 1))
     lost = lost.groupBy(F.col("doc_id").alias("lost_id__")).agg(F.collect_list("place").alias("places__"))
     made = {"n_sentences", "n_removed", "kept_sha256" if digest_only else "kept_text"}
     columns = ["doc_id", "text"] if digest_only else [c for c in docs.columns if c not in made]
