@@ -398,7 +398,7 @@ def brute_parts(text):
     cuts, first = [], 0
     for k, stop in enumerate(stops):
         if stop:
-            begins = {max(range(i, i + 9), key=lambda j: (-hashes[j], j)) for i in range(first + 1, k - 7)}
+            begins = {max(range(i, i + 9), key=lambda j: (-(hashes[j] >> 32), j)) for i in range(first + 1, k - 7)}
             cuts += [j for j in range(first + 1, k + 1) if j in begins] + [k + 1]
             first = k + 1
     return [(ends[b - 1], b - a) for a, b in zip([0, *cuts[:-1]], cuts, strict=True)] if cuts else []

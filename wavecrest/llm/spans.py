@@ -2,7 +2,7 @@
 
 A text is cut into sentences: after runs of . ! ? that white space follows, and after
 line ends. Sentences are cut further into parts of at most PART words: of every PART
-words in a row inside a sentence, after its first, the one with the smallest hash (the
+words in a row inside a sentence, after its first, the one with the smallest hash (of 32 bits, the
 last of equal ones) begins a part. So a cut depends on no more than PART - 1 words to each side, and equal
 passages are cut alike wherever they begin and end. A span is a run of at least
 `sentences` consecutive parts with at least `words` words that loses one of the two
@@ -56,6 +56,8 @@ PART = 9
 STEPS = (STEP, np.uint64(0xA0761D6478BD642F))
 SEEDS = (np.uint64(0), np.uint64(0xE7037ED1A0B428DB))
 LENGTH = np.uint64(0xD6E8FEB86659FD93)
+LOWER = np.uint64(0xFFFFFFFF)
+UPPER = ~LOWER
 
 
 def _powers(step: np.uint64, n: int) -> np.ndarray:
@@ -99,17 +101,18 @@ def parts_of(texts: list[bytes], hashes: WordHashes, seeds: tuple[np.uint64, ...
     ends[word[full + 1] - 1] = begin[full] + sizes[full]
     stop[word[full + 1] - 1] = True
     if (windows := n - PART + 1) > 0:
-        # the last smallest hash of every PART words inside one sentence, after its first, begins a part
-        least, chosen = h[:windows], np.arange(windows)
-        for k in range(1, PART):
-            smaller = h[k : k + windows] <= least
-            least = np.where(smaller, h[k : k + windows], least)
-            chosen = np.where(smaller, np.arange(k, k + windows), chosen)
+        # the smallest hash (its upper half; the last of equal ones) of every PART words inside one sentence, after its first, begins a part
+        least = (h & UPPER) | (LOWER - np.arange(n, dtype=np.uint64))
+        width = 1
+        while 2 * width <= PART:
+            least, width = np.minimum(least[:-width], least[width:]), 2 * width
+        least = np.minimum(least[: n - PART + 1], least[PART - width :]) if width < PART else least
+        chosen_ = (LOWER - (least & LOWER)).astype(np.int64)
         sentence = np.cumsum(stop) - stop
         inside = sentence[:windows] == sentence[PART - 1 :]
         inside[0] = False
         inside[1:] &= ~stop[: windows - 1]
-        stop[chosen[inside] - 1] = True
+        stop[chosen_[inside] - 1] = True
     last = np.flatnonzero(stop)
     first = np.concatenate([[0], last[:-1] + 1])
     words = last - first + 1
@@ -188,7 +191,7 @@ def _apply(batches: Iterator[pa.RecordBatch], schema: pa.Schema, digest_only: bo
     marked = Marked()
     for part in slices(batches, "text"):
         texts = as_bytes(part.column(part.schema.get_field_index("text")))
-        all_ends, _, _, bounds = parts_of(texts, marked)
+        all_ends, _, _, bounds = parts_of(texts, marked, SEEDS[:1])
         lists = part.column(part.schema.get_field_index("places__"))
         counts, removed, kept = [], [], []
         for t, (text, places) in enumerate(zip(texts, lists, strict=True)):
