@@ -52,16 +52,18 @@ class SortedLists:
         most = float(np.abs(rows.astype(float)).max(initial=0))
         self.kind = np.float64 if most < 2**20 and most * most * rows.shape[1] < 2**52 else np.int64
         self.ids, self.rows = ids, rows.astype(self.kind)
-        self.rising = np.argsort(rows, axis=0, kind="stable").T.astype(np.int32)
+        self.rising = np.ascontiguousarray(np.argsort(rows, axis=0, kind="stable").T)
         self.sorted = np.take_along_axis(self.rows.T, self.rising, axis=1)
 
     def best(self, query_id: int, query: np.ndarray, k: int, floor: int | None) -> tuple[np.ndarray, np.ndarray]:
         """Ids and scores of rows that may be among the k best; floor: a score that k other rows reach already."""
         n = len(self.rows)
         query = query.astype(self.kind)
-        used = np.flatnonzero(query)
-        way, weight = (query[used] > 0).astype(int), query[used]
-        worst = self.sorted[used, np.where(way == 1, 0, n - 1)] * weight
+        # lists of negative weights are read from their beginning, the others from their end
+        down, up = np.flatnonzero(query < 0), np.flatnonzero(query > 0)
+        used = np.concatenate([down, up])
+        weight = query[used]
+        worst = np.concatenate([self.sorted[down, n - 1], self.sorted[up, 0]]) * weight
         alive = np.flatnonzero(self.ids != query_id)
         got, seen = np.zeros(n, self.kind), np.zeros((n, len(used)), self.kind)
         read = 0
@@ -69,17 +71,14 @@ class SortedLists:
             if len(alive) <= 4 * k or not len(used):
                 break
             upto = min(n, max(read + 1, int(n * share)))
-            # positive weights read the list from its end
-            place = np.arange(read, upto)
-            place = np.where(way[:, None] == 1, n - 1 - place, place)
-            at = self.rising[used[:, None], place]
-            added = self.sorted[used[:, None], place] * weight[:, None]
+            at = np.concatenate([self.rising[down, read:upto], self.rising[up, n - upto : n - read]])
+            added = np.concatenate([self.sorted[down, read:upto], self.sorted[up, n - upto : n - read]]) * weight[:, None]
             if self.kind is np.float64:
                 got += np.bincount(at.ravel(), added.ravel(), n)
             else:
                 np.add.at(got, at.ravel(), added.ravel())
             seen[at, np.arange(len(used))[:, None]] = 1
-            last = added[:, -1]
+            last = np.concatenate([self.sorted[down, upto - 1], self.sorted[up, n - upto]]) * weight
             read = upto
             unread = np.stack([worst, last], axis=1)
             low, high = (got[alive, None] + unread.sum(0) - seen[alive] @ unread).T
